@@ -6,9 +6,11 @@ costs the tasks it was running. Nothing here uses a machine-local folder on a cl
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,11 +54,19 @@ def chunked(values: list, size: int) -> Iterator[list]:
         yield values[i : i + size]
 
 
+def kept(key: str, make: Callable):
+    """One object for each Python worker process, made once and kept between its tasks."""
+    store = sys.modules.setdefault("_loomgrid_kept", types.ModuleType("_loomgrid_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 # ---------------------------------------------------------------- tiles
 
 
-def tile_pairs(rows: DataFrame, cell: list[str], item: str, offsets: list[tuple[int, ...]], tile_rows: int, grid: list[str]) -> DataFrame:
-    """Pairs of tiles whose cells differ by one of ``offsets`` in the ``grid`` columns: (left, right, same).
+def tile_pairs(rows: DataFrame, cell: list[str], item: str, offsets: list[tuple[int, ...]], tile_rows: int, grid: list[str], carry: str | None = None) -> DataFrame:
+    """Pairs of tiles whose cells differ by one of ``offsets`` in the ``grid`` columns: (left, right, same[, carry]).
 
     ``rows`` has integer ``cell`` columns (``grid`` are those that neighbours may differ in) and an ``item`` to pack.
     ``offsets`` hold one of each offset and its negative, and zero, so that each pair of rows meets exactly once.
@@ -75,7 +85,7 @@ def tile_pairs(rows: DataFrame, cell: list[str], item: str, offsets: list[tuple[
     left = left.select(*[(F.col(c) + F.col(f"_step.{c}") if c in grid else F.col(c)).alias(c) for c in cell], "_lchunk", "left", zero.alias("_same_cell"))
     both = left.join(tiles.select(*cell, "_chunk", F.col("_items").alias("right")), cell)
     both = both.where(~F.col("_same_cell") | (F.col("_lchunk") <= F.col("_chunk")))
-    return both.select("left", "right", (F.col("_same_cell") & (F.col("_lchunk") == F.col("_chunk"))).alias("same"))
+    return both.select("left", "right", (F.col("_same_cell") & (F.col("_lchunk") == F.col("_chunk"))).alias("same"), *[carry] * bool(carry))
 
 
 # ---------------------------------------------------------------- connected components
