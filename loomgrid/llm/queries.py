@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.llm import chat, decontam, langid, mixing, simhash, tokenbin, toxicity, vecdedup
+from loomgrid.llm import chat, decontam, langid, mixing, pii, simhash, tokenbin, toxicity, vecdedup, warc
 from loomgrid.llm.shared import scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,6 +48,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(warc.records(pages), warc.records(warc.damaged(pages)))
+
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT page_id, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS part, page_id >> 12 AS warc_file,
+    CAST(sum(strlen(
+      'WARC/1.1' || 'WARC-Type: resource' || 'WARC-Record-ID: <urn:uuid:>' || 'WARC-Date: 2024-01-01T00:00:00Z'
+      || 'WARC-Target-URI: ' || url || 'Content-Type: text/html' || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) || html
+    ) + 36 + 20) AS BIGINT) AS warc_length
+  FROM pages GROUP BY page_id
+), placed AS (
+  SELECT *, CAST(sum(warc_length) OVER (PARTITION BY warc_file ORDER BY page_id) - warc_length AS BIGINT) AS warc_offset FROM sized
+)
+SELECT page_id, CASE part WHEN '00' THEN 'corrupt' ELSE 'missing' END AS status, warc_file, warc_offset, warc_length
+FROM placed WHERE part IN ('00', '01')
+UNION ALL SELECT -page_id - 2, 'extra', -1, -1, 0 FROM placed WHERE part = '02'
+"""
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -60,6 +82,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+#: Of the query alone: a real run names its own secret.
+PII_KEY = b"loomgrid query key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -74,8 +104,8 @@ def op10_vecdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat, op2_decontaminate, op4_langid, op5_toxicity, op6_simhash, op8_mixing, op9_tokenbin, op10_vecdedup)}
+    return {f.__name__: f for f in (op1_chat, op2_decontaminate, op3_warc_fixity, op4_langid, op5_toxicity, op6_simhash, op7_pii, op8_mixing, op9_tokenbin, op10_vecdedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL}
+    return {"op1_chat": OP1_SQL, "op3_warc_fixity": OP3_SQL}
