@@ -12,7 +12,6 @@ a doc_id are all kept, ordered by the crc of their ids; other columns are ignore
 
 from __future__ import annotations
 
-import heapq
 import os
 import re
 import zlib
@@ -24,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.shared import chunked, discard, materialize
+from loomgrid.llm.shared import chunked, discard, kept, materialize
 
 END_ID = 2
 MAX_BITS = 16
 BLOCK_TOKENS = 1 << 16
 CHECKPOINT = 128
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 BLOCK_SCHEMA = "shard int, first long, tokens long, doc_ids binary, counts binary, offsets binary, bits binary"
 
@@ -39,7 +38,7 @@ BLOCK_SCHEMA = "shard int, first long, tokens long, doc_ids binary, counts binar
 
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Texts of these characters alone, and with no apostrophe before a letter, can be cut at words.
-PLAIN = re.compile(f"(?:[\\t\\n\\r -&(-~{LETTERS}]|'(?![{LETTERS}]))*")
+PLAIN = re.compile(f"(?:[\\t\\n\\r -&(-~{LETTERS}]+|'(?![{LETTERS}]))*+")
 WORD = re.compile(f"[\\t\\n\\r ]?[{LETTERS}]+|(?:(?![\\t\\n\\r ]?[{LETTERS}])[^{LETTERS}])+")
 
 
@@ -51,30 +50,42 @@ class Encoder:
     Other texts are cut only where a space follows a visible character, which it never joins.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, kind: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.kind, self.cache_words = kind, cache_words
+        self.known: dict[str, int] = Numbers()
+        self.ids: list[bytes] = []
 
     def pieces(self, text: str) -> list[str]:
         return WORD.findall(text) if PLAIN.fullmatch(text) else re.split(r"(?<=\S)(?= )", text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        new = list({p for ps in cut for p in ps if p not in cache})
-        for some in chunked(new, 4096):
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        """Little-endian ids of each text, of the width of ``kind``."""
+        if len(self.known) > self.cache_words:
+            self.known, self.ids = Numbers(), []
+        number = self.known.__getitem__
+        cut = [list(map(number, self.pieces(t))) for t in texts]
+        for some in chunked(self.known.new, 4096):
+            self.ids += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        self.known.new.clear()
+        of = self.ids.__getitem__
+        return [b"".join(map(of, numbers)) for numbers in cut]
+
+
+class Numbers(dict):
+    """Numbers pieces as they come up; ``new`` are those that have no ids yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        n = self[piece] = len(self)
+        return n
 
 
 def width(vocabulary: int) -> str:
@@ -83,24 +94,32 @@ def width(vocabulary: int) -> str:
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int = END_ID, text: str = "text", key: list | None = None) -> DataFrame:
-    """(key.., ids binary, n_tokens, crc): the ids of every whole text with the end id; the crc is that of 32-bit ids."""
+    """(key.., ids binary, n_tokens, crc, totals): the ids of every whole text with the end id, the crc that of 32-bit ids.
+
+    The last row of each partition has only ``totals``: how often each id came up in it.
+    """
     kind, key = width(vocabulary), key or [F.col("doc_id").cast("long").alias("doc_id")]
     named = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     keys = [f.name for f in named.schema.fields[:-1]]
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = kept(f"encoder {tokenizer_path} {kind}", lambda: Encoder(tokenizer_path, kind))
+        total = np.zeros(vocabulary, "<i8")
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 ids = [x + end for x in encoder.encode(part.column(len(keys)).to_pylist())]
-                short = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-                more = [pa.array(short, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *more], names=[*keys, "ids", "n_tokens", "crc"])
+                total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocabulary)
+                crcs = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in ids]
+                more = [pa.array(ids, pa.binary()), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(crcs, pa.int64()), pa.nulls(len(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *more], names=[*keys, "ids", "n_tokens", "crc", "totals"])
+        if total.any():
+            last = [pa.nulls(1, f.type) for f in part.schema][: len(keys)] + [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total.tobytes()])]
+            yield pa.RecordBatch.from_arrays(last, names=[*keys, "ids", "n_tokens", "crc", "totals"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[:-1])
-    return named.mapInArrow(run, f"{schema}, ids binary, n_tokens long, crc long")
+    return named.mapInArrow(run, f"{schema}, ids binary, n_tokens long, crc long, totals binary")
 
 
 # ---------------------------------------------------------------- the code
@@ -196,9 +215,9 @@ def unpack(bits: bytes, offsets: bytes, tokens: int, table: tuple[np.ndarray, np
 
 
 def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | None = None, order: list | None = None, block_tokens: int = BLOCK_TOKENS, every: int = CHECKPOINT, max_bits: int = MAX_BITS) -> None:
-    """Write (doc_id, ids, ..) in ascending ``order`` (doc_id, then crc) as coded blocks below ``path``.
+    """Write what ``tokenize`` gives in ascending ``order`` (doc_id, then crc) as coded blocks below ``path``.
 
-    Counts are summed by partition before they meet. ``shards`` is the number of range partitions; the table is
+    ``shards`` is the number of range partitions; the table is
     cut by ranges of the order, so that a shard never depends on how many rows one source has.
     """
     spark, kind = tokens.sparkSession, width(vocabulary)
@@ -206,13 +225,13 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | No
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                joined = b"".join(batch.column(0).slice(i, 512).to_pylist())
-                total += np.bincount(np.frombuffer(joined, kind), minlength=vocabulary)
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_py(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token_id", "n"])
 
-    table = tokens.select("ids").mapInArrow(count, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    partial = tokens.where("totals is not null").select("totals").mapInArrow(count, "token_id long, n long")
+    table = partial.groupBy("token_id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     counts = np.zeros(vocabulary, np.int64)
     for token_id, n in table:
         counts[token_id] = n
@@ -248,7 +267,7 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | No
 
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = order or ["doc_id", "crc"]
-    dealt = tokens.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    dealt = tokens.where("ids is not null").drop("totals").repartitionByRange(shards, *order).sortWithinPartitions(*order)
     dealt.select("doc_id", "ids", "n_tokens").mapInArrow(code, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
 
 
