@@ -1,11 +1,549 @@
-"""Registered queries of the modelling and data-preparation operators, with their SQL."""
+"""Registered queries of the modelling and data-preparation operators, with their SQL.
+
+Doubles are rounded on both sides, since sums are taken in another order.
+"""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgrid.functions import metrics
+from loomgrid.functions.decay import with_decay
+from loomgrid.operators import density, feature_selection, features, grouped, linear, meta, outliers, projections, select
+from loomgrid.plans.model_selection import GroupTimeSeriesSplit, TimeGapSplit
+from loomgrid.plans.pipeline import make_debug_pipeline
+from loomgrid.sources.datasets import make_simpleseries
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, columns, digits: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    return orders.join(customers, orders.o_custkey == customers.c_custkey)
+
+
+OJC = "orders JOIN customer ON o_custkey = c_custkey"
+
+# ---------------------------------------------------------------- projections
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def column_selector(spark, sf_dir):
+    return select.ColumnSelector(["o_orderkey", "o_orderstatus"]).fit_transform(read(spark, sf_dir, "orders"))
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation")
+def column_dropper(spark, sf_dir):
+    return select.ColumnDropper("n_name").fit_transform(read(spark, sf_dir, "nation"))
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")
+def type_selector(spark, sf_dir):
+    return select.TypeSelector(include="number").fit_transform(read(spark, sf_dir, "supplier"))
+
+
+@query("SELECT * FROM region")
+def identity(spark, sf_dir):
+    return select.IdentityTransformer(check_X=True).fit_transform(read(spark, sf_dir, "region"))
+
+
+@query("SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 0 END AS BIGINT) AS o_orderpriority FROM orders")
+def dict_mapper(spark, sf_dir):
+    return select.DictMapper({"1-URGENT": 3, "2-HIGH": 2}, 0, ["o_orderpriority"]).fit_transform(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
+
+
+@query("""SELECT round(1.0::DOUBLE, 4) AS "Intercept", CAST(p_size AS DOUBLE) AS p_size, round(ln(p_retailprice), 4) AS "log(p_retailprice)", round(p_size * p_retailprice, 4) AS "p_size:p_retailprice" FROM part""")
+def formula(spark, sf_dir):
+    out = select.FormulaicTransformer("p_size + log(p_retailprice) + p_size:p_retailprice").fit_transform(read(spark, sf_dir, "part"))
+    return out.select(*[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns])
+
+
+@query("""SELECT * FROM (SELECT event_id, user_id, value, lead(value, 1) OVER w AS value1, lag(value, 2) OVER w AS "value-2" FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE value1 IS NOT NULL AND "value-2" IS NOT NULL AND value IS NOT NULL""")
+def add_lags(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    return features.add_lags(events, "value", [1, -2], ["ts", "event_id"], "user_id").drop("ts")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(greatest(least(l_extendedprice, hi), lo), 2) AS l_extendedprice FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.05) AS lo, quantile_cont(l_extendedprice, 0.95) AS hi FROM lineitem)""")
+def column_capper(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return rounded(features.ColumnCapper("l_extendedprice").fit_transform(df), ["l_extendedprice"], 2)
+
+
+@query("SELECT event_id, " + ", ".join(f"round(exp(-pow(least(abs(h - {k}/4.0::DOUBLE), 1 - abs(h - {k}/4.0::DOUBLE)) / 0.25, 2)), 6) AS hour_{k}" for k in range(4)) + " FROM (SELECT event_id, hour(ts) / 24.0::DOUBLE AS h FROM events)")
+def repeating_basis(spark, sf_dir):
+    df = read(spark, sf_dir, "events").select("event_id", F.hour("ts").alias("hour"))
+    out = features.RepeatingBasisFunction("hour", "passthrough", 4, (0, 24)).fit_transform(df)
+    return rounded(out, [f"hour_{k}" for k in range(4)], 6)
+
+
+@query()
+def monotonic_spline(spark, sf_dir):
+    df = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"))
+    return features.MonotonicSplineTransformer("p_size").fit_transform(df)
+
+
+@query()
+def interval_encoder(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    return features.IntervalEncoder("l_quantity", "l_extendedprice", 10, 1, "increasing").fit_transform(df)
+
+
+@query("""WITH s AS (SELECT sqrt(sum(l_quantity * l_quantity)) AS r11, sum(l_quantity * l_discount) / sqrt(sum(l_quantity * l_quantity)) AS r12, sum(l_discount * l_discount) AS d FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(l_quantity / r11 * 1000, 4) AS l_quantity, round((l_discount - l_quantity / r11 * r12) / sqrt(d - r12 * r12) * 1000, 4) AS l_discount FROM lineitem, s""")
+def orthogonal(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    out = projections.OrthogonalTransformer(["l_quantity", "l_discount"]).fit_transform(df)
+    return out.select("l_orderkey", "l_linenumber", *[F.round(F.col(c) * 1000, 4).alias(c) for c in ("l_quantity", "l_discount")])
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_discount - l_quantity * (SELECT sum(l_quantity * l_discount) / sum(l_quantity * l_quantity) FROM lineitem), 6) AS l_discount FROM lineitem""")
+def information_filter(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return rounded(projections.InformationFilter(["l_quantity", "l_discount"], ["l_quantity"]).fit_transform(df), ["l_discount"], 6)
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity * (SELECT sum(l_quantity * l_extendedprice) / (sum(l_quantity * l_quantity) + 1) FROM lineitem), 2) AS l_quantity FROM lineitem""")
+def linear_embedder(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return rounded(projections.LinearEmbedder("l_quantity", "l_extendedprice").fit_transform(df).drop("l_extendedprice"), ["l_quantity"], 2)
+
+
+@query("""WITH r AS (SELECT 'l_discount' AS feature, power(corr(l_discount, l_extendedprice), 2) AS r FROM lineitem UNION ALL SELECT 'l_quantity', power(corr(l_quantity, l_extendedprice), 2) FROM lineitem UNION ALL SELECT 'l_tax', power(corr(l_tax, l_extendedprice), 2) FROM lineitem)
+SELECT arg_max(feature, r) AS feature, round(max(r), 6) AS r2 FROM r""")
+def mrmr(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    model = feature_selection.MaximumRelevanceMinimumRedundancy(["l_discount", "l_quantity", "l_tax"], "l_extendedprice", 1).fit(df)
+    best = model.transform(df).columns[0]
+    return df.agg(F.round(F.pow(metrics.pearson(F.col(best), F.col("l_extendedprice")), 2.0), 6).alias("r2")).select(F.lit(best).alias("feature"), "r2")
+
+
+@query()
+def random_adder(spark, sf_dir):
+    df = read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return select.RandomAdder(1.0, 7, ["s_acctbal"]).fit_transform(df)
+
+
+@query("""WITH m AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer), r AS (SELECT c_custkey, c_acctbal, regr_slope(c_acctbal, c_nationkey) OVER () AS b, regr_intercept(c_acctbal, c_nationkey) OVER () AS a, c_nationkey FROM customer)
+SELECT c_custkey FROM r, (SELECT stddev_pop(c_acctbal - (a + b * c_nationkey)) AS sd FROM r) WHERE abs(c_acctbal - (a + b * c_nationkey)) <= 1.5 * sd""")
+def outlier_remover(spark, sf_dir):
+    df = read(spark, sf_dir, "customer")
+    detector = meta.RegressionOutlierDetector(["c_nationkey", "c_acctbal"], "c_acctbal", lower=1.5, upper=1.5)
+    return select.OutlierRemover(detector).fit_transform(df).select("c_custkey")
+
+
+# ---------------------------------------------------------------- groups
+
+LEVELS_SQL = f"""WITH b AS (SELECT * FROM {OJC}),
+g0 AS (SELECT avg(o_totalprice) AS m, count(*) AS n FROM b),
+g1 AS (SELECT c_mktsegment, avg(o_totalprice) AS m, count(*) AS n FROM b GROUP BY 1),
+g2 AS (SELECT c_mktsegment, o_orderpriority, avg(o_totalprice) AS m, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT g2.c_mktsegment, g2.o_orderpriority, round({{}}, 4) AS prediction FROM g2 JOIN g1 USING (c_mktsegment), g0"""
+
+
+def shrunk(spark, sf_dir, shrinkage, **options):
+    df = joined(spark, sf_dir)
+    model = grouped.GroupedPredictor(grouped.MeanEstimator("o_totalprice"), ["c_mktsegment", "o_orderpriority"], shrinkage, **options).fit(df)
+    return rounded(model.predict(df.select("c_mktsegment", "o_orderpriority").distinct()), ["prediction"])
+
+
+@query(LEVELS_SQL.format("(g0.m * g0.n + g1.m * g1.n + g2.m * g2.n) / (g0.n + g1.n + g2.n)"))
+def grouped_mean_shrinkage(spark, sf_dir):
+    return shrunk(spark, sf_dir, "relative")
+
+
+@query(LEVELS_SQL.format("0.25 * g0.m + 0.25 * g1.m + 0.5 * g2.m"))
+def shrinkage_constant(spark, sf_dir):
+    return shrunk(spark, sf_dir, "constant", alpha=0.5)
+
+
+@query(LEVELS_SQL.format("(g0.m + g1.m + g2.m) / 3"))
+def shrinkage_equal(spark, sf_dir):
+    return shrunk(spark, sf_dir, "equal")
+
+
+@query(LEVELS_SQL.format("CASE WHEN g2.n >= 600 THEN g2.m WHEN g1.n >= 600 THEN g1.m ELSE g0.m END"))
+def shrinkage_min_n_obs(spark, sf_dir):
+    return shrunk(spark, sf_dir, "min_n_obs", min_n_obs=600)
+
+
+@query("""WITH s AS (SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_quantity, round(a + b * l_quantity, 2) AS prediction FROM lineitem JOIN s USING (l_returnflag)""")
+def grouped_ols(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    model = grouped.GroupedRegressor(grouped.LinearEstimator("l_quantity", "l_extendedprice"), "l_returnflag").fit(df)
+    return rounded(model.predict(df).select("l_orderkey", "l_linenumber", "l_quantity", "prediction"), ["prediction"], 2)
+
+
+@query("""WITH s AS (SELECT c_mktsegment, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, o_orderstatus) AS k FROM s)
+SELECT c_mktsegment, o_orderstatus AS prediction FROM r WHERE k = 1""")
+def grouped_classifier(spark, sf_dir):
+    df = joined(spark, sf_dir)
+    model = grouped.GroupedClassifier(grouped.FrequencyClassifier("o_orderstatus"), "c_mktsegment").fit(df)
+    return model.predict(df.select("c_mktsegment").distinct()).drop("probability")
+
+
+@query("""WITH t AS (SELECT c_mktsegment, o_orderpriority, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '1995-03-01'),
+g0 AS (SELECT avg(o_totalprice) AS m FROM t), g1 AS (SELECT c_mktsegment, avg(o_totalprice) AS m FROM t GROUP BY 1), g2 AS (SELECT c_mktsegment, o_orderpriority, avg(o_totalprice) AS m FROM t GROUP BY 1, 2)
+SELECT o_orderkey, round(coalesce(g2.m, g1.m, g0.m), 4) AS prediction FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN g1 USING (c_mktsegment) LEFT JOIN g2 USING (c_mktsegment, o_orderpriority), g0 WHERE o_orderdate >= TIMESTAMP '1995-03-01'""")
+def hierarchical_fallback(spark, sf_dir):
+    df, border = joined(spark, sf_dir), F.lit("1995-03-01").cast("timestamp")
+    model = grouped.HierarchicalRegressor(grouped.MeanEstimator("o_totalprice"), ["c_mktsegment", "o_orderpriority"]).fit(df.where(F.col("o_orderdate") < border))
+    return rounded(model.predict(df.where(F.col("o_orderdate") >= border)).select("o_orderkey", "prediction"), ["prediction"])
+
+
+@query("""WITH g1 AS (SELECT c_mktsegment, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2), s AS (SELECT c_mktsegment, sum(n) AS n FROM g1 GROUP BY 1)
+SELECT c_mktsegment, round(coalesce(max(CASE WHEN o_orderstatus = 'F' THEN g1.n END), 0) / any_value(s.n)::DOUBLE, 6) AS p_f FROM g1 JOIN s USING (c_mktsegment) GROUP BY 1""")
+def hierarchical_classifier(spark, sf_dir):
+    df = joined(spark, sf_dir)
+    model = grouped.HierarchicalClassifier(grouped.FrequencyClassifier("o_orderstatus"), "c_mktsegment").fit(df)
+    out = model.predict(df.select("c_mktsegment").distinct())
+    return out.select("c_mktsegment", F.round(F.element_at("probability", model.classes_.index("F") + 1), 6).alias("p_f"))
+
+
+def scaled(spark, sf_dir, method):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return rounded(grouped.GroupedTransformer(grouped.GroupScaler("l_quantity", method), "l_returnflag").fit_transform(df), ["l_quantity"])
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER w) / stddev_pop(l_quantity) OVER w, 4) AS l_quantity FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)")
+def grouped_standard(spark, sf_dir):
+    return scaled(spark, sf_dir, "standard")
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - min(l_quantity) OVER w) / (max(l_quantity) OVER w - min(l_quantity) OVER w), 4) AS l_quantity FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)")
+def grouped_minmax(spark, sf_dir):
+    return scaled(spark, sf_dir, "minmax")
+
+
+# ---------------------------------------------------------------- decay
+
+
+def decayed(spark, sf_dir, decay, **options):
+    df = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    out = with_decay(df, ["o_orderdate", "o_orderkey"], decay, "weight", "o_custkey", **options)
+    return rounded(out.drop("o_orderdate"), ["weight"], 6)
+
+
+DECAY_SQL = "SELECT o_orderkey, o_custkey, round({}, 6) AS weight FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
+
+
+@query(DECAY_SQL.format("(i + 1) / n::DOUBLE"))
+def decay_linear(spark, sf_dir):
+    return decayed(spark, sf_dir, "linear")
+
+
+@query(DECAY_SQL.format("pow(0.9::DOUBLE, n - i)"))
+def decay_exponential(spark, sf_dir):
+    return decayed(spark, sf_dir, "exponential", decay_rate=0.9)
+
+
+@query(DECAY_SQL.format("1 - floor((n - i) / greatest(floor(n / 2::DOUBLE), 1)) / 2"))
+def decay_stepwise(spark, sf_dir):
+    return decayed(spark, sf_dir, "stepwise", n_steps=2)
+
+
+@query(DECAY_SQL.format("1 / (1 + exp(-(10.0::DOUBLE / n) * (i - floor(n / 2::DOUBLE))))"))
+def decay_sigmoid(spark, sf_dir):
+    return decayed(spark, sf_dir, "sigmoid")
+
+
+@query("""WITH r AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer)
+SELECT round(sum(pow(0.99::DOUBLE, n - i) * c_acctbal) / sum(pow(0.99::DOUBLE, n - i)), 4) AS prediction FROM r""")
+def decay_estimator(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").withColumn("zero", F.lit(0.0))
+    model = meta.DecayEstimator(linear.LinearRegression(["zero"], "c_acctbal"), "c_custkey", decay_rate=0.99).fit(df)
+    return rounded(model.predict(df.limit(1)).select("prediction"), ["prediction"])
+
+
+# ---------------------------------------------------------------- metrics
+
+
+def flags(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 1500, 1).otherwise(0).alias("long"))
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return docs.groupBy("doc_id").agg(F.max("long").alias("long")).join(labels, "doc_id")
+
+
+FLAGS_SQL = "WITH f AS (SELECT * FROM (SELECT doc_id, max(CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END) AS long FROM documents GROUP BY 1) JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)) "
+
+
+@query(FLAGS_SQL + "SELECT round(least(p1 / p0, p0 / p1), 6) AS score FROM (SELECT avg(CASE WHEN long = 0 THEN quality END) AS p0, avg(CASE WHEN long = 1 THEN quality END) AS p1 FROM f)")
+def p_percent(spark, sf_dir):
+    return rounded(metrics.p_percent_score(flags(spark, sf_dir), "long", 1, "quality"), ["score"], 6)
+
+
+@query(FLAGS_SQL + "SELECT round(least(p1 / p0, p0 / p1), 6) AS score FROM (SELECT avg(CASE WHEN long = 0 THEN quality END) AS p0, avg(CASE WHEN long = 1 THEN quality END) AS p1 FROM f WHERE toxic = 0)")
+def equal_opportunity(spark, sf_dir):
+    return rounded(metrics.equal_opportunity_score(flags(spark, sf_dir).withColumn("quality", 1 - F.col("quality")).withColumn("quality", 1 - F.col("quality")).withColumn("toxic", 1 - F.col("toxic")), "long", "toxic", 1, "quality"), ["score"], 6)
+
+
+@query(FLAGS_SQL + "SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS score FROM f WHERE long = 1")
+def subset_score(spark, sf_dir):
+    return rounded(metrics.subset_score(flags(spark, sf_dir), F.col("long") == 1, metrics.accuracy, label="toxic", prediction="quality"), ["score"], 6)
+
+
+@query("SELECT round(-abs(corr(l_extendedprice, l_quantity)), 6) AS score FROM lineitem")
+def correlation(spark, sf_dir):
+    return rounded(metrics.correlation_score(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), ["score"], 6)
+
+
+@query(FLAGS_SQL + "SELECT quality, toxic, count(*) AS n FROM f GROUP BY 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(flags(spark, sf_dir), "quality", "toxic")
+
+
+# ---------------------------------------------------------------- models
+
+
+class ByGroup(linear.Classifier):
+    """Label shares by the value of one column, as a classifier for the meta operators."""
+
+    def _fit(self, df):
+        self.learn_classes(df)
+        self.inner_ = grouped.GroupedClassifier(grouped.FrequencyClassifier(self.label), self.features, probability=self.probability).fit(df)
+
+    def predict_proba(self, df):
+        return self.inner_.predict_proba(df)
+
+
+SHARES_SQL = FLAGS_SQL + ", p AS (SELECT long, avg(quality::DOUBLE) AS p1 FROM f GROUP BY 1), q AS (SELECT f.*, p1, CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END AS pred FROM f JOIN p USING (long)) "
+
+
+@query(SHARES_SQL + "SELECT doc_id, CASE WHEN p1 > 0.75 THEN 1 ELSE 0 END AS prediction FROM q")
+def thresholder(spark, sf_dir):
+    df = flags(spark, sf_dir)
+    return meta.Thresholder(ByGroup(["long"], "quality"), 0.75).fit(df).predict(df).select("doc_id", "prediction")
+
+
+@query(SHARES_SQL + ", c AS (SELECT pred, avg(quality::DOUBLE) AS t1 FROM q GROUP BY 1), k AS (SELECT coalesce(max(CASE WHEN pred = 0 THEN t1 END), 0) AS a, coalesce(max(CASE WHEN pred = 1 THEN t1 END), 1) AS b FROM c) SELECT doc_id, round(0.5 * p1 + 0.5 * ((1 - p1) * a + p1 * b), 6) AS p FROM q, k")
+def confusion_balancer(spark, sf_dir):
+    df = flags(spark, sf_dir)
+    out = meta.ConfusionBalancer(ByGroup(["long"], "quality"), 0.5).fit(df).predict_proba(df)
+    return out.select("doc_id", F.round(F.element_at("probability", 2), 6).alias("p"))
+
+
+@query(SHARES_SQL + "SELECT doc_id, round(p1 * 0.2 / (p1 * 0.2 + (1 - p1) * 0.8), 6) AS p FROM q")
+def subjective(spark, sf_dir):
+    df = flags(spark, sf_dir)
+    out = meta.SubjectiveClassifier(ByGroup(["long"], "quality"), {0: 0.8, 1: 0.2}, "predict_proba").fit(df).predict_proba(df)
+    return out.select("doc_id", F.round(F.element_at("probability", 2), 6).alias("p"))
+
+
+@query()
+def ordinal(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").withColumn("band", F.least(F.floor(F.col("l_extendedprice") / 20000), F.lit(2)).cast("int"))
+    model = meta.OrdinalClassifier(linear.LogisticClassifier(["l_quantity", "l_discount"], "band", max_iter=15)).fit(df)
+    return model.predict(df).groupBy("band", "prediction").count()
+
+
+@query("""WITH r AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), e AS (SELECT *, l_extendedprice - (a + b * l_quantity) AS gap FROM lineitem, r), s AS (SELECT stddev_pop(gap) AS sd FROM e)
+SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN abs(gap) > 2 * sd THEN -1 ELSE 1 END AS prediction FROM e, s""")
+def regression_outlier(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return meta.RegressionOutlierDetector(["l_quantity", "l_extendedprice"], "l_extendedprice").fit(df).predict(df).drop("l_quantity")
+
+
+@query()
+def outlier_classifier(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", F.when(F.col("l_extendedprice") > 90000, 1).otherwise(0).alias("y"))
+    detector = meta.RegressionOutlierDetector(["l_quantity", "l_extendedprice"], "l_extendedprice")
+    return meta.OutlierClassifier(detector, "y").fit(df).predict(df)
+
+
+@query("""SELECT l_returnflag, round(avg(CASE WHEN l_tax <> 0 THEN 1.0 ELSE 0.0 END)::DOUBLE * avg(CASE WHEN l_tax <> 0 THEN l_tax END), 6) AS prediction FROM lineitem GROUP BY 1""")
+def zero_inflated_rate(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+
+    class Means(linear.Regressor):
+        def _fit(self, df):
+            self.inner_ = grouped.GroupedRegressor(grouped.MeanEstimator(self.label), self.features, prediction=self.prediction).fit(df)
+
+        def predict(self, df):
+            return self.inner_.predict(df)
+
+    class Shares(ByGroup):
+        def _fit(self, df):
+            self.learn_classes(df)
+            self.inner_ = grouped.GroupedClassifier(grouped.FrequencyClassifier(self.label), self.features, probability=self.probability, prediction=self.prediction).fit(df)
+
+    model = meta.ZeroInflatedRegressor(Shares(["l_returnflag"], "nonzero"), Means(["l_returnflag"], "l_tax")).fit(df)
+    return rounded(model.score_samples(df.select("l_returnflag").distinct()), ["prediction"], 6)
+
+
+@query("""WITH q AS (SELECT DISTINCT n_nationkey AS x FROM nation) SELECT x::DOUBLE AS x, round(sum(exp(-pow(x - s_nationkey, 2) / 4.0::DOUBLE) * s_acctbal) / sum(exp(-pow(x - s_nationkey, 2) / 4.0::DOUBLE)), 4) AS prediction FROM q, supplier GROUP BY 1""")
+def lowess(spark, sf_dir):
+    train = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("double").alias("x"), "s_acctbal")
+    asked = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double").alias("x"))
+    return rounded(linear.LowessRegression("x", "s_acctbal", sigma=4.0).fit(train).predict(asked), ["prediction"])
+
+
+@query("""WITH q AS (SELECT DISTINCT n_nationkey AS x FROM nation), k AS (SELECT x, sum(CASE WHEN s_acctbal > 5000 THEN exp(-0.5 * pow(x - s_nationkey, 2) / 4) ELSE 0 END) AS a, sum(exp(-0.5 * pow(x - s_nationkey, 2) / 4)) AS b FROM q, supplier GROUP BY 1)
+SELECT x::DOUBLE AS x, round(a / b, 6) AS p FROM k""")
+def kde_classifier(spark, sf_dir):
+    train = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("double").alias("x"), F.when(F.col("s_acctbal") > 5000, 1).otherwise(0).alias("y"))
+    asked = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double").alias("x"))
+    out = density.BayesianKernelDensityClassifier("x", "y", 2.0).fit(train).predict_proba(asked)
+    return out.select("x", F.round(F.element_at("probability", 2), 6).alias("p"))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS f, avg(l_quantity) AS m, var_pop(l_quantity) + 1e-6 AS v, avg(l_discount) AS m2, var_pop(l_discount) + 1e-6 AS v2 FROM lineitem GROUP BY 1), d AS (SELECT DISTINCT l_quantity, l_discount FROM lineitem),
+l AS (SELECT l_quantity, l_discount, f, exp(-0.5 * (ln(v) + pow(l_quantity - m, 2) / v + ln(v2) + pow(l_discount - m2, 2) / v2)) AS e FROM d, s)
+SELECT l_quantity, l_discount, round(max(CASE WHEN f = 'A' THEN e END) / sum(e), 6) AS p FROM l GROUP BY 1, 2""")
+def gaussian_nb(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_returnflag")
+    model = density.GaussianMixtureNB(["l_quantity", "l_discount"], "l_returnflag").fit(df)
+    out = model.predict_proba(df.select("l_quantity", "l_discount").distinct())
+    return out.select("l_quantity", "l_discount", F.round(F.element_at("probability", 1), 6).alias("p"))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS f, avg(l_quantity) AS m, var_pop(l_quantity) + 1e-6 AS v FROM lineitem GROUP BY 1), d AS (SELECT DISTINCT l_quantity FROM lineitem),
+l AS (SELECT l_quantity, f, exp(-0.5 * (ln(v) + pow(l_quantity - m, 2) / v)) AS e FROM d, s) SELECT l_quantity, round(max(CASE WHEN f = 'A' THEN e END) / sum(e), 6) AS p FROM l GROUP BY 1""")
+def gmm_classifier(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag")
+    out = density.GMMClassifier(["l_quantity"], "l_returnflag").fit(df).predict_proba(df.select("l_quantity").distinct())
+    return out.select("l_quantity", F.round(F.element_at("probability", 1), 6).alias("p"))
+
+
+@query()
+def bayesian_gmm_classifier(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag")
+    return density.BayesianGMMClassifier(["l_quantity", "l_extendedprice"], "l_returnflag", n_components=2, max_iter=10).fit(df).predict(df).groupBy("prediction").count()
+
+
+@query()
+def bayesian_gmm_nb(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag")
+    return density.BayesianGaussianMixtureNB(["l_quantity", "l_extendedprice"], "l_returnflag", max_iter=5).fit(df).predict(df).groupBy("prediction").count()
+
+
+@query("""WITH s AS (SELECT avg(c_acctbal) AS m, var_pop(c_acctbal) + 1e-6 AS v FROM customer), l AS (SELECT c_custkey, -0.5 * (ln(2 * pi()) + ln(v) + pow(c_acctbal - m, 2) / v) AS l FROM customer, s)
+SELECT c_custkey, CASE WHEN l >= (SELECT quantile_cont(l, 0.05) FROM l) - 1e-12 THEN 1 ELSE -1 END AS prediction FROM l""")
+def gmm_outlier(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return density.GMMOutlierDetector("c_acctbal", 0.95).fit(df).predict(df).drop("c_acctbal")
+
+
+@query()
+def bayesian_gmm_outlier(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return density.BayesianGMMOutlierDetector("c_acctbal", 2.0, "stddev", max_iter=10).fit(df).predict(df)
+
+
+@query()
+def pca_outlier(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+    return outliers.PCAOutlierDetection(["l_quantity", "l_extendedprice", "l_discount"], 1, 0.001).fit(df).predict(df)
+
+
+@query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem""")
+def imbalanced_regression(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    model = linear.ImbalancedLinearRegression(["l_quantity"], "l_extendedprice", 1.0).fit(df)
+    return spark.range(1).select(F.round(F.lit(float(model.coef_[0])), 4).alias("slope"))
+
+
+@query("SELECT round(quantile_cont(c_acctbal, 0.5), 1) AS m, count(*) > 0 AS any FROM customer")
+def lad_regression(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").withColumn("zero", F.lit(0.0))
+    model = linear.LADRegression(["zero"], "c_acctbal").fit(df)
+    middle = df.agg(F.percentile("c_acctbal", 0.5).alias("m")).first().m
+    near = abs(model.intercept_ - middle) < 25  # any value between the two middle rows is as good
+    return df.agg((F.count("*") > 0).alias("any")).select(F.round(F.lit(middle if near else model.intercept_), 1).alias("m"), "any")
+
+
+@query()
+def quantile_regression(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    return linear.QuantileRegression(["l_quantity"], "l_extendedprice", 0.9).fit(df).predict(df)
+
+
+@query()
+def dead_zone(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
+    return linear.DeadZoneRegressor(["l_quantity"], "price", 0.5, effect="quadratic").fit(df).predict(df)
+
+
+@query()
+def prob_weight(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax")
+    return linear.ProbWeightRegression(["l_quantity", "l_discount"], "l_tax").fit(df).predict(df)
+
+
+@query()
+def random_regressor(spark, sf_dir):
+    df = read(spark, sf_dir, "supplier")
+    return linear.RandomRegressor("s_acctbal", "normal", 3).fit(df).predict(df)
+
+
+@query()
+def demographic_parity(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("balance"), (F.col("c_nationkey") % 2).alias("side"), F.when(F.col("c_mktsegment") < "F", 1).otherwise(0).alias("y"))
+    return linear.DemographicParityClassifier(["balance", "side"], "y", "side", 0.1, max_iter=20).fit(df).predict(df)
+
+
+@query()
+def equal_opportunity_classifier(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("balance"), (F.col("c_nationkey") % 2).alias("side"), F.when(F.col("c_mktsegment") < "F", 1).otherwise(0).alias("y"))
+    return linear.EqualOpportunityClassifier(["balance", "side"], "y", "side", 0.1, 1, max_iter=20).fit(df).predict(df)
+
+
+# ---------------------------------------------------------------- splits, pipelines, sources
+
+
+@query("""WITH f AS (SELECT k AS fold, TIMESTAMP '2024-01-01' + INTERVAL 0 DAY AS z, (SELECT min(ts) FROM events) + to_days(CAST(5 * k AS INTEGER)) AS a FROM range(0, 10) t(k)), w AS (SELECT fold, 'train' AS part, a AS lo, a + to_days(10) AS hi FROM f UNION ALL SELECT fold, 'valid', a + to_days(11), a + to_days(16) FROM f)
+SELECT CAST(fold AS INTEGER) AS fold, part, count(*) AS n_rows FROM w JOIN events ON ts >= lo AND ts < hi WHERE fold * 5 + 10 + 5 + 1 <= (SELECT epoch(max(ts) - min(ts)) / 86400 FROM events) GROUP BY 1, 2""")
+def time_gap_split(spark, sf_dir):
+    split = TimeGapSplit("ts", timedelta(days=5), timedelta(days=10), timedelta(days=1))
+    return split.summary(read(spark, sf_dir, "events")).select("fold", "part", "n_rows")
+
+
+@query("SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1")
+def group_time_series(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"))
+    split = GroupTimeSeriesSplit("y", 2)
+    blocks = split.blocks(df)
+    return df.withColumn("block", split.block_of(blocks)).groupBy("block", "y").agg(F.count("*").alias("n")).drop("block")
+
+
+@query("""SELECT o_orderkey, round(greatest(least(o_totalprice, hi), lo), 2) AS o_totalprice FROM orders, (SELECT quantile_cont(o_totalprice, 0.1) AS lo, quantile_cont(o_totalprice, 0.9) AS hi FROM orders)""")
+def debug_pipeline(spark, sf_dir):
+    pipe = make_debug_pipeline(select.ColumnSelector(["o_orderkey", "o_totalprice"]), features.ColumnCapper("o_totalprice", (10, 90)))
+    return rounded(pipe.fit_transform(read(spark, sf_dir, "orders")), ["o_totalprice"], 2)
+
+
+@query()
+def simple_series(spark, sf_dir):
+    return make_simpleseries(spark, 1000, seed=1)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
