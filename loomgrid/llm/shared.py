@@ -71,11 +71,10 @@ def tile_pairs(rows: DataFrame, cell: list[str], item: str, offsets: list[tuple[
     ``rows`` has integer ``cell`` columns (``grid`` are those that neighbours may differ in) and an ``item`` to pack.
     ``offsets`` hold one of each offset and its negative, and zero, so that each pair of rows meets exactly once.
     A cell of many rows is split into tiles of about ``tile_rows``, so no task ever holds a whole hot cell. The
-    number of cells is bounded by the grid's geometry, not by the data; the join of their counts is left to
-    Spark, which broadcasts it only under its own size threshold.
+    number of cells is bounded by the grid's geometry, not by the data, so their counts are broadcast.
     """
     counts = rows.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("_chunks"))
-    dealt = rows.join(counts, cell).withColumn("_chunk", F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int"))
+    dealt = rows.join(F.broadcast(counts), cell).withColumn("_chunk", F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int"))
     tiles = materialize(dealt.groupBy(*cell, "_chunk").agg(F.collect_list(item).alias("_items")), "tiles")
     steps = F.explode(F.array(*[F.struct(*[F.lit(o).alias(g) for g, o in zip(grid, off)]) for off in offsets]))
     left = tiles.select(*cell, F.col("_chunk").alias("_lchunk"), F.col("_items").alias("left"), steps.alias("_step"))
