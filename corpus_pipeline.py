@@ -40,12 +40,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents read from files are taken in the order of the files' names and rows, others by doc_id."""
-    key, order = [F.col("doc_id").cast("long").alias("doc_id")], None
-    try:
-        docs = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-        key, order = [*key, F.col("__file"), F.col("__row")], ["__file", "__row"]
-    except AnalysisException:  # no file metadata: the table isn't read from files
-        pass
+    key, order = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")], None
+    if "_metadata" not in docs.columns:
+        try:
+            docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+            key, order = [*key, F.col("file"), F.col("row")], ["file", "row"]
+        except AnalysisException:  # no file metadata: the table isn't read from files
+            pass
     return tokenbin.token_binary(docs, scratch(spark, "token-files"), public_tokenizers.path(TOKENIZER), VOCABULARY, key=key, order=order)
 
 

@@ -6,7 +6,8 @@ softmax over those names the language. Learning takes a bounded sample of labell
 predicted whole: all its windows of ``WINDOW`` bytes count, in proportion to the bytes that they hold.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; null labels aren't learned from;
-without any labelled row every text is ``und``; repeated rows are each predicted; other columns are ignored.
+without any labelled row every text is ``und``; repeated rows are each predicted; null doc_ids are
+never learned from nor held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,5 +163,5 @@ def predict_column(net: Network, text: str = "text") -> Column:
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; fold ``held`` of its id is never learned from."""
     net = learn(docs, slot("doc_id", folds) != held)
-    out = docs.select("doc_id", (slot("doc_id", folds) == held).alias("held_out"), predict_column(net).alias("_p"))
+    out = docs.select("doc_id", F.coalesce(slot("doc_id", folds) == held, F.lit(False)).alias("held_out"), predict_column(net).alias("_p"))
     return out.select("doc_id", "held_out", "_p.lang_pred", "_p.score")

@@ -10,8 +10,8 @@ dropped or repeated.
 The rank of a document in its source comes from counts by (source, hash range), so no task sees a whole source.
 
 Defined cases: null sources are one source; repeated rows each get a place; ties of the hash go by doc_id; an empty
-table gives an empty one; sources without a share get share 1; columns of the input may have any names, those that
-this module adds start with two underscores.
+table gives an empty one; sources without a share get share 1; a null doc_id is a value like any other; columns of the
+input may have any names.
 """
 
 from __future__ import annotations
@@ -85,13 +85,13 @@ def tempered(counts: dict[str, int], power: float = 0.5, total: int = SHARES) ->
 
 
 def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, power: float = 0.5, tie: list[Column] | None = None) -> DataFrame:
-    """The rows of ``docs`` with __source, __block, __slot and __position (ascending: the order of the mixture).
+    """(row, __source, __block, __slot, __position): each row of ``docs`` as a struct and its place; positions ascend in the order of the mixture.
 
     ``shares`` are the integer target weights by source; by default ``tempered`` ones. The driver holds one count for
     each source, and the shares' sum times the number of sources at most as schedule.
     """
     spark = docs.sparkSession
-    named = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)), "__hash": F.xxhash64("doc_id", *(tie or []))})
+    named = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"__source": F.coalesce(F.col("row.source").cast("string"), F.lit(NO_SOURCE)), "__hash": F.xxhash64("row.doc_id", *(tie or []))})
     counts = {r[0]: r[1] for r in named.groupBy("__source").count().collect()}
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, shares or tempered(counts, power))
     rows = []
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_rows: int =
     ranged = named.withColumn("__range", F.shiftrightunsigned("__hash", 64 - bits) if bits else F.lit(0).cast("long"))
     sizes = ranged.groupBy("__source", "__range").agg(F.count("*").alias("__n"))
     before = sizes.select("__source", "__range", (F.sum("__n").over(Window.partitionBy("__source").orderBy("__range")) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__source", "__range").orderBy("__hash", "doc_id")) - 1
+    inside = F.row_number().over(Window.partitionBy("__source", "__range").orderBy("__hash", "row.doc_id")) - 1
     ranked = ranged.withColumn("__inside", inside).join(before, ["__source", "__range"]).withColumn("__rank", F.col("__before") + F.col("__inside"))
     placed = ranked.withColumn("__block", F.floor(F.col("__rank") / F.lit(block_rows))).join(schedule, "__source")
     phase = F.element_at(F.filter("__phases", lambda p: p["first"] <= F.col("__block")), -1)
@@ -111,16 +111,16 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_rows: int =
     share = F.col("__phase.share")
     slot = F.col("__phase.start") + F.floor(F.col("__i") / share) * F.col("__phase.total") + F.element_at("__phase.slots", (F.pmod("__i", share) + 1).cast("int"))
     placed = placed.withColumn("__slot", slot).withColumn("__position", F.col("__slot") * block_rows + F.pmod("__rank", F.lit(block_rows)))
-    return placed.select(*docs.columns, "__source", "__block", "__slot", "__position")
+    return placed.select("row", "__source", "__block", "__slot", "__position")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, block, slot, position) of every document."""
     of = mix(docs.select("doc_id", "source"), **options)
-    return of.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
+    return of.select("row.doc_id", "row.source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """The documents with their columns, sorted into the order of the mixture."""
-    tie = [F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
-    return mix(docs, tie=tie, **options).orderBy("__position").select(*docs.columns)
+    tie = [F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))]
+    return mix(docs, tie=tie, **options).orderBy("__position").select("row.*")

@@ -7,7 +7,9 @@ others are skipped; those that meet are compared exactly, with numpy's exclusive
 returns a spanning forest of its links, never all pairs of a group, and no link between different texts is lost.
 
 Defined cases: null text is an empty text; no words give fingerprint zero, linked like any other; an empty table
-gives an empty one; repeated rows are returned as often as they come in; other columns are ignored.
+gives an empty one; repeated rows are returned as often as they come in; null doc_ids come after all others, and a class
+of null doc_ids alone has component null; other columns are ignored. ``keep_one`` takes rows of equal doc_id as one
+document: they stay or go together, and of those with equal text one stays.
 """
 
 from __future__ import annotations
@@ -96,7 +98,8 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = WORDS
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """The documents of smallest doc_id of each class, with their columns; rows that repeat a kept document go."""
     of = simhash_components(docs, radius, words)
-    kept = materialize(of.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    alike = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_alike")
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("_kept"), alike).join(kept, "_kept", "left_semi")
-    return rows.dropDuplicates(["_kept", "_alike"]).select(*[docs[c] for c in docs.columns])
+    kept = materialize(of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    alike = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"_kept": F.col("row.doc_id").cast("long"), "_alike": alike})
+    whole = rows.join(kept, rows["_kept"].eqNullSafe(kept["_kept"]), "left_semi")
+    return whole.dropDuplicates(["_kept", "_alike"]).select("row.*")

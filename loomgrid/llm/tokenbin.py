@@ -7,7 +7,7 @@ are committed by Spark's own writer, so a lost executor leaves no half-written b
 to will do.
 
 Defined cases: null text is an empty text (one id, the end id); an empty table gives empty tables; rows that repeat
-a doc_id are all kept, ordered by the crc of their ids; other columns are ignored.
+a doc_id are all kept, ordered by the crc of their ids; a null doc_id is written as -1; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int
 
     The last row of each partition has only ``totals``: how often each id came up in it.
     """
-    kind, key = width(vocabulary), key or [F.col("doc_id").cast("long").alias("doc_id")]
+    kind, key = width(vocabulary), key or [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")]
     named = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     keys = [f.name for f in named.schema.fields[:-1]]
     end = np.array([end_id], kind).tobytes()

@@ -7,7 +7,7 @@ by the hash space. Every text is scored whole.
 
 Defined cases: null, empty and word-less texts score as the bias alone; labels other than 0 and 1 are ignored, of
 several labels of a document the largest counts; without any labelled row every score is 0; with one class the bias
-alone decides; repeated rows are each scored; other columns are ignored.
+alone decides; repeated rows are each scored; null doc_ids are never learned from nor held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def score_column(weights: Weights, text: str = "text") -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; fold 0 of its id is never learned from."""
     weights = learn(docs, labels, slot("doc_id", folds) != 0)
-    scored = docs.select("doc_id", (slot("doc_id", folds) == 0).alias("held_out"), score_column(weights).alias("score"))
+    scored = docs.select("doc_id", F.coalesce(slot("doc_id", folds) == 0, F.lit(False)).alias("held_out"), score_column(weights).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
