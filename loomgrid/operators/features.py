@@ -118,7 +118,7 @@ class MonotonicSplineTransformer(Operator):
         t = np.concatenate([base[0] - (base[1] - base[0]) * np.arange(p, 0, -1), base, base[-1] + (base[-1] - base[-2]) * np.arange(1, p + 1)])
         x = F.greatest(F.least(F.col(c).cast("double"), F.lit(float(base[-1]))), F.lit(float(base[0])))
         last = len(base) - 2 + p  # the piece that holds the right end
-        level = [F.when((x >= float(t[i])) & ((x <= float(t[i + 1])) if i == last else (x < float(t[i + 1]))), 1.0).otherwise(0.0) for i in range(len(t) - 1)]
+        level = [F.when((x >= float(t[i])) & ((x <= float(t[i + 1])) if i == last else (x < float(t[i + 1]))), 1.0).otherwise(0.0) if i <= last else F.lit(0.0) for i in range(len(t) - 1)]
         for d in range(1, p + 1):
             share = lambda a, b, i: (a / F.lit(float(b))) * level[i] if b else F.lit(0.0)  # noqa: B023, E731
             level = [share(x - float(t[i]), t[i + d] - t[i], i) + share(F.lit(float(t[i + d + 1])) - x, t[i + d + 1] - t[i + 1], i + 1) for i in range(len(level) - 1)]

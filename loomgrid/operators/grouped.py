@@ -51,8 +51,7 @@ class QuantileEstimator(MeanEstimator):
         return F.struct(F.percentile(F.col(self.label).cast("double"), self.quantile).alias("mean"))
 
 
-@F.pandas_udf("array<double>")
-def _solve(sums: pd.Series) -> pd.Series:
+def _solve(sums: Column) -> Column:
     """Coefficients from the upper triangle of the Gram matrix of (features.., label), batch by batch."""
 
     def one(row) -> list[float]:
@@ -62,7 +61,11 @@ def _solve(sums: pd.Series) -> pd.Series:
         g += np.triu(g, 1).T
         return np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0].tolist()
 
-    return sums.map(one)
+    @F.pandas_udf("array<double>")
+    def solved(rows: pd.Series) -> pd.Series:
+        return rows.map(one)
+
+    return solved(sums)
 
 
 class LinearEstimator(MeanEstimator):

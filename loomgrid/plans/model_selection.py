@@ -116,17 +116,23 @@ class GroupTimeSeriesSplit:
         if n < parts:
             raise ValueError(f"{parts} runs need at least as many groups, found {n}")
         ends, ideal = np.concatenate([[0], np.cumsum(sizes)]), total / parts
-        best: dict[tuple[int, int], tuple[float, tuple[int, ...]]] = {}
+        best: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
 
-        def cost(a: int, b: int) -> float:
-            return abs(float(ends[b] - ends[a]) - ideal)
+        low = next((i for i in range(n) if ends[i + 1] - 1 >= 0.9 * ideal), n)
+        high = n - next((i for i in range(n) if total - ends[n - 1 - i] - 1 >= 0.9 * ideal), n) + 1
+        allowed = set(range(max(low, 1), min(high, n)))
+        allowed = allowed if len(allowed) >= parts - 1 else set(range(1, n))
+
+        def cost(a: int, b: int) -> int:  # in whole numbers, so that ties are ties
+            return abs(int(ends[b] - ends[a]) * parts - total)
 
         for a in range(n):
             best[1, a] = (cost(a, n), ())
         for k in range(2, parts + 1):
-            for a in range(n - k + 1):
-                options = [(round(cost(a, b) + best[k - 1, b][0], 9), (b, *best[k - 1, b][1])) for b in range(a + 1, n - k + 2)]
-                best[k, a] = min(options)
+            for a in range(n):
+                options = [(cost(a, b) + best[k - 1, b][0], (b, *best[k - 1, b][1])) for b in range(a + 1, n) if b in allowed and (k - 1, b) in best]
+                if options:
+                    best[k, a] = min(options)
         return list(best[parts, 0][1])
 
     def blocks(self, df: DataFrame) -> list[tuple]:
