@@ -1,0 +1,22 @@
+import duckdb
+import pytest
+
+from loomgrid.llm import queries as q
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_sql_agrees(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(q.oracle_sql()[name]).df()
+    got = q.queries()[name](spark, sf_dir).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = sorted(got.columns)
+    assert sorted(map(tuple, got[cols].astype(str).values)) == sorted(map(tuple, want[cols].astype(str).values))
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in q.queries()) == list(range(1, 11))
