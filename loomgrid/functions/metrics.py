@@ -20,10 +20,10 @@ def correlation_score(df: DataFrame, column: str, prediction: str = "prediction"
 
 def _ratio(df: DataFrame, sensitive_column: str, hit: Column, empty: float) -> DataFrame:
     z = F.col(sensitive_column)
-    guard = F.when(z.isin(0, 1), hit).otherwise(F.raise_error(F.lit(f"{sensitive_column} has to hold only 0 and 1")).cast("double"))
-    sides = df.agg(F.avg(F.when(z == 0, guard)).alias("p0"), F.avg(F.when(z == 1, guard)).alias("p1"), F.count(guard).alias("n"), F.count(F.when(z.isin(0, 1), 1)).alias("checked"))
+    sides = df.agg(F.avg(F.when(z == 0, hit)).alias("p0"), F.avg(F.when(z == 1, hit)).alias("p1"), F.count(F.when(~z.isin(0, 1), 1)).alias("others"))
     p0, p1 = F.col("p0"), F.col("p1")
-    score = F.when(p0.isNull() | p1.isNull(), F.lit(empty)).when((p0 == 0) & (p1 == 0), 1.0).when((p0 == 0) | (p1 == 0), 0.0)
+    wrong = F.raise_error(F.lit(f"{sensitive_column} has to hold only 0 and 1")).cast("double")
+    score = F.when(F.col("others") > 0, wrong).when(p0.isNull() | p1.isNull(), F.lit(empty)).when((p0 == 0) & (p1 == 0), 1.0).when((p0 == 0) | (p1 == 0), 0.0)
     return sides.select(score.otherwise(F.least(F.try_divide(p1, p0), F.try_divide(p0, p1))).alias("score"))
 
 

@@ -1,0 +1,71 @@
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from loomgrid.functions import metrics as m
+from loomgrid.functions.decay import with_decay
+
+
+def weights_of(spark, n, decay, **options):
+    df = spark.range(n).withColumnRenamed("id", "t")
+    return [r.weight for r in with_decay(df, "t", decay, **options).orderBy("t").collect()]
+
+
+@pytest.mark.parametrize("n", [1, 5, 12])
+def test_decay_formulas(spark, n):
+    i = np.arange(n)
+    assert np.allclose(weights_of(spark, n, "linear", min_value=0.2, max_value=0.8), 0.2 + 0.6 * (i + 1) / n)
+    assert np.allclose(weights_of(spark, n, "exponential", decay_rate=0.9), 0.9 ** (n - i))
+    assert np.allclose(weights_of(spark, n, "sigmoid"), 1 / (1 + np.exp(-10 / n * (i - n // 2))))
+    if n > 1:
+        assert np.allclose(weights_of(spark, n, "stepwise", n_steps=2), 1 - (n - i) // (n // 2) / 2)
+        steps = n // 2
+        assert np.allclose(weights_of(spark, n, "stepwise", step_size=2), 1 - (n - i) // (n // steps) / steps)
+
+
+def test_decay_partitions_custom_and_errors(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, t int")
+    out = with_decay(df, "t", "linear", partition_by="k").orderBy("k", "t").collect()
+    assert [r.weight for r in out] == [0.5, 1.0, 1.0]
+    assert weights_of(spark, 3, lambda i, n: i / n) == [0, 1 / 3, 2 / 3]
+    for decay, options in (("linear", {"min_value": 1, "max_value": 0}), ("exponential", {"decay_rate": 1.0}), ("stepwise", {}), ("stepwise", {"n_steps": 1, "step_size": 1}), ("stepwise", {"n_steps": -1}), ("sigmoid", {"growth_rate": 2}), ("zz", {})):
+        with pytest.raises(ValueError):
+            with_decay(df, "t", decay, **options)
+
+
+def score(df):
+    return df.first().score
+
+
+def sides(spark, rows):
+    return spark.createDataFrame(rows, "z int, label int, prediction int")
+
+
+def test_p_percent(spark):
+    same = [(0, 1, 1), (0, 1, 0), (1, 1, 1), (1, 1, 0)]
+    assert score(m.p_percent_score(sides(spark, same), "z")) == 1.0
+    assert score(m.p_percent_score(sides(spark, [(0, 1, 1), (1, 1, 0)]), "z")) == 0.0
+    assert score(m.p_percent_score(sides(spark, [(0, 1, 0), (1, 1, 0)]), "z")) == 1.0
+    third = [(0, 1, 1)] * 3 + [(0, 1, 0)] + [(1, 1, 1)] + [(1, 1, 0)] * 3
+    assert np.isclose(score(m.p_percent_score(sides(spark, third), "z")), 1 / 3)
+    with pytest.raises(PySparkException):
+        m.p_percent_score(sides(spark, [(2, 1, 1)]), "z").collect()
+
+
+def test_equal_opportunity(spark):
+    rows = [(0, 1, 1)] * 4 + [(1, 1, 1)] * 3 + [(1, 1, 0), (0, 0, 0), (1, 0, 1)]
+    assert np.isclose(score(m.equal_opportunity_score(sides(spark, rows), "z")), 0.75)
+    assert score(m.equal_opportunity_score(sides(spark, [(0, 1, 1), (1, 0, 1)]), "z")) == 0.0
+    assert score(m.equal_opportunity_score(sides(spark, [(0, 1, 0), (1, 1, 0)]), "z")) == 1.0
+
+
+def test_subset_and_correlation(spark):
+    rows = [(0, 1, 1), (0, 0, 1), (0, 0, 1), (0, 0, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1), (1, 0, 1)]
+    df = sides(spark, rows)
+    assert score(m.subset_score(df, F.col("z") == 0, m.accuracy)) == 0.25
+    assert score(m.subset_score(df, lambda d: d.where("z = 1"), m.accuracy)) == 0.75
+    assert score(m.subset_score(df, F.col("z") == 9, m.accuracy)) is None
+    assert score(m.correlation_score(df, "z")) is None  # a constant prediction
+    assert score(m.correlation_score(df.withColumn("prediction", -F.col("z")), "z")) == pytest.approx(-1)
+    assert {(r.label, r.prediction): r.n for r in m.confusion(df).collect()} == {(0, 1): 4, (1, 1): 4}
