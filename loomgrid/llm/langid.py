@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.shared import slot
+from loomgrid.llm.shared import slot, small_batches
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -128,12 +128,12 @@ def train(samples: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -
 
 def learn(docs: DataFrame, where: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> Network:
     """A network from at most ``sample_rows`` documents of each language among those that ``where`` keeps."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = docs.where("lang is not null")
     known = known if where is None else known.where(where)
-    hashed = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    hashed = known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
     # A bound on the hash of each language, from its count, keeps about twice the rows wanted; then the smallest.
-    counts = docs.where("lang is not null").groupBy("lang").count()
-    near = hashed.join(counts, "lang").where((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("count") <= 3.0 * sample_rows + 100)
+    counts = known.groupBy("lang").count()
+    near = hashed.join(F.broadcast(counts), "lang")  # one row for each language.where((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("count") <= 3.0 * sample_rows + 100)
     picked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= sample_rows)
     ids = F.broadcast(picked.select("doc_id", "lang"))  # at most sample_rows for each language
     chars = WINDOW
@@ -163,5 +163,5 @@ def predict_column(net: Network, text: str = "text") -> Column:
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; fold ``held`` of its id is never learned from."""
     net = learn(docs, slot("doc_id", folds) != held)
-    out = docs.select("doc_id", F.coalesce(slot("doc_id", folds) == held, F.lit(False)).alias("held_out"), predict_column(net).alias("_p"))
+    out = small_batches(docs).select("doc_id", F.coalesce(slot("doc_id", folds) == held, F.lit(False)).alias("held_out"), predict_column(net).alias("_p"))
     return out.select("doc_id", "held_out", "_p.lang_pred", "_p.score")

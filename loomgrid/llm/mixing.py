@@ -7,7 +7,8 @@ block from its target. The schedule repeats after P slots, so only one period is
 block left, a new phase begins with the shares of those that remain; every document gets exactly one place, none is
 dropped or repeated.
 
-The rank of a document in its source comes from counts by (source, hash range), so no task sees a whole source.
+The rank of a document in its source comes from counts by (source, hash range), and so do the slots of its block: no task
+sees a whole source, and the documents move once to be ranked and, if sorted, once more.
 
 Defined cases: null sources are one source; repeated rows each get a place; ties of the hash go by doc_id; an empty
 table gives an empty one; sources without a share get share 1; a null doc_id is a value like any other; columns of the
@@ -20,13 +21,16 @@ import heapq
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 64
 RANGE_ROWS = 256
+MOST_BITS = 20
 SHARES = 1000
 NO_SOURCE = "\0none"
+PHASES = pa.list_(pa.struct([(n, pa.int64()) for n in ("first", "start", "share", "total")] + [("slots", pa.list_(pa.int32()))]))
 
 
 def period(shares: dict[str, int]) -> list[str]:
@@ -94,23 +98,28 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_rows: int =
     named = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"__source": F.coalesce(F.col("row.source").cast("string"), F.lit(NO_SOURCE)), "__hash": F.xxhash64("row.doc_id", *(tie or []))})
     counts = {r[0]: r[1] for r in named.groupBy("__source").count().collect()}
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, shares or tempered(counts, power))
-    rows = []
-    for s in counts:
-        rows.append((s, [(p.first[s], p.start, p.shares[s], sum(p.shares.values()), p.slots[s]) for p in plan if s in p.shares]))
-    schedule = spark.createDataFrame(rows, "__source string, __phases array<struct<first: long, start: long, share: int, total: int, slots: array<int>>>")
+    of = [[{"first": p.first[s], "start": p.start, "share": p.shares[s], "total": sum(p.shares.values()), "slots": p.slots[s]} for p in plan if s in p.shares] for s in counts]
+    schedule = spark.createDataFrame(pa.table({"__source": pa.array(list(counts), pa.string()), "__phases": pa.array(of, PHASES)}))  # not rows: those start Python workers
 
-    bits = max(0, math.ceil(math.log2(max([1, *counts.values()]) / RANGE_ROWS)))
+    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max([1, *counts.values()]) / RANGE_ROWS))))
     ranged = named.withColumn("__range", F.shiftrightunsigned("__hash", 64 - bits) if bits else F.lit(0).cast("long"))
+    # By (source, range): the rank of its first row, and the slots of the blocks that its rows fall in.
     sizes = ranged.groupBy("__source", "__range").agg(F.count("*").alias("__n"))
-    before = sizes.select("__source", "__range", (F.sum("__n").over(Window.partitionBy("__source").orderBy("__range")) - F.col("__n")).alias("__before"))
+    before = F.sum("__n").over(Window.partitionBy("__source").orderBy("__range")) - F.col("__n")
+    spans = sizes.withColumn("__before", before).join(schedule, "__source")
+    first, last = F.floor(F.col("__before") / F.lit(block_rows)), F.floor((F.col("__before") + F.col("__n") - 1) / F.lit(block_rows))
+
+    def slot(block: Column) -> Column:
+        p = F.element_at(F.filter("__phases", lambda p: p["first"] <= block), -1)
+        i = block - p["first"]
+        return p["start"] + F.floor(i / p["share"]) * p["total"] + F.element_at(p["slots"], (F.pmod(i, p["share"]) + 1).cast("int"))
+
+    spans = spans.select("__source", "__range", "__before", first.alias("__first"), F.transform(F.sequence(first, last), slot).alias("__slots"))
     inside = F.row_number().over(Window.partitionBy("__source", "__range").orderBy("__hash", "row.doc_id")) - 1
-    ranked = ranged.withColumn("__inside", inside).join(before, ["__source", "__range"]).withColumn("__rank", F.col("__before") + F.col("__inside"))
-    placed = ranked.withColumn("__block", F.floor(F.col("__rank") / F.lit(block_rows))).join(schedule, "__source")
-    phase = F.element_at(F.filter("__phases", lambda p: p["first"] <= F.col("__block")), -1)
-    placed = placed.withColumn("__phase", phase).withColumn("__i", F.col("__block") - F.col("__phase.first"))
-    share = F.col("__phase.share")
-    slot = F.col("__phase.start") + F.floor(F.col("__i") / share) * F.col("__phase.total") + F.element_at("__phase.slots", (F.pmod("__i", share) + 1).cast("int"))
-    placed = placed.withColumn("__slot", slot).withColumn("__position", F.col("__slot") * block_rows + F.pmod("__rank", F.lit(block_rows)))
+    ranked = ranged.withColumn("__inside", inside).join(spans, ["__source", "__range"]).withColumn("__rank", F.col("__before") + F.col("__inside"))
+    placed = ranked.withColumn("__block", F.floor(F.col("__rank") / F.lit(block_rows)))
+    placed = placed.withColumn("__slot", F.element_at("__slots", (F.col("__block") - F.col("__first") + 1).cast("int")))
+    placed = placed.withColumn("__position", F.col("__slot") * block_rows + F.pmod("__rank", F.lit(block_rows)))
     return placed.select("row", "__source", "__block", "__slot", "__position")
 
 
