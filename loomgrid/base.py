@@ -12,6 +12,7 @@ import math
 import uuid
 from functools import reduce
 from operator import add
+from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,27 @@ class Detector(Operator):
     _transform = predict
 
 
+@runtime_checkable
+class ProbabilisticClassifier(Protocol):
+    """Anything with probabilities."""
+
+    def predict_proba(self, df: DataFrame) -> DataFrame: ...
+
+
+@runtime_checkable
+class Clusterer(Protocol):
+    """Anything that tags rows with their cluster."""
+
+    def tagged(self, df: DataFrame) -> DataFrame: ...
+
+
+@runtime_checkable
+class OutlierModel(Protocol):
+    """Anything whose decision is at least 0 for ordinary rows."""
+
+    def decision(self) -> Column: ...
+
+
 # ---------------------------------------------------------------- helpers
 
 
@@ -131,6 +153,22 @@ def as_list(value) -> list:
     return list(value) if isinstance(value, (list, tuple, set)) else [] if value is None else [value]
 
 
+def flatten(nested) -> list:
+    """All items of lists within lists."""
+    return [x for item in nested for x in (flatten(item) if isinstance(item, (list, tuple, set)) else [item])]
+
+
+def expanding_list(items, kind: type = list) -> list:
+    """Every prefix of the items, the shortest first: the levels of a rollup."""
+    items = as_list(items)
+    return [kind(items[: k + 1]) for k in range(len(items))]
+
+
+def sliding_window(sequence, window_size: int, step_size: int):
+    """Stretches of the sequence; the last ones may be short."""
+    return (sequence[k : k + window_size] for k in range(0, len(sequence), step_size))
+
+
 def temp(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
@@ -161,15 +199,24 @@ def best_class(p: Column, classes: list) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(p, F.array_max(p)).cast("int"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it: long expressions don't multiply."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def shares(p: Column) -> Column:
+    """An array in proportion to its sum; zeros if that is zero."""
+    whole = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return let(p, lambda a: let(whole(a), lambda w: F.transform(a, lambda x: F.coalesce(F.try_divide(x, w), F.lit(0.0)))))
+
+
 def normalised(p: list[Column]) -> Column:
-    whole = total(p)
-    return F.array(*[F.coalesce(F.try_divide(x, whole), F.lit(0.0)) for x in p])
+    return shares(F.array(*p))
 
 
 def softmax(logs: list[Column]) -> Column:
-    """Exponentials in proportion, safe for any size of the logarithms."""
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    return normalised([F.exp(x - top) for x in logs])
+    """Exponentials in proportion, safe for any size of the logarithms; a null logarithm gets probability 0."""
+    return shares(let(F.array(*logs), lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0))))))
 
 
 def distinct_values(df: DataFrame, column: str) -> list:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.base import Operator, as_list, best_class, distinct_values, finite, temp, total
+from loomgrid.base import Operator, as_list, best_class, distinct_values, finite, let, softmax, temp, total
 from loomgrid.functions.shrinkage import weights
 
 # ---------------------------------------------------------------- inner estimators
@@ -138,10 +138,7 @@ class GaussianClassifier(FrequencyClassifier):
                 logs.append(-0.5 * (F.log(v) + F.pow(F.col(x).cast("double") - F.element_at(s["m"], i), F.lit(2.0)) / v))
             return F.when(s["n"] > 0, total(logs))
 
-        logs = [score(k) for k in range(len(self.classes))]
-        top = F.array_max(F.array(*logs))
-        e = [F.coalesce(F.exp(x - top), F.lit(0.0)) for x in logs]
-        return F.array(*[F.try_divide(x, total(e)) for x in e])
+        return softmax([score(k) for k in range(len(self.classes))])
 
 
 class PandasEstimator:
@@ -311,7 +308,7 @@ class HierarchicalPredictor(GroupedPredictor):
         for depth in reversed(range(len(ps))):  # the deepest known prefix
             w = weights([F.col(n) for n in ns[: depth + 1]], self.shrinkage, **self.options)
             if parts:
-                value = F.array(*[total([x * F.element_at(v, k + 1) for x, v in zip(w, of)]) for k in range(parts)])
+                value = let(F.array(*of), lambda vs: F.array(*[total([x * F.element_at(F.element_at(vs, i + 1), k + 1) for i, x in enumerate(w)]) for k in range(parts)]))  # noqa: B023
             else:
                 value = total([x * v for x, v in zip(w, of)])
             known = F.col(ns[depth]).isNotNull()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.base import Classifier, Regressor, as_list, gram, linear, solve, total
+from loomgrid.base import Classifier, Regressor, as_list, gram, let, linear, normalised, shares, solve, total
 
 
 class LinearRegression(Regressor):
@@ -407,7 +407,7 @@ class LogisticClassifier(Classifier):
 
     def probabilities(self) -> Column:
         p = 1 / (1 + F.exp(-self.decision()))
-        return F.array(1 - p, p)
+        return let(p, lambda x: F.array(1 - x, x))
 
 
 class DemographicParityClassifier(LogisticClassifier):
@@ -465,7 +465,7 @@ class OneVsRest(Classifier):
 
     def probabilities(self) -> Column:
         p = [F.element_at(m.probabilities(), 2) for m in self.models_]
-        return F.array(*[F.coalesce(F.try_divide(x, total(p)), F.lit(1.0 / len(p))) for x in p])
+        return normalised(p)
 
 
 class OneVsOne(OneVsRest):
@@ -477,10 +477,14 @@ class OneVsOne(OneVsRest):
         self.models_ = {(a, b): self.model.fit(df.where(F.col(self.label).isin(a, b))) for a, b in pairs}
 
     def probabilities(self) -> Column:
-        won = {c: [] for c in self.classes_}
-        for (a, b), m in self.models_.items():
-            p = F.element_at(m.probabilities(), 2)
-            won[b].append(F.when(p > 0.5, 1.0).otherwise(0.0) + p / 1e3)
-            won[a].append(F.when(p > 0.5, 0.0).otherwise(1.0) + (1 - p) / 1e3)
-        scores = [total(won[c]) for c in self.classes_]
-        return F.array(*[s / total(scores) for s in scores])
+        pairs = list(self.models_)
+
+        def scores(p: Column) -> Column:
+            won = {c: [] for c in self.classes_}
+            for k, (a, b) in enumerate(pairs):
+                x = F.element_at(p, k + 1)
+                won[b].append(F.when(x > 0.5, 1.0).otherwise(0.0) + x / 1e3)
+                won[a].append(F.when(x > 0.5, 0.0).otherwise(1.0) + (1 - x) / 1e3)
+            return F.array(*[total(won[c]) for c in self.classes_])
+
+        return shares(let(F.array(*[F.element_at(self.models_[k].probabilities(), 2) for k in pairs]), scores))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from loomgrid.functions import metrics
 from loomgrid.functions.decay import with_decay
 from loomgrid.operators import density, feature_selection, features, grouped, linear, meta, outliers, projections, select
-from loomgrid.plans.model_selection import GroupTimeSeriesSplit, TimeGapSplit
-from loomgrid.plans.pipeline import make_debug_pipeline
+from loomgrid.plans.model_selection import ClusterFoldValidation, GroupTimeSeriesSplit, TimeGapSplit
+from loomgrid.plans.pipeline import log_step, make_debug_pipeline
 from loomgrid.sources.datasets import make_simpleseries
 
 QUERIES: dict = {}
@@ -112,6 +112,12 @@ def interval_encoder(spark, sf_dir):
     return features.IntervalEncoder("l_quantity", "l_extendedprice", 10, 1, "increasing").fit_transform(df)
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity, round(l_quantity * (SELECT sum(l_discount * l_quantity) / sum(l_quantity * l_quantity) FROM lineitem), 6) AS projection FROM lineitem")
+def vector_projection(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return rounded(projections.vector_projection(df, "l_discount", "l_quantity").drop("l_discount"), ["projection"], 6)
+
+
 @query("""WITH s AS (SELECT sqrt(sum(l_quantity * l_quantity)) AS r11, sum(l_quantity * l_discount) / sqrt(sum(l_quantity * l_quantity)) AS r12, sum(l_discount * l_discount) AS d FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(l_quantity / r11 * 1000, 4) AS l_quantity, round((l_discount - l_quantity / r11 * r12) / sqrt(d - r12 * r12) * 1000, 4) AS l_discount FROM lineitem, s""")
 def orthogonal(spark, sf_dir):
@@ -240,6 +246,28 @@ def grouped_minmax(spark, sf_dir):
     return scaled(spark, sf_dir, "minmax")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity, round(quantile_cont(l_quantity, 0.5) OVER (PARTITION BY l_returnflag), 4) AS prediction FROM lineitem")
+def grouped_median(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    model = grouped.GroupedRegressor(grouped.QuantileEstimator("l_quantity"), "l_returnflag").fit(df)
+    return rounded(model.predict(df).select("l_orderkey", "l_linenumber", "l_quantity", "prediction"), ["prediction"])
+
+
+@query("""WITH s AS (SELECT c_mktsegment, avg(c_acctbal) AS m FROM customer GROUP BY 1) SELECT c_custkey, round(m, 4) AS prediction FROM customer JOIN s USING (c_mktsegment)""")
+def grouped_pandas(spark, sf_dir):
+    df = read(spark, sf_dir, "customer")
+    inner = grouped.PandasEstimator("c_nationkey", "c_acctbal", lambda f: float(f["c_acctbal"].mean()), lambda m, f: [m] * len(f))
+    return rounded(grouped.GroupedRegressor(inner, "c_mktsegment").fit(df).predict(df).select("c_custkey", "prediction"), ["prediction"])
+
+
+@query("""WITH t AS (SELECT * FROM lineitem), s AS (SELECT l_returnflag AS f, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) + 1e-9 AS v FROM t GROUP BY 1), q AS (SELECT DISTINCT l_quantity FROM t),
+l AS (SELECT l_quantity, f, n * exp(-0.5 * (ln(v) + pow(l_quantity - m, 2) / v)) AS e FROM q, s) SELECT l_quantity, round(max(CASE WHEN f = 'A' THEN e END) / sum(e), 6) AS p FROM l GROUP BY 1""")
+def grouped_gaussian(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag", F.lit("all").alias("g"))
+    out = grouped.GroupedClassifier(grouped.GaussianClassifier("l_quantity", "l_returnflag"), "g").fit(df).predict(df.select("l_quantity", "g").distinct())
+    return out.select("l_quantity", F.round(F.element_at("probability", 1), 6).alias("p"))
+
+
 # ---------------------------------------------------------------- decay
 
 
@@ -272,6 +300,13 @@ def decay_sigmoid(spark, sf_dir):
     return decayed(spark, sf_dir, "sigmoid")
 
 
+@query("""WITH r AS (SELECT regr_slope(c_acctbal, c_nationkey) AS b, regr_intercept(c_acctbal, c_nationkey) AS a FROM customer) SELECT c_custkey, round(a + b * c_nationkey, 4) AS feature FROM customer, r""")
+def estimator_transformer(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    out = meta.EstimatorTransformer(linear.LinearRegression("c_nationkey", "c_acctbal")).fit_transform(df)
+    return rounded(out.select("c_custkey", "feature"), ["feature"])
+
+
 @query("""WITH r AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer)
 SELECT round(sum(pow(0.99::DOUBLE, n - i) * c_acctbal) / sum(pow(0.99::DOUBLE, n - i)), 4) AS prediction FROM r""")
 def decay_estimator(spark, sf_dir):
@@ -530,6 +565,27 @@ def group_time_series(spark, sf_dir):
     return df.withColumn("block", split.block_of(blocks)).groupBy("block", "y").agg(F.count("*").alias("n")).drop("block")
 
 
+@query()
+def cluster_folds(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return ClusterFoldValidation(["c_acctbal"]).tagged(df).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1")
+def logged_step(spark, sf_dir):
+    @log_step(shape=False, names=True, print_fn=lambda line: None)
+    def totals(df):
+        return df.groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"))
+
+    return totals(read(spark, sf_dir, "events"))
+
+
+@query()
+def one_vs_rest(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select((F.col("c_acctbal") / 1000).alias("balance"), (F.col("c_nationkey") / 25).alias("nation"), "c_mktsegment")
+    return linear.OneVsRest(linear.LogisticClassifier(["balance", "nation"], "c_mktsegment", max_iter=5)).fit(df).predict(df).groupBy("prediction").count()
+
+
 @query("""SELECT o_orderkey, round(greatest(least(o_totalprice, hi), lo), 2) AS o_totalprice FROM orders, (SELECT quantile_cont(o_totalprice, 0.1) AS lo, quantile_cont(o_totalprice, 0.9) AS hi FROM orders)""")
 def debug_pipeline(spark, sf_dir):
     pipe = make_debug_pipeline(select.ColumnSelector(["o_orderkey", "o_totalprice"]), features.ColumnCapper("o_totalprice", (10, 90)))

@@ -178,3 +178,19 @@ def test_entry_imports_without_the_subpackage():
         shutil.copytree(f"{root}/loomgrid", f"{d}/loomgrid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
         code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q if k[:2] == 'op' and k[2:3].isdigit()); assert set(e.oracle_sql()) <= set(q)"
         subprocess.run([sys.executable, "-c", code], cwd=d, check=True, env={**os.environ, "PYTHONPATH": d})
+
+
+def test_helpers_and_invariants(spark, numbers):
+    from loomgrid import base, testing
+    from loomgrid.operators import density
+
+    assert base.flatten([1, [2, (3, [4])]]) == [1, 2, 3, 4]
+    assert base.expanding_list(["a", "b"]) == [["a"], ["a", "b"]] and base.expanding_list("a", tuple) == [("a",)]
+    assert list(base.sliding_window([1, 2, 3, 4], 2, 1)) == [[1, 2], [2, 3], [3, 4], [4]]
+    assert isinstance(linear.LogisticClassifier("a", "y"), base.ProbabilisticClassifier) and not isinstance(linear.LinearRegression("a", "y"), base.ProbabilisticClassifier)
+    assert isinstance(density.GMMOutlierDetector("a"), base.OutlierModel) and isinstance(ClusterFoldValidation(["a"]), base.Clusterer)
+    testing.check_shape_remains_same(features.ColumnCapper("a"), numbers)
+    testing.check_shape_remains_same(linear.LinearRegression("a", "y"), numbers, "predict")
+    testing.check_input_is_kept(grouped.GroupedRegressor(grouped.MeanEstimator("y"), "b"), numbers)
+    with pytest.raises(AssertionError):
+        testing.check_shape_remains_same(select.OutlierRemover(density.GMMOutlierDetector("a", 0.5)), numbers)
