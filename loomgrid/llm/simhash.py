@@ -97,9 +97,10 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = WORDS
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """The documents of smallest doc_id of each class, with their columns; rows that repeat a kept document go."""
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).alias("_kept")
     of = simhash_components(docs, radius, words)
-    kept = materialize(of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    alike = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumns({"_kept": F.col("row.doc_id").cast("long"), "_alike": alike})
-    whole = rows.join(kept, rows["_kept"].eqNullSafe(kept["_kept"]), "left_semi")
-    return whole.dropDuplicates(["_kept", "_alike"]).select("row.*")
+    kept = materialize(of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(known("doc_id")).distinct(), "kept")
+    alike = F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("_alike")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", known("row.doc_id"), alike)
+    # The join deals the rows by id, which the removal of repeated rows needs as well: the texts move once.
+    return rows.join(kept, "_kept", "left_semi").dropDuplicates(["_kept", "_alike"]).select("row.*")
