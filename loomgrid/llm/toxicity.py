@@ -28,7 +28,7 @@ from loomgrid.llm.shared import slot
 BITS = 20
 SAMPLE_ROWS = 8_000
 EPOCHS = 6
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 4.0, 0.1
 CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W_]+")
 
