@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.shared import small_batches
+
 ERROR_RATE = 0.2
 MIN_WORDS = 5
 BLOCK_CHARS = 4_000_000
@@ -131,7 +133,7 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
 def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, item_words, last_word) of every item that a document holds within its budget."""
     schema = "doc_id long, item_id long, edits int, item_words int, last_word long"
-    texts, out = docs.select(F.col("doc_id").cast("long"), "text"), None
+    texts, out = small_batches(docs).select(F.col("doc_id").cast("long"), "text"), None
     for block in blocks(benchmark, block_chars):
 
         def run(batches, block=block):
@@ -143,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
 
         part = texts.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return texts.mapInArrow(lambda batches: iter(()), schema) if out is None else out
 
 
 def clean_column(block: list[tuple[int, str]], error_rate: float, min_words: int, text: str = "text") -> Column:
@@ -161,5 +163,5 @@ def clean_column(block: list[tuple[int, str]], error_rate: float, min_words: int
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no item within its budget, with their columns."""
     for block in blocks(benchmark, block_chars):
-        docs = docs.where(clean_column(block, error_rate, min_words))
+        docs = small_batches(docs).where(clean_column(block, error_rate, min_words))
     return docs

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.shared import small_batches
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
@@ -215,5 +217,5 @@ def pseudonym_column(key: bytes, text: str = "text", back: bool = False) -> Colu
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, found, n_found) of every document."""
-    out = docs.select("doc_id", pseudonym_column(key).alias("_p"))
+    out = small_batches(docs).select("doc_id", pseudonym_column(key).alias("_p"))
     return out.select("doc_id", "_p.text", "_p.found", F.size("_p.found").alias("n_found"))

@@ -44,6 +44,19 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Rows go to Python in batches of at most 8 MB (a setting of the session, lowered only): what a task holds outside the
+    heap then doesn't grow with the length of texts."""
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_KEY, None)
+    if now is not None and (not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES):
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df
+
+
 def slot(key: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo: the folds of the query contracts."""
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(modulus))
@@ -133,7 +146,7 @@ def components(links: DataFrame) -> DataFrame:
     many in practice). Partitions reduce their links to spanning forests before each exchange. Links from a node
     to itself are ignored; no links give an empty table.
     """
-    reduce = lambda df: df.mapInArrow(spanning, "a long, b long")
+    reduce = lambda df: small_batches(df).mapInArrow(spanning, "a long, b long")
     current, hooks, done = materialize(reduce(links.select("a", "b").where("a <> b")), "links"), [], []
     while not current.isEmpty():
         ways = current.union(current.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))

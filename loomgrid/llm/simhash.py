@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.shared import Forest, components, discard, materialize, tile_pairs
+from loomgrid.llm.shared import Forest, components, discard, materialize, small_batches, tile_pairs
 
 RADIUS = 3
 WORDS = 3
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fps = np.fromiter((fingerprint(t or "", words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES) -> DataFrame:
@@ -79,7 +79,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, lanes: int = LANES) -> Data
                             forest.link(p, q)
         yield forest.batch()
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    return small_batches(pairs).mapInArrow(compare, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, lanes: int = LANES) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.shared import chunked, discard, kept, materialize
+from loomgrid.llm.shared import chunked, discard, kept, materialize, small_batches
 
 END_ID = 2
 MAX_BITS = 16
@@ -99,7 +99,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int
     The last row of each partition has only ``totals``: how often each id came up in it.
     """
     kind, key = width(vocabulary), key or [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")]
-    named = docs.select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    named = small_batches(docs).select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     keys = [f.name for f in named.schema.fields[:-1]]
     end = np.array([end_id], kind).tobytes()
 
@@ -237,7 +237,8 @@ def write_tokens(tokens: DataFrame, path: str, vocabulary: int, shards: int | No
         counts[token_id] = n
     lengths = code_lengths(counts, max_bits)
     used = np.flatnonzero(lengths)
-    spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "token_id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
+    # From an Arrow table: rows given as a Python list would start a second set of Python workers on the executors.
+    spark.createDataFrame(pa.table({"token_id": pa.array(used, pa.int64()), "bits": pa.array(lengths[used], pa.int32())})).coalesce(1).write.parquet(f"{path}/codebook")
     codes = canonical(lengths)
     book = spark.sparkContext.broadcast((codes, lengths))  # two arrays of the vocabulary's length
 
@@ -299,7 +300,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, every: i
 
     schema = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
     fields = ["doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"]
-    return blocks.mapInArrow(decode, schema).join(base, "shard").select(*fields, *["ids"] * with_ids)
+    return small_batches(blocks).mapInArrow(decode, schema).join(base, "shard").select(*fields, *["ids"] * with_ids)
 
 
 def token_binary(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int = END_ID, key: list | None = None, order: list | None = None) -> DataFrame:

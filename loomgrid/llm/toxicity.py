@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.shared import slot
+from loomgrid.llm.shared import slot, small_batches
 
 BITS = 20
 SAMPLE_ROWS = 8_000
@@ -107,7 +107,7 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known if where is None else known.where(where)
     picked = known.groupBy("doc_id").agg(F.max(label).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most sample_rows
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most sample_rows
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))
 
     def gather(batches):
@@ -144,10 +144,10 @@ def score_column(weights: Weights, text: str = "text") -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; fold 0 of its id is never learned from."""
     weights = learn(docs, labels, slot("doc_id", folds) != 0)
-    scored = docs.select("doc_id", F.coalesce(slot("doc_id", folds) == 0, F.lit(False)).alias("held_out"), score_column(weights).alias("score"))
+    scored = small_batches(docs).select("doc_id", F.coalesce(slot("doc_id", folds) == 0, F.lit(False)).alias("held_out"), score_column(weights).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def reject(docs: DataFrame, weights: Weights, threshold: float = 0.5) -> DataFrame:
     """The documents below the threshold, with their columns."""
-    return docs.where(score_column(weights) < threshold)
+    return small_batches(docs).where(score_column(weights) < threshold)

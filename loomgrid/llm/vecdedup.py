@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.shared import Forest, components, discard, materialize, tile_pairs
+from loomgrid.llm.shared import Forest, components, discard, materialize, small_batches, tile_pairs
 
 THRESHOLD = 0.95
 BLOCK_DIMS = 8
@@ -77,7 +77,7 @@ def near(distinct: DataFrame, dims: int, threshold: float, block_dims: int, grid
                 at = np.pad(at, ((0, 0), (0, grid_dims - at.shape[1])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), *[pa.array(at[:, i]) for i in range(grid_dims)], pa.array(blobs, pa.binary())], names=["block", *grid, "item"])
 
-    rows = distinct.select("class_id", "copies", "vector").mapInArrow(cells, "block int, " + "".join(f"{g} int, " for g in grid) + "item binary")
+    rows = small_batches(distinct).select("class_id", "copies", "vector").mapInArrow(cells, "block int, " + "".join(f"{g} int, " for g in grid) + "item binary")
     steps = [o for o in itertools.product((-1, 0, 1), repeat=grid_dims) if o >= (0,) * grid_dims]
     pairs = tile_pairs(rows.select("block", *grid, "item"), ["block", *grid], "item", steps, TILE_ROWS, grid, carry="block")
 
@@ -119,7 +119,7 @@ def near(distinct: DataFrame, dims: int, threshold: float, block_dims: int, grid
         yield pa.RecordBatch.from_arrays([tree.column(0), tree.column(1), pa.nulls(tree.num_rows, pa.int64())], names=["a", "b", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(linked), pa.int64()), pa.nulls(len(linked), pa.int64()), pa.array(list(linked.values()), pa.int64())], names=["a", "b", "n"])
 
-    return pairs.mapInArrow(compare, "a long, b long, n long")
+    return small_batches(pairs).mapInArrow(compare, "a long, b long, n long")
 
 
 def vector_components(vectors: DataFrame, threshold: float = THRESHOLD, block_dims: int = BLOCK_DIMS, grid_dims: int = GRID_DIMS) -> DataFrame:
