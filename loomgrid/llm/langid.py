@@ -131,9 +131,10 @@ def learn(docs: DataFrame, where: Column | None = None, sample_rows: int = SAMPL
     known = docs.where("lang is not null")
     known = known if where is None else known.where(where)
     hashed = known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    # A bound on the hash of each language, from its count, keeps about twice the rows wanted; then the smallest.
+    # A bound on the hash of each language, from its count, keeps about three times the rows wanted; then the smallest. The counts are one
+    # row for each language.
     counts = known.groupBy("lang").count()
-    near = hashed.join(F.broadcast(counts), "lang")  # one row for each language.where((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("count") <= 3.0 * sample_rows + 100)
+    near = hashed.join(F.broadcast(counts), "lang").where((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("count") <= 3.0 * sample_rows + 100)
     picked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= sample_rows)
     ids = F.broadcast(picked.select("doc_id", "lang"))  # at most sample_rows for each language
     chars = WINDOW
