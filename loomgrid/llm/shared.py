@@ -21,17 +21,14 @@ DIR_KEY = "spark.checkpoint.dir"
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names; only where none is named (tests), in a temporary folder."""
-    base = spark.conf.get(DIR_KEY, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="loomgrid-")
-        spark.conf.set(DIR_KEY, base)
+    base = spark.conf.get(DIR_KEY, None) or kept("scratch", lambda: tempfile.mkdtemp(prefix="loomgrid-"))
     return f"{base.rstrip('/')}/loomgrid/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, and later jobs don't repeat the work."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -138,16 +135,18 @@ def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield forest.batch()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, reduced: bool = False) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b longs); component is the smallest node reachable.
 
     Each round hooks every node to the smallest of itself and its neighbours and contracts the links; the
     smallest node of a component is never hooked away, so the rounds end when no link is left (logarithmically
     many in practice). Partitions reduce their links to spanning forests before each exchange. Links from a node
-    to itself are ignored; no links give an empty table.
+    to itself are ignored; no links give an empty table. ``reduced`` links come from tasks that span them already: two Python
+    steps in one task would hold twice as many workers.
     """
     reduce = lambda df: small_batches(df).mapInArrow(spanning, "a long, b long")
-    current, hooks, done = materialize(reduce(links.select("a", "b").where("a <> b")), "links"), [], []
+    given = links.select("a", "b").where("a <> b")
+    current, hooks, done = materialize(given if reduced else reduce(given), "links"), [], []
     while not current.isEmpty():
         ways = current.union(current.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
         hook = materialize(ways.select("node", F.least("node", "near").alias("up")), "hooks")

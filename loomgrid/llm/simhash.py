@@ -86,7 +86,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = WORDS
     """(doc_id, fingerprint, component_id): the class of each document, the smallest doc_id reachable by links."""
     prints = materialize(fingerprints(docs, words), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(distinct, radius, lanes)).toDF("fp", "root")
+    found = components(links(distinct, radius, lanes), reduced=True).toDF("fp", "root")
     rooted = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     label = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "labels")
