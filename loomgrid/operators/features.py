@@ -18,9 +18,9 @@ def add_lags(df: DataFrame, cols, lags, order_by, partition_by=None, drop_na: bo
     refuse_stream(df, "add_lags")
     cols = [df.columns[c] if isinstance(c, int) else c for c in as_list(cols)]
     if missing := [c for c in cols if c not in df.columns]:
-        raise KeyError(f"the column(s) {missing} don't exist")
+        raise KeyError(f"no such columns: {missing}")
     if not all(isinstance(lag, int) for lag in as_list(lags)):
-        raise ValueError("lags must be a list of integers")
+        raise ValueError("lags have to be whole numbers")
     place = Window.partitionBy(*as_list(partition_by)).orderBy(*as_list(order_by))
     shifted = {f"{c}{lag}": F.lead(c, lag).over(place) if lag >= 0 else F.lag(c, -lag).over(place) for c in cols for lag in as_list(lags)}
     out = df.withColumns(shifted)

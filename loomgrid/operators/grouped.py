@@ -247,7 +247,7 @@ class GroupedPredictor(Operator):
 
     def _value(self, ps: list[str], ns: list[str]) -> Column:
         of = [self.estimator_.predicted(F.col(p)) for p in ps]
-        unseen = F.raise_error(F.concat(F.lit("found new group: "), F.to_json(F.struct(*self.groups))))
+        unseen = F.raise_error(F.concat(F.lit("no model was fitted for group: "), F.to_json(F.struct(*self.groups))))
         kind = "array<double>" if self.estimator_.classifier else "double"
         if self.shrinkage is None:
             known = F.when(F.col(ns[-1]).isNotNull(), of[-1])
@@ -379,6 +379,6 @@ class GroupedTransformer(Operator):
         for keys, state, p, n in zip(self.levels_, self.states_, ps, ns):
             out = attach(out, state, keys, p, n)
         used = F.when(F.col(ns[-1]).isNotNull(), F.col(ps[-1]))
-        used = used.otherwise(F.col(ps[0]) if len(ps) > 1 else F.raise_error(F.lit("found new group")).cast(out.schema[ps[0]].dataType))
+        used = used.otherwise(F.col(ps[0]) if len(ps) > 1 else F.raise_error(F.lit("no model was fitted for this group")).cast(out.schema[ps[0]].dataType))
         scaled = {c: (F.col(c).cast("double") - used[c]["low"]) / used[c]["scale"] for c in self.transformer.columns}
         return out.withColumns(scaled).drop(*ps, *ns, *([] if self.keep_groups else self.groups))

@@ -21,7 +21,7 @@ class PCAOutlierDetection(Detector):
 
     def _fit(self, df: DataFrame) -> None:
         if not self.threshold:
-            raise ValueError("the threshold value cannot be None or 0")
+            raise ValueError("set a threshold other than 0")
         n, self.mean_, s = centred(df, self.features)
         values, vectors = np.linalg.eigh(s / max(n - 1, 1))
         values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
@@ -55,7 +55,7 @@ class UMAPOutlierDetection(Detector):
 
     def _fit(self, df: DataFrame) -> None:
         if not self.threshold:
-            raise ValueError("the threshold value cannot be None or 0")
+            raise ValueError("set a threshold other than 0")
         try:
             import umap
         except ImportError as e:

@@ -20,9 +20,9 @@ class ColumnSelector(Operator):
 
     def _fit(self, df: DataFrame) -> None:
         if not self.columns:
-            raise ValueError("expected columns to be at least of length 1, found none")
+            raise ValueError("name at least one column")
         if missing := [c for c in self.columns if c not in df.columns]:
-            raise KeyError(f"{missing} column(s) not in DataFrame")
+            raise KeyError(f"no such columns: {missing}")
 
     def uses(self) -> list[str]:
         return self.columns
@@ -41,7 +41,7 @@ class ColumnDropper(ColumnSelector):
         super()._fit(df)
         self.feature_names_ = [c for c in df.columns if c not in self.columns]
         if not self.feature_names_:
-            raise ValueError(f"dropping {self.columns} would leave no column")
+            raise ValueError(f"dropping {self.columns} would drop every column")
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.drop(*self.columns)
@@ -80,11 +80,11 @@ class TypeSelector(Operator):
 
     def _fit(self, df: DataFrame) -> None:
         if self.include is None and self.exclude is None:
-            raise ValueError("provide at least one of include and exclude")
+            raise ValueError("say what to include, what to exclude, or both")
         inc, exc = as_list(self.include), as_list(self.exclude)
         self.feature_names_ = [f.name for f in df.schema if (not inc or any(of_type(f, k) for k in inc)) and not any(of_type(f, k) for k in exc)]
         if not self.feature_names_:
-            raise ValueError("provided type(s) results in empty table")
+            raise ValueError("no column is of these types")
         self.dtypes_ = dict(df.dtypes)
 
     def uses(self) -> list[str]:

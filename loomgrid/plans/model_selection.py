@@ -15,11 +15,11 @@ class TimeGapSplit:
 
     def __init__(self, date_col: str, valid_duration: timedelta, train_duration: timedelta | None = None, gap_duration: timedelta = timedelta(0), stride_duration: timedelta | None = None, n_splits: int | None = None, window: str = "rolling") -> None:
         if train_duration is None and n_splits is None:
-            raise ValueError("either train_duration or n_splits has to be defined")
+            raise ValueError("give train_duration, n_splits or both")
         if window not in ("rolling", "expanding"):
             raise ValueError("window has to be rolling or expanding")
         if train_duration is not None and train_duration <= gap_duration:
-            raise ValueError("gap_duration is longer than train_duration, it should be shorter")
+            raise ValueError("the gap has to be shorter than the training time")
         if stride_duration is not None and stride_duration <= timedelta(0):
             raise ValueError("stride_duration has to be positive")
         self.date_col, self.valid_duration, self.train_duration, self.gap_duration = date_col, valid_duration, train_duration, gap_duration
@@ -33,7 +33,7 @@ class TimeGapSplit:
         length, gap, valid, stride = last - first, self.gap_duration, self.valid_duration, self.stride_duration
         train = self.train_duration if self.train_duration is not None else length - (gap + valid + (self.n_splits - 1) * stride)
         if train <= gap:
-            raise ValueError("gap_duration is longer than train_duration, it should be shorter")
+            raise ValueError("the gap has to be shorter than the training time")
         most = 1 + (length - train - gap - valid) / stride
         if self.n_splits and most < self.n_splits:
             raise ValueError(f"{self.n_splits} folds were requested, but only {most:.2f} are possible")
@@ -89,7 +89,7 @@ class ClusterFoldValidation:
         tagged = self.tagged(df)
         folds = sorted(r[0] for r in tagged.select(self.fold).distinct().collect())
         if len(folds) < 2:
-            raise ValueError("clustering resulted in only one cluster: no validation is possible")
+            raise ValueError("all rows are in one cluster, which leaves nothing to train on")
         for k in folds:
             yield tagged.where(F.col(self.fold) != k).drop(self.fold), tagged.where(F.col(self.fold) == k).drop(self.fold)
 

@@ -121,7 +121,7 @@ def log_step(func: Callable | None = None, *, time_taken: bool = True, shape: bo
 def log_step_extra(*log_functions: Callable, print_fn: Callable = print, **log_options):
     """Logs what the functions say of the result."""
     if not log_functions or not all(callable(f) for f in log_functions):
-        raise ValueError("supply at least one log function")
+        raise ValueError("name at least one function that says what to log")
 
     def decorator(func):
         @functools.wraps(func)
