@@ -12,6 +12,7 @@ a doc_id are all kept, ordered by the crc of their ids; a null doc_id is written
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -27,9 +28,9 @@ from loomgrid.llm.shared import chunked, discard, kept, materialize, small_batch
 
 END_ID = 2
 MAX_BITS = 16
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 128
-CACHE_WORDS = 600_000
+CACHE_WORDS = 700_000
 
 BLOCK_SCHEMA = "shard int, first long, tokens long, doc_ids binary, counts binary, offsets binary, bits binary"
 
@@ -39,15 +40,22 @@ BLOCK_SCHEMA = "shard int, first long, tokens long, doc_ids binary, counts binar
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Texts of these characters alone, and with no apostrophe before a letter, can be cut at words.
 PLAIN = re.compile(f"(?:[\\t\\n\\r -&(-~{LETTERS}]+|'(?![{LETTERS}]))*+")
-WORD = re.compile(f"[\\t\\n\\r ]?[{LETTERS}]+|(?:(?![\\t\\n\\r ]?[{LETTERS}])[^{LETTERS}])+")
+#: What the pre-tokenizer keeps in one piece, so that the model alone can encode it.
+ONE = re.compile(f" ?[{LETTERS}]+")
+#: The byte-level alphabet spells a printable byte as itself and the others, in order, from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+SPACE = chr(SPELLED[32])
+IS_LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, which encodes each distinct piece once while it is cached.
 
     The byte-level pre-tokenizer joins letters with letters and with one space before them, so plain texts are cut
-    around words (with the white space before each, since how a run of it is split depends on what follows).
-    Other texts are cut only where a space follows a visible character, which it never joins.
+    around words, and before the last white space ahead of a word (how a run of it is split depends on what follows).
+    Other texts are cut only where a space follows a visible character, which it never joins. New words go straight
+    to the library's model, other new pieces through the whole tokenizer.
     """
 
     def __init__(self, path: str, kind: str, cache_words: int = CACHE_WORDS) -> None:
@@ -56,24 +64,97 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind, self.cache_words = kind, cache_words
-        self.known: dict[str, int] = Numbers()
-        self.ids: list[bytes] = []
-
-    def pieces(self, text: str) -> list[str]:
-        return WORD.findall(text) if PLAIN.fullmatch(text) else re.split(r"(?<=\S)(?= )", text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, of the width of ``kind``."""
+        self.kind, self.cache_words = np.dtype(kind), cache_words
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Numbers()
+        self.ids, self.held = np.zeros(1 << 16, self.kind), 0  # the ids of all pieces in a row
+        self.ends = np.zeros(1 << 16, np.int64)  # where those of each piece end
+
+    def learn(self) -> None:
+        """Encode the pieces that came up since."""
+        new, model = self.known.new, self.tokenizer.model
+        ids: list[list[int]] = [[]] * len(new)
+        rest = []
+        for k, piece in enumerate(new):
+            if ONE.fullmatch(piece):
+                spelled = piece.replace(" ", SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(SPELLED)
+                ids[k] = [t.id for t in model.tokenize(spelled)]
+            else:
+                rest.append(k)
+        for some in chunked(rest, 4096):
+            for k, e in zip(some, self.tokenizer.encode_batch_fast([new[k] for k in some], add_special_tokens=False)):
+                ids[k] = e.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, total = len(self.known) - len(new), self.held + int(sizes.sum())
+        while len(self.ends) < len(self.known):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while len(self.ids) < total:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ends[first : len(self.known)] = self.held + np.cumsum(sizes)
+        self.ids[self.held : total] = np.fromiter(itertools.chain.from_iterable(ids), self.kind, total - self.held)
+        self.held = total
+        new.clear()
+
+    def plain(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of plain texts, and the first piece of each text: one pass over the bytes, in which only letters are above 127.
+
+        A word begins at its first letter, or at a space before it; another white space before it is a piece of its own.
+        """
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        letter = IS_LETTER[data]
+        first = np.zeros(len(data) + 1, bool)
+        first[at] = True
+        cut, first = first.copy(), first[:-1]
+        after = np.zeros_like(letter)
+        after[1:] = letter[:-1]
+        after &= ~first  # the byte before is a letter of the same text
+        cut[:-1] |= after & ~letter
+        inner = np.flatnonzero(letter & ~after & ~first)
+        before = data[inner - 1]
+        cut[inner[before == 32] - 1] = True
+        cut[inner[before != 32]] = True
+        cut[inner[(before == 9) | (before == 10) | (before == 13)] - 1] = True
+        offsets = np.flatnonzero(cut).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return pieces, np.searchsorted(offsets, at)
+
+    def other(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The same of any texts."""
+        cut = [re.split(r"(?<=\S)(?= )", t) for t in texts]
+        return pa.array(list(itertools.chain.from_iterable(cut)), pa.string()), np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
         if len(self.known) > self.cache_words:
-            self.known, self.ids = Numbers(), []
-        number = self.known.__getitem__
-        cut = [list(map(number, self.pieces(t))) for t in texts]
-        for some in chunked(self.known.new, 4096):
-            self.ids += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        self.known.new.clear()
-        of = self.ids.__getitem__
-        return [b"".join(map(of, numbers)) for numbers in cut]
+            self.forget()
+        is_plain = [PLAIN.fullmatch(t) is not None for t in texts]
+        if all(is_plain):
+            return self.look_up(*self.plain(texts))
+        parts: dict[int, np.ndarray] = {}
+        for kind, cut in ((True, self.plain), (False, self.other)):
+            which = [i for i, p in enumerate(is_plain) if p == kind]
+            if which:
+                ids, sizes = self.look_up(*cut([texts[i] for i in which]))
+                parts |= zip(which, np.split(ids, np.cumsum(sizes)[:-1]))
+        return np.concatenate([parts[i] for i in range(len(texts))]), np.array([len(parts[i]) for i in range(len(texts))], np.int64)
+
+    def look_up(self, pieces: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each distinct piece is looked up once; what a text has follows from the sizes of its pieces."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        if self.known.new:
+            self.learn()
+        start = np.where(number > 0, self.ends[number - 1], 0)
+        size, at = self.ends[number] - start, coded.indices.to_numpy()
+        size = size[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(start[at] - before[:-1], size) + np.arange(before[-1])]
+        return ids, np.diff(before[bounds])
 
 
 class Numbers(dict):
@@ -101,18 +182,20 @@ def tokenize(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int
     kind, key = width(vocabulary), key or [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")]
     named = small_batches(docs).select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     keys = [f.name for f in named.schema.fields[:-1]]
-    end = np.array([end_id], kind).tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(f"encoder {tokenizer_path} {kind}", lambda: Encoder(tokenizer_path, kind))
         total = np.zeros(vocabulary, "<i8")
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [x + end for x in encoder.encode(part.column(len(keys)).to_pylist())]
-                total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocabulary)
-                crcs = [zlib.crc32(np.frombuffer(x, kind).astype("<u4")) for x in ids]
-                more = [pa.array(ids, pa.binary()), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(crcs, pa.int64()), pa.nulls(len(ids), pa.binary())]
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                ids, sizes = encoder.encode(part.column(len(keys)).to_pylist())
+                ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                total += np.bincount(ids, minlength=vocabulary)
+                wide, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(sizes)
+                crcs = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                offsets = (np.concatenate([[0], ends]) * ids.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                more = [packed, pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.nulls(len(sizes), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], *more], names=[*keys, "ids", "n_tokens", "crc", "totals"])
         if total.any():
             last = [pa.nulls(1, f.type) for f in part.schema][: len(keys)] + [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([total.tobytes()])]
@@ -308,7 +391,7 @@ def token_binary(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
 
     ``key`` are the columns that the order needs, doc_id among them; by default doc_id alone.
     """
-    held = materialize(tokenize(docs, tokenizer_path, vocabulary, end_id, key=key), "tokens")
+    held = materialize(tokenize(docs, tokenizer_path, vocabulary, end_id, key=key), "tokens", "zstd")
     write_tokens(held, path, vocabulary, order=order)
     discard(held)
     return read_tokens(docs.sparkSession, path)

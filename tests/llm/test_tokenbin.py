@@ -24,8 +24,15 @@ def test_pieces_give_the_ids_of_whole_texts(tokenizer):
     rng, encoder = random.Random(0), tb.Encoder(PATH, "<u4")
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for alphabet in ("ab \n\n\t .,é$1'", "ab1 '\n\t .,\x1c\x85 é漢²!", "it's we'll  \r\n x", "aé😀 б1²_") for _ in range(1500)]
     texts += ["", " ", "<|endoftext|> a", "a" * 5000, "x" + " " * 300 + "y"]
-    for text, got, want in zip(texts, encoder.encode(texts), tokenizer.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+    wanted = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for size in (1, 700, len(texts)):  # and again with pieces that are known
+        for i in range(0, 2000 if size == 1 else len(texts), size):
+            ids, sizes = encoder.encode(texts[i : i + size])
+            ends = np.cumsum(sizes)
+            assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes)] == wanted[i : i + size]
+    encoder.cache_words = 10
+    assert encoder.encode(texts[:5])[0].tolist() == sum(wanted[:5], []) and len(encoder.known) < 100
+    assert encoder.encode([""])[1].tolist() == [0]
 
 
 def cheapest(counts, max_bits):
