@@ -1,0 +1,205 @@
+"""Near copies by exact Jaccard similarity of word shingles: links of 0.8 or more over five words, then their classes.
+
+Words are those of ``simhash.fingerprint``; a text of fewer words than a shingle is one shingle, and texts of equal
+shingles are one node. In any one order of all shingles, two sets of similarity t or more share one of the first
+n - ceil(t n) + 1 of each: only those meet, by a shuffle of the shingle, so that no pair is lost and none is compared
+that shares nothing. Shingles seen often in a sample of documents come last in the order, so that common lines
+rarely bring texts together; the sample decides what is compared, never what is linked.
+
+Pairs are compared by counts of their shingles in classes, whose smaller ones sum to no less than what two sets share,
+and only what passes by the whole sets, in two rounds: each bucket's smallest node with the others, then every pair of a
+bucket that the first round's links leave in different classes. A large group of near copies costs one comparison a
+text and smallest node, not one a pair; texts that share rare shingles without being alike cost one a pair.
+
+Defined cases: those of ``simhash``; texts without words are near copies of each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgrid.llm.shared import components, discard, materialize, small_batches
+from loomgrid.llm.simhash import known, smallest_of
+
+WORDS = 5
+LEAST = (4, 5)
+SAMPLE = 2000
+OFTEN = 3
+PARTNERS = 64
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles' XXH64 (seed 42), ascending."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    runs = map(b" ".join, zip(*[tokens[i:] for i in range(words)])) if len(tokens) >= words else [b" ".join(tokens)]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), runs), np.uint64))
+
+
+def first_ones(values: np.ndarray, common: np.ndarray, rank: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """The first n - ceil(t n) + 1 of a set, common ones last by their rank."""
+    if not len(values):
+        return values
+    count = len(values) + 1 + -len(values) * least[0] // least[1]
+    if len(common):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        values = values[np.lexsort((values, np.where(common[at] == values, rank[at], 0)))]
+    return values[:count]
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """How many of a set lie in each of 128 classes, or of up to as many as half its size, by their hashes' first bits; bytes
+    each (a zero first), or four bytes where a class has more than 255 (a one first)."""
+    bits = max(7, (len(values) // 2).bit_length())
+    counts = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return b"\0" + counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\1" + counts.astype("<u4").tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, least: tuple[int, int] = LEAST) -> bool:
+    """False only of sketches whose sets can't be similar enough: classes are added up to those of the smaller sketch."""
+    x, y = (np.frombuffer(v, "<u4" if v[0] else np.uint8, offset=1).astype(np.int64) for v in (a, b))
+    classes = min(len(x), len(y))
+    x, y = x.reshape(classes, -1).sum(1), y.reshape(classes, -1).sum(1)
+    both, total = int(np.minimum(x, y).sum()), int(x.sum() + y.sum())
+    return both * least[1] >= (total - both) * least[0]
+
+
+def are_alike(a: bytes, b: bytes, least: tuple[int, int] = LEAST) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both * least[1] >= (len(x) + len(y) - both) * least[0]
+
+
+def often(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several sampled documents, ascending, and their ranks by count; at most a third of the sample's."""
+    rows = docs.count()
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    sample = small_batches(docs.select("text").sample(min(1.0, SAMPLE / max(rows, 1)), seed=7))
+    seen = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN).toArrow()
+    h, n = seen["h"].to_numpy().view(np.uint64), seen["count"].to_numpy()
+    by_value, ranks = np.argsort(h), np.empty(len(h), np.int64)
+    ranks[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
+    return h[by_value], ranks[by_value]
+
+
+def nodes(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """(doc_id, alike, node, size, first, sketch): of each text its set's hash and size, and once a task the set's first shingles
+    and its sketch."""
+    common, rank = often(docs, words)
+
+    def run(batches):
+        met = set()
+        for batch in batches:
+            out = []
+            for text in batch.column(2).to_pylist():
+                values = shingles(text, words)
+                node = xxhash.xxh64_intdigest(values.tobytes(), seed=42)
+                out.append((node, len(values), *((None, None) if node in met else (first_ones(values, common, rank, least).view(np.int64), sketch(values)))))
+                met.add(node)
+            ids = pa.array(np.fromiter((o[0] for o in out), np.uint64, len(out)).view(np.int64))
+            rest = [pa.array([o[i] for o in out], t) for i, t in ((1, pa.int32()), (2, pa.list_(pa.int64())), (3, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], ids, *rest], names=["doc_id", "alike", "node", "size", "first", "sketch"])
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("alike"), "text")
+    return small_batches(given).mapInArrow(run, "doc_id long, alike long, node long, size int, first array<long>, sketch binary")
+
+
+def whole_sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the whole sets of the pairs' nodes, from one document of each."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+
+    one = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(known("doc_id"), "alike")).alias("of"))
+    one = one.select("node", "of._kept", F.col("of.alike").alias("_alike"))
+    texts = docs.select("doc_id", "text").select(known("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_alike"), "text")
+    return small_batches(texts.join(one, ["_kept", "_alike"]).select("node", "text")).mapInArrow(run, "node long, shingles binary")
+
+
+def passing(pairs: DataFrame, values: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """Those pairs (a, b) whose values (node, value) pass the test. A node of many partners is dealt over several keys."""
+
+    def run(batches):
+        for batch in batches:
+            links = [(a, b) for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]) if test(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    # Only nodes of more than PARTNERS pairs are broadcast.
+    many = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("keys")).where("keys > 1"))
+    keys = F.coalesce("keys", F.lit(1))
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), keys).cast("int").alias("key"))
+    left = values.toDF("a", "left").join(many, "a", "left").select("a", "left", F.explode(F.sequence(F.lit(0), keys - 1)).alias("key"))
+    both = dealt.join(values.toDF("b", "right"), "b").join(left, ["a", "key"]).select("a", "b", "left", "right")
+    return small_batches(both).mapInArrow(run, "a long, b long")
+
+
+def alike(docs: DataFrame, prints: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """Those pairs (a, b) that are similar enough."""
+    close = materialize(passing(pairs, sketches, partial(may_be_alike, least=least)), "close")
+    sets = materialize(whole_sets(docs, prints, close, words), "sets")
+    found = materialize(passing(close, sets, partial(are_alike, least=least)), "alike")
+    discard(close, sets)
+    return found
+
+
+def apart(buckets: DataFrame, label: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket in different classes whose sizes allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            for members in batch.column(0).to_pylist():
+                node, size, root = (np.array([m[k] for m in members], np.int64) for k in ("node", "size", "root"))
+                for i in range(0, len(node), 512):
+                    s = slice(i, i + 512)
+                    near = np.minimum(size[s, None], size) * least[1] >= np.maximum(size[s, None], size) * least[0]
+                    x, y = np.nonzero(near & (root[s, None] != root) & (node[s, None] < node))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[s][x]), pa.array(node[y])], names=["a", "b"])
+
+    of = buckets.select("bucket", F.explode("members").alias("m")).select("bucket", "m.node", "m.size")
+    of = of.join(label.toDF("node", "root"), "node", "left").select("bucket", F.struct("node", "size", F.coalesce("root", "node").alias("root")).alias("m"), F.coalesce("root", "node").alias("root"))
+    split = of.groupBy("bucket").agg(F.collect_list("m").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return small_batches(split.select("members")).mapInArrow(run, "a long, b long").distinct()
+
+
+def near_components(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id reachable by links of similarity ``least`` (a fraction) or more."""
+    prints = materialize(nodes(docs, words, least), "nodes")
+    first = prints.select(F.explode("first").alias("h"), "node", "size").repartition("h")
+    buckets = first.groupBy("h").agg(F.sort_array(F.collect_set(F.struct("node", "size"))).alias("members")).where(F.size("members") > 1)
+    buckets = materialize(buckets.select("members").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    met = buckets.select(F.explode("members.node").alias("node")).distinct()
+    sketches = prints.where("sketch is not null").select("node", "sketch").join(met, "node", "left_semi")
+    sketches = materialize(sketches.groupBy("node").agg(F.min("sketch").alias("sketch")), "sketches")
+    lo, hi = F.least(F.col("c.size"), F.col("m.size")), F.greatest(F.col("c.size"), F.col("m.size"))
+    stars = buckets.select(F.col("members")[0].alias("c"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("m"))
+    stars = materialize(stars.where(lo * least[1] >= hi * least[0]).select(F.col("c.node").alias("a"), F.col("m.node").alias("b")).distinct(), "stars")
+    found = alike(docs, prints, sketches, stars, words, least)
+    others = materialize(apart(buckets.where(F.size("members") > 2), components(found), least).join(stars, ["a", "b"], "left_anti"), "others")
+    if not others.isEmpty():
+        found = found.union(alike(docs, prints, sketches, others, words, least))
+    roots = components(found).toDF("node", "root")
+    ids = prints.groupBy("node").agg(F.min("doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    ids = materialize(ids, "classes")
+    label = ids.join(ids.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    discard(sketches, buckets, stars, others)
+    return prints.select("doc_id", "node").join(label, "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The documents of smallest doc_id of each class, with their columns, as ``simhash.keep_one`` returns them."""
+    return smallest_of(docs, near_components(docs, words, least))

@@ -20,7 +20,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.shared import Forest, components, discard, materialize, small_batches, tile_pairs
@@ -95,12 +95,20 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = WORDS
     return prints.join(label, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """The documents of smallest doc_id of each class, with their columns; rows that repeat a kept document go."""
-    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63))).alias("_kept")
-    of = simhash_components(docs, radius, words)
+def known(column: str) -> Column:
+    """The id, a null one as the smallest long."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63))).alias("_kept")
+
+
+def smallest_of(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """The documents of smallest doc_id of each class of ``of`` (doc_id, component_id); rows that repeat a kept document go."""
     kept = materialize(of.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(known("doc_id")).distinct(), "kept")
     alike = F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("_alike")
     rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", known("row.doc_id"), alike)
     # The join deals the rows by id, which the removal of repeated rows needs as well: the texts move once.
     return rows.join(kept, "_kept", "left_semi").dropDuplicates(["_kept", "_alike"]).select("row.*")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """The documents of smallest doc_id of each class, with their columns; rows that repeat a kept document go."""
+    return smallest_of(docs, simhash_components(docs, radius, words))
