@@ -7,7 +7,8 @@ text. The permutation depends on the key, the kind and the format alone, so equa
 every document and spelling, different ones stay different, and who has the key can restore them.
 
 Defined cases: null text stays null with nothing found; empty text stays empty; overlapping finds: the first one, and of
-those at one place the first kind of ``KINDS``; repeated rows are each rewritten; columns of the input are not needed
+those at one place the first kind of ``KINDS``; where the longest card or IBAN isn't valid, the longest valid beginning of it
+that ends before a separator; repeated rows are each rewritten; columns of the input are not needed
 but doc_id and text.
 """
 
@@ -180,6 +181,13 @@ RULES = {kind: rule for kind, _, rule in KINDS}
 EACH = {kind: re.compile(pattern) for kind, pattern, _ in KINDS}
 
 
+def shorter(kind: str, value: str) -> list[str]:
+    """The beginnings of a card or IBAN that end before a separator, longest first: what follows may be another number or word."""
+    if kind not in ("card", "iban"):
+        return []
+    return [value[: m.start()] for m in reversed(list(re.finditer(r"[ -]", value)))]
+
+
 def rewrite(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, length) of each value in the given text."""
     if not WORTH.search(text):
@@ -188,8 +196,16 @@ def rewrite(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[
     while m := ANY.search(text, at):
         kind, new, end = m.lastgroup, None, m.end()
         for kind in [m.lastgroup, *[k for k in RULES if k != m.lastgroup]]:
-            if (own := EACH[kind].match(text, m.start())) and (new := RULES[kind](feistel, own[0], back)) is not None:
-                end = own.end()
+            if own := EACH[kind].match(text, m.start()):
+                values = [own[0], *shorter(kind, own[0])]
+                for i, value in enumerate(values):
+                    if (new := RULES[kind](feistel, value, back)) is not None:
+                        # On, until no longer beginning of the new text is valid: the way back then finds the same end.
+                        while any(RULES[kind](feistel, new + longer[len(value) :], back) is not None for longer in values[:i]):
+                            new = RULES[kind](feistel, new, back)
+                        end = m.start() + len(value)
+                        break
+            if new is not None:
                 break
         if new is None:
             at = m.start() + 1

@@ -77,3 +77,26 @@ def test_documents(spark, documents, no_documents, clashing):
     long = "x " * 500_000 + "mail me: a.b@example.org"
     row = pii.pseudonymise(spark.createDataFrame([(1, long)], "doc_id long, text string"), b"k").first()
     assert row.n_found == 1 and len(row.text) == len(long) and row.text != long and row.found[0].kind == "email"
+
+
+@pytest.mark.parametrize(
+    ("kind", "value", "after"),
+    [
+        ("card", "4111111111111111", " 123"), ("card", "4111 1111 1111 1111", " 12/27"), ("card", "4111111111111111", " 30 days"), ("card", "4111-1111-1111-1111", " 737"),
+        ("card", "4111 1111 1111 1111", " 1 2 3"), ("iban", "ES91 2100 0418 4502 0005 1332", " PAID"), ("iban", "DE89370400440532013000", " PAID NOW"), ("iban", "DE89 3704 0044 0532 0130 00", " EUR"),
+    ],
+)
+def test_values_before_numbers_and_capital_words(kind, value, after):
+    text = f"see {value}{after}."
+    new, found = pii.rewrite(text, F1)
+    assert (kind, 4, len(value)) in found and value not in new and new.endswith(f"{after}.")
+    assert pii.rewrite(new, F1, back=True)[0] == text
+    assert new[4 : 4 + len(value)] == pii.rewrite(value, F1)[0]
+
+
+def test_cards_before_numbers_come_back():
+    for i in range(300):
+        body = f"4{i * 7_919_193_131:014d}"
+        text = f"{body}{-pii.luhn(body + '0') % 10} {i % 1000:03d}"
+        new = pii.rewrite(text, F1)[0]
+        assert new[:16] != text[:16] and pii.rewrite(new, F1, back=True)[0] == text
