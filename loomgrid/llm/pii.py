@@ -161,7 +161,9 @@ def email(f: Feistel, text: str, back: bool) -> str | None:
 
 
 def secret(f: Feistel, text: str, back: bool) -> str | None:
-    return f.text(text, [HEX] * len(text), "secret", back)
+    """In capitals or not, as found; both spellings are permuted alike."""
+    new = f.text(text.lower(), [HEX] * len(text), "secret", back)
+    return new if text == text.lower() else new.upper()
 
 
 #: Kind, pattern (the value is the group of that name) and the rule that validates and permutes it.
@@ -173,7 +175,7 @@ KINDS = (
     ("ipv4", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", address),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])", day),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
-    ("secret", r"(?<![0-9a-f])[0-9a-f]{40}(?![0-9a-f])", secret),
+    ("secret", r"(?<![0-9a-f])[0-9a-f]{40}(?![0-9a-f])|(?<![0-9A-Fa-f])[0-9A-F]{40}(?![0-9A-Fa-f])", secret),
 )
 WORTH = re.compile(r"[0-9@]")
 ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS))

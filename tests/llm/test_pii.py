@@ -100,3 +100,10 @@ def test_cards_before_numbers_come_back():
         text = f"{body}{-pii.luhn(body + '0') % 10} {i % 1000:03d}"
         new = pii.rewrite(text, F1)[0]
         assert new[:16] != text[:16] and pii.rewrite(new, F1, back=True)[0] == text
+
+
+def test_secrets_in_capitals_stay_linked():
+    low = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    new, found = pii.rewrite(f'TOKEN = "{low.upper()}"', F1)
+    assert found == [("secret", 9, 40)] and new[9:49] == pii.rewrite(low, F1)[0].upper()
+    assert pii.rewrite(new, F1, back=True)[0] == f'TOKEN = "{low.upper()}"'
