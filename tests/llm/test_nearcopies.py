@@ -1,10 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
-from corpus_pipeline import near_copies_out
-from loomgrid.llm import nearcopies as n
+from loomgrid.llm import simhash
 
 
 def plain(text):
@@ -53,30 +53,62 @@ def copies(prose):
     return dict(zip(order, texts))
 
 
-@pytest.mark.parametrize("often", [3, 10**9])
-def test_classes_are_those_of_brute_force(spark, copies, often, monkeypatch):
-    monkeypatch.setattr(n, "OFTEN", often)  # with and without common shingles put last
-    monkeypatch.setattr(n, "PARTNERS", 8)
+@pytest.mark.parametrize("tile_rows", [40, simhash.SIMILAR_TILE_ROWS])
+def test_classes_are_those_of_brute_force(spark, copies, tile_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 16)  # nodes of several pairs are spread
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0 if tile_rows == 40 else 1_000_000)
     docs = spark.createDataFrame(list(copies.items()), "doc_id long, text string").repartition(3)
-    assert {r.doc_id: r.component_id for r in n.near_components(docs).collect()} == classes(copies)
+    assert {r.doc_id: r.component_id for r in simhash.near_components(docs, tile_rows=tile_rows).collect()} == classes(copies)
 
 
 def test_the_pipeline_keeps_one_of_each_group(spark, copies):
+    from corpus_pipeline import near_copies_out
+
     docs = spark.createDataFrame(list(copies.items()), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in near_copies_out(spark, docs, "").collect()) == sorted(set(classes(copies).values()))
 
 
 def test_odd_rows(documents, no_documents, clashing):
-    of = {r.doc_id: r.component_id for r in n.near_components(documents).collect() if r.doc_id is not None}
-    kept = n.keep_one(clashing)
+    of = {r.doc_id: r.component_id for r in simhash.near_components(documents).collect() if r.doc_id is not None}
+    kept = simhash.keep_one(clashing)
     assert kept.columns == clashing.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(of.values()))
-    assert n.keep_one(no_documents).count() == 0
-
-
-def test_sketches_lose_no_pair(copies):
-    sets = [n.shingles(t) for t in copies.values()] + [n.shingles(" ".join(map(str, range(k, 40_000 + k)))) for k in (0, 30, 9_000)]
-    for a, b in itertools.combinations(sets, 2):
-        if n.are_alike(a.tobytes(), b.tobytes()):
-            assert n.may_be_alike(n.sketch(a), n.sketch(b))
-    assert not n.may_be_alike(n.sketch(sets[-1]), n.sketch(sets[0]))
+    assert simhash.keep_one(no_documents).count() == 0
+
+
+def test_repeated_rows_do_not_multiply(spark, prose):
+    words = prose(100).split()
+    rows = [(1, " ".join(words))] * 50 + [(2, " ".join(words + ["end"]))] * 50 + [(3, prose(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
+
+
+def test_tile_plan_pairs_all_sizes_that_may_be_similar():
+    rng = np.random.default_rng(3)
+    for tile_rows in (5, 50, 10_000):
+        sizes = np.unique(np.exp(rng.uniform(0, 6, 200)).astype(int))
+        rows = [(int(np.log(s) / np.log(simhash.STEP)), int(rng.integers(1, 30)), int(s), int(s)) for s in sizes]
+        merged = {}
+        for c, n, low, high in rows:
+            old = merged.get(c, (c, 0, low, high))
+            merged[c] = (c, old[1] + n, min(low, old[2]), max(high, old[3]))
+        plan, pairs = simhash.tile_plan(list(merged.values()), tile_rows, (4, 5))
+        of = {p[0]: p for p in plan}
+        met = {(t, u) for p in plan for t in range(p[1], p[1] + p[2]) for u in range(p[3], p[4] + 1)}
+        assert met == {(u, t) for t, u in met} and pairs == sum(t <= u for t, u in met)
+        for a, b in itertools.combinations(merged.values(), 2):
+            if min(a[3], b[3]) * 5 >= max(a[2], b[2]) * 4:
+                p, q = of[a[0]], of[b[0]]
+                assert all((t, u) in met for t in range(p[1], p[1] + p[2]) for u in range(q[1], q[1] + q[2]))
+
+
+def test_radius_holds_similar_sets():
+    rng, far = np.random.default_rng(5), 0
+    for size in (9, 20, 90, 900):
+        whole = rng.integers(0, 1 << 63, (200, size + size // 8), dtype=np.uint64)
+        both = size - size // 9  # in common: a similarity of 0.8 or just above
+        for row in whole:
+            a, b = row[:size], np.concatenate([row[:both], row[size:]])
+            bits = [int(np.bitwise_count(simhash.majority(simhash.plane(a, k), np.array([len(a)])) ^ simhash.majority(simhash.plane(b, k), np.array([len(b)])))[0]) for k in range(4)]
+            far += bits[0] > simhash.radius_of(64) or sum(bits) > simhash.radius_of(256)
+    assert far <= 1

@@ -40,7 +40,7 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    of = {r.doc_id: r.component_id for r in simhash.simhash_components(stages[1]).collect()}
+    of = {r.doc_id: r.component_id for r in simhash.near_components(stages[1]).collect()}
     assert ids(stages[2]) == set(of.values())
 
 

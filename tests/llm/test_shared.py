@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.llm import shared
@@ -12,6 +13,9 @@ def test_scratch_is_in_the_named_folder(spark, monkeypatch):
     monkeypatch.setattr(shared, "DIR_KEY", "spark.checkpoint.none")  # no cluster folder: one of the process' own
     c, d = (os.path.dirname(shared.scratch(spark, "x")) for _ in range(2))
     assert c == d and not c.startswith(named)
+    monkeypatch.setattr(shared, "MASTER_KEY", "spark.app.name")  # on a cluster that would lose rows
+    with pytest.raises(ValueError, match="spark.checkpoint.none"):
+        shared.scratch(spark, "x")
 
 
 def test_written_tables_come_back_and_go(spark):

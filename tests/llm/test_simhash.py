@@ -1,10 +1,12 @@
 import itertools
+import math
 import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from loomgrid.llm import simhash
+from loomgrid.llm import shared, simhash
 from loomgrid.llm.shared import components
 
 
@@ -67,7 +69,9 @@ def test_components_of_chains_stars_and_loops(spark):
     pairs = chain + star + mixed
     rng.shuffle(pairs)
     want = groups({x for p in pairs for x in p}, pairs)
-    got = dict(components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect())
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    got = dict(components(frame).collect())
+    assert dict(components(frame, last_links=0).collect()) == got
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {x: want[x] for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -87,9 +91,34 @@ def test_documents_against_brute_force(documents):
     assert got == want
 
 
-def test_one_of_each_group_stays(documents, no_documents, clashing):
-    of = {r.doc_id: r.component_id for r in simhash.simhash_components(documents).collect() if r.doc_id is not None}
-    kept = simhash.keep_one(clashing)
-    assert kept.columns == clashing.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in of.values()})
-    assert simhash.keep_one(no_documents).count() == 0 and simhash.simhash_components(no_documents).count() == 0
+def test_empty_tables_and_clashing_names(documents, no_documents, clashing):
+    key = lambda df: sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in df.collect())
+    assert key(simhash.simhash_components(clashing)) == key(simhash.simhash_components(documents))
+    assert simhash.simhash_components(no_documents).count() == 0
+
+
+def test_rounds_are_logarithmic(spark, monkeypatch):
+    rounds = []
+    materialize = shared.materialize
+
+    def counted(df, name, codec="snappy"):
+        rounds.extend([name] * (name == "hooks"))
+        return materialize(df, name, codec)
+
+    monkeypatch.setattr(shared, "materialize", counted)
+    chain = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    for links, nodes in ((chain.repartition(300, "a"), 1001), (star.repartition(4), 100_001)):
+        rounds.clear()
+        got = components(links, reduced=True, last_links=0)
+        assert got.where("component = 0").count() == got.count() == nodes
+        assert len(rounds) <= 2 * math.log2(nodes)
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 10)
+    monkeypatch.setattr(shared, "HOT_SHARE", 20)
+    left = spark.createDataFrame([(k, i) for k in (1, 2, 7) for i in range(60)] + [(k, 0) for k in range(10, 30)] + [(None, 5)], "k long, i long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in (1, 2, *range(10, 25))], "k long, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, shared.join_hot(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
