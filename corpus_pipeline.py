@@ -4,8 +4,8 @@
 as Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
 1. toxicity: documents scored 0.5 or more go. Learns from a bounded sample of the labelled rows.
-2. simhash: one document of each group of near copies (0.8 or more of their five-word runs in common) stays, that of the
-   smallest doc_id. The stage keeps its name; its links are exact (``nearcopies``), not those of op6's fingerprints.
+2. simhash: one document of each group of near copies (Jaccard similarity of five-word shingles of 0.8 or more) stays, that
+   of the smallest doc_id: SimHash fingerprints find the pairs, the sets of shingles verify them.
 3. decontaminate: documents that hold a benchmark item within its error budget go.
 4. mixing: every document gets its place in the weighted mixture, and the rows are written in that order.
 5. tokens: ids of every document, coded, written in the order of the mixture and read back.
@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import decontam, mixing, nearcopies, tokenbin, toxicity
+from loomgrid.llm import decontam, mixing, simhash, tokenbin, toxicity
 from loomgrid.llm.queries import TOKENIZER, VOCABULARY, table
 from loomgrid.llm.shared import scratch
 
@@ -28,7 +28,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
