@@ -8,8 +8,9 @@ exclusive or and bit counts. A comparing task returns a spanning forest of its l
 no link between different texts is lost.
 
 ``near_components`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, which three bits don't
-tell: it compares wide fingerprints of the sets in the same way, with a radius that holds all but a few in 100 000 of such
-pairs, and verifies what it finds by the sets themselves, so a link is never a guess. Tiles hold texts of about one size, and only
+tell: it compares fingerprints of 256 bits of the sets in the same way, with a radius that holds all but a few in 100 000 of such
+pairs; then parity sketches, whose differing bits are no more than the shingles that only one set has (and in large sets,
+where bits meet, as many as expected of them); and verifies what is left by the sets themselves, so a link is never a guess. Tiles hold texts of about one size, and only
 those meet whose sizes allow the similarity; within them, rows whose population counts differ beyond the radius are skipped.
 Pairs to verify are chosen in rounds, so that a group of copies costs about one a text: each text with the candidate that has most
 near ones itself, then with the nearest one of another class, and at last every candidate pair that still lies in two classes.
@@ -138,13 +139,13 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = WORDS
 
 SET_WORDS = 5
 LEAST = (4, 5)
-PLANES = 8
-COARSE = 4
+PLANES = 4
+PARITY = 16
 SPREAD = 4.5
 SIMILAR_TILE_ROWS = 16_384
 STEP = 1.01
 PAIRS = 1024
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -184,9 +185,28 @@ def radius_of(bits: int, least: tuple[int, int] = LEAST) -> int:
     return math.floor(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
 
 
-def set_prints(docs: DataFrame, words: int, planes: int) -> DataFrame:
-    """(doc_id, alike, node, size, f0 ..): of each whole text its set's hash and size, and the set's fingerprint."""
-    prints = [f"f{k}" for k in range(planes)]
+def parity(hashes: np.ndarray, of: np.ndarray, sets: int, words: int = PARITY) -> np.ndarray:
+    """A sketch of each set in 64 ``words`` bits (words x sets): a bit says whether an odd number of its hashes fell on it.
+
+    Bits in which two sketches differ are at most as many as the elements that one of the sets has and the other hasn't.
+    """
+    at = (hashes >> np.uint64(64 - (64 * words - 1).bit_length())).astype(np.int64)
+    odd = np.bincount(of * 64 * words + at, minlength=sets * 64 * words) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(sets, 64 * words), axis=1, bitorder="little").view("<u8").T
+
+
+def parity_limits(most: int, least: tuple[int, int], words: int = PARITY) -> np.ndarray:
+    """By the sum of two sizes, the differing bits of sketches that sets of the least similarity have at most: the elements in
+    which they differ, or, in all but a few cases of 100 000, what is expected of so many."""
+    differ = np.arange(most + 1) * (least[1] - least[0]) // (least[1] + least[0])
+    bits = 64 * words
+    expected = bits / 2 * (1 - np.exp(-2 * differ / bits))
+    return np.minimum(differ, np.floor(expected + SPREAD * np.sqrt(bits) / 2)).astype(np.int64)
+
+
+def set_prints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, alike, node, size, f0 .., o0 ..): of each whole text its set's hash, size, fingerprint and parity sketch."""
+    prints = [*FINGERPRINT, *SKETCH]
 
     def run(batches):
         for batch in batches:
@@ -195,15 +215,19 @@ def set_prints(docs: DataFrame, words: int, planes: int) -> DataFrame:
                 sets = shingle_sets(texts.to_pylist(), words)
                 sizes = np.array([len(s) for s in sets])
                 node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets), np.uint64, len(sets))
-                whole, of = np.concatenate(sets), np.zeros((planes, len(sets)), np.uint64)
-                for k in range(planes):
+                whole, of = np.concatenate(sets), np.zeros((PLANES, len(sets)), np.uint64)
+                for k in range(PLANES):
                     of[k, sizes > 0] = majority(plane(whole, k), sizes[sizes > 0])
-                yield pa.RecordBatch.from_arrays([ids, alike, pa.array(node.view(np.int64)), pa.array(sizes, pa.int32()), *[pa.array(f.view(np.int64)) for f in of]], names=["doc_id", "alike", "node", "size", *prints])
+                odd = parity(plane(whole, PLANES), np.repeat(np.arange(len(sets)), sizes), len(sets))
+                yield pa.RecordBatch.from_arrays([ids, alike, pa.array(node.view(np.int64)), pa.array(sizes, pa.int32()), *[pa.array(np.ascontiguousarray(f).view(np.int64)) for f in [*of, *odd]]], names=["doc_id", "alike", "node", "size", *prints])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("alike"), "text")
     return small_batches(given).mapInArrow(run, "doc_id long, alike long, node long, size int, " + ", ".join(f"{f} long" for f in prints))
 
 
+FINGERPRINT, SKETCH = [f"f{k}" for k in range(PLANES)], [f"o{k}" for k in range(PARITY)]
+
+
 @dataclass
 class Tile:
     """Rows in the order of the first plane's population count; ``more`` has other columns by name."""
@@ -211,20 +235,24 @@ class Tile:
     node: np.ndarray
     size: np.ndarray
     planes: list[np.ndarray]
+    sketch: np.ndarray
     count: np.ndarray
     more: dict[str, np.ndarray]
 
     @classmethod
-    def of(cls, rows: pa.Table, planes: int, more: list[str]) -> Tile:
-        first = rows["f0"].to_numpy().view(np.uint64)
-        by = np.argsort(np.bitwise_count(first), kind="stable")
+    def of(cls, rows: pa.Table, more: list[str]) -> Tile:
+        first = np.bitwise_count(rows["f0"].to_numpy().view(np.uint64))
+        by = np.argsort(first, kind="stable")
         take = lambda name: rows[name].to_numpy()[by]
-        return cls(take("node"), take("size").astype(np.int64), [take(f"f{k}").view(np.uint64) for k in range(planes)], np.bitwise_count(first[by]).astype(np.int64), {m: take(m) for m in more})
+        sketch = [take(name).view(np.uint64) for name in SKETCH if name in rows.column_names]
+        return cls(take("node"), take("size").astype(np.int64), [take(f).view(np.uint64) for f in FINGERPRINT], np.column_stack(sketch) if sketch else np.empty((len(by), 0), np.uint64), first[by].astype(np.int64), {m: take(m) for m in more})
 
 
-def candidates(a: Tile, b: Tile, coarse: int, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of a, rows of b, differing bits) within the radius, of sizes that allow the similarity; each pair once."""
-    same, near, planes = a is b, radius_of(64, least), len(a.planes)
+def candidates(a: Tile, b: Tile, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b, differing bits of the sketches, or of the fingerprints where tiles have none) of pairs within all
+    bounds, whose sizes allow the similarity; each pair once."""
+    same, near = a is b, radius_of(64, least)
+    limits = parity_limits(int(a.size.max() + b.size.max()), least) if a.sketch.shape[1] else None
     for s in range(0, len(a.node), 128):
         x = a.planes[0][s : s + 128]
         low = np.searchsorted(b.count, a.count[s] - near)
@@ -233,18 +261,19 @@ def candidates(a: Tile, b: Tile, coarse: int, least: tuple[int, int]) -> Iterato
             y = b.planes[0][t : min(t + 2048, high)]
             i, j = np.divmod(np.flatnonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= near), len(y))
             i, j = i + s, j + t
+            ok = np.minimum(a.size[i], b.size[j]) * least[1] >= np.maximum(a.size[i], b.size[j]) * least[0]
             if same:
-                i, j = i[i < j], j[i < j]
-            if not len(i):
-                continue
-            fits = np.minimum(a.size[i], b.size[j]) * least[1] >= np.maximum(a.size[i], b.size[j]) * least[0]
-            i, j = i[fits], j[fits]
+                ok &= i < j
+            i, j = i[ok], j[ok]
             bits = np.zeros(len(i), np.int64)
-            for k in range(planes):
-                bits += np.bitwise_count(a.planes[k][i] ^ b.planes[k][j])
-                if k + 1 in (coarse, planes):
-                    ok = bits <= radius_of(64 * (k + 1), least)
-                    i, j, bits = i[ok], j[ok], bits[ok]
+            for p, q in zip(a.planes, b.planes):
+                bits += np.bitwise_count(p[i] ^ q[j])
+            ok = bits <= radius_of(64 * PLANES, least)
+            i, j, bits = i[ok], j[ok], bits[ok]
+            if limits is not None:
+                bits = np.concatenate([np.bitwise_count(a.sketch[i[k : k + 65536]] ^ b.sketch[j[k : k + 65536]]).sum(1, dtype=np.int64) for k in range(0, len(i), 65536)] or [bits])
+                ok = bits <= limits[a.size[i] + b.size[j]]
+                i, j, bits = i[ok], j[ok], bits[ok]
             if len(i):
                 yield i, j, bits
 
@@ -279,19 +308,19 @@ def tile_plan(sizes: list[tuple[int, int, int, int]], tile_rows: int, least: tup
     return [(c, t, k, first[t], last[t]) for c, t, k in of], sum(e - t + 1 for t, e in enumerate(last))
 
 
-def over_tiles(rows: DataFrame, planes: int, more: list[str], visit: Callable[[Tile, Tile], Iterator[pa.RecordBatch]], schema: str, least: tuple[int, int], tile_rows: int) -> DataFrame:
-    """What ``visit`` yields for every pair of tiles of ``rows`` (node, size, f0 .., more) that can hold similar sets.
+def over_tiles(rows: DataFrame, more: list[str], visit: Callable[[Tile, Tile], Iterator[pa.RecordBatch]], schema: str, least: tuple[int, int], tile_rows: int) -> DataFrame:
+    """What ``visit`` yields for every pair of tiles of ``rows`` (node, size, f0 .., maybe o0 .., more) that can hold similar sets.
 
     The driver plans from the number of rows of each class of sizes, 1 % apart: some thousand numbers at most. Rows go to each of the
     pairs of their tile; tile pairs are dealt by key, and a task holds one pair at a time.
     """
-    spark, columns = rows.sparkSession, ["node", "size", *[f"f{k}" for k in range(planes)], *more]
+    spark, columns = rows.sparkSession, ["node", "size", *FINGERPRINT, *[o for o in SKETCH if o in rows.columns], *more]
     classed = rows.select(*columns, F.floor(F.log(F.col("size").cast("double")) / math.log(STEP)).cast("int").alias("_class"))
     plan, pairs = tile_plan([tuple(r) for r in classed.groupBy("_class").agg(F.count("*"), F.min("size"), F.max("size")).collect()], tile_rows, least)
     names = ["_class", "_tile", "_tiles", "_first", "_last"]
     table = spark.createDataFrame(pa.table({n: pa.array([p[i] for p in plan], pa.int32()) for i, n in enumerate(names)}))
     own = (F.col("_tile") + F.pmod(F.xxhash64("node"), F.col("_tiles"))).cast("int")
-    # Tiles of one class have the same partners, which are all from _first to _last of the first tile: chunks included.
+    # Tiles of one class have the same partners: all from _first to _last.
     dealt = classed.join(F.broadcast(table), "_class").withColumn("_own", own).withColumn("_other", F.explode(F.sequence("_first", "_last")))
     keyed = dealt.select(F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"), *columns)
     parts = max(1, min(pairs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -300,7 +329,7 @@ def over_tiles(rows: DataFrame, planes: int, more: list[str], visit: Callable[[T
     def run(batches):
         left, at = None, None
         for (a, b, side), table in consecutive(batches, 3):
-            tile = Tile.of(table, planes, more)
+            tile = Tile.of(table, more)
             if a == b:
                 yield from visit(tile, tile)
             elif side == 0:
@@ -315,24 +344,24 @@ def batch_of(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
 
 
-def crowds(nodes: DataFrame, planes: int, coarse: int, least: tuple[int, int], tile_rows: int) -> DataFrame:
+def crowds(nodes: DataFrame, least: tuple[int, int], tile_rows: int) -> DataFrame:
     """(node, crowd) of nodes that have candidates: how many within the bits that the least similarity differs by on average."""
-    close = radius_of(64 * planes, least) - SPREAD * math.sqrt(64 * planes) / 3
+    close = radius_of(64 * PLANES, least) - SPREAD * math.sqrt(64 * PLANES) / 3
 
     def visit(a, b):
         met = [np.zeros(len(t.node), np.int64) for t in (a, b)]
         near = [np.zeros(len(t.node), np.int64) for t in (a, b)]
-        for i, j, bits in candidates(a, b, coarse, least):
+        for i, j, bits in candidates(a, b, least):
             for k, at in enumerate((i, j)):
                 met[k] += np.bincount(at, minlength=len(met[k]))
                 near[k] += np.bincount(at[bits <= close], minlength=len(met[k]))
         for t, m, n in zip((a, b), met, near):
             yield batch_of(node=t.node[m > 0], crowd=n[m > 0])
 
-    return over_tiles(nodes, planes, [], visit, "node long, crowd long", least, tile_rows).groupBy("node").agg(F.sum("crowd").alias("crowd"))
+    return over_tiles(nodes, [], visit, "node long, crowd long", least, tile_rows).groupBy("node").agg(F.sum("crowd").alias("crowd"))
 
 
-def best_partners(rows: DataFrame, planes: int, coarse: int, least: tuple[int, int], tile_rows: int, nearest: bool) -> DataFrame:
+def best_partners(rows: DataFrame, least: tuple[int, int], tile_rows: int, nearest: bool) -> DataFrame:
     """(a, b), a < b: each node b (or a) with one candidate of another class: the nearest, or that of the largest crowd; ties by
     node. ``rows`` have ``crowd`` and ``root``."""
 
@@ -342,36 +371,35 @@ def best_partners(rows: DataFrame, planes: int, coarse: int, least: tuple[int, i
             order = np.lexsort((~t.node, t.more["crowd"]))
             rank[k] = np.empty(len(order), np.int64)
             rank[k][order] = np.arange(len(order))
-        wide = max(len(a.node), len(b.node)) + 1
-        best = [np.full(len(t.node), -1, np.int64) for t in (a, b)]
-        for i, j, bits in candidates(a, b, coarse, least):
+        wide, best = max(len(a.node), len(b.node)) + 1, [np.full(len(t.node), -1, np.int64) for t in (a, b)]
+        for i, j, bits in candidates(a, b, least):
             other = a.more["root"][i] != b.more["root"][j]
             i, j, bits = i[other], j[other], bits[other]
+            close = 1_000_000 - np.minimum(bits * 1_000_000 // (a.size[i] + b.size[j]), 1_000_000)
             for k, (at, of, ranks) in enumerate(((i, j, rank[1]), (j, i, rank[0]))):
-                np.maximum.at(best[k], at, ranks[of] + ((64 * planes - bits) * wide if nearest else 0))
+                np.maximum.at(best[k], at, ranks[of] + (close * wide if nearest else 0))
         for k, (t, o) in enumerate(((a, b), (b, a))):
             found = best[k] >= 0
-            by_rank = np.argsort(rank[1 - k])
-            partner = by_rank[best[k][found] % wide]
+            partner = np.argsort(rank[1 - k])[best[k][found] % wide]
             score = best[k][found] // wide if nearest else o.more["crowd"][partner]
             yield batch_of(node=t.node[found], score=score, partner=o.node[partner])
 
-    found = over_tiles(rows, planes, ["crowd", "root"], visit, "node long, score long, partner long", least, tile_rows)
+    found = over_tiles(rows, ["crowd", "root"], visit, "node long, score long, partner long", least, tile_rows)
     best = found.groupBy("node").agg(F.max(F.struct("score", F.bitwise_not("partner").alias("p"))).alias("best"))
     partner = F.bitwise_not(F.col("best.p"))
     return best.select(F.least("node", partner).alias("a"), F.greatest("node", partner).alias("b")).distinct()
 
 
-def pairs_apart(rows: DataFrame, planes: int, coarse: int, least: tuple[int, int], tile_rows: int) -> DataFrame:
+def pairs_apart(rows: DataFrame, least: tuple[int, int], tile_rows: int) -> DataFrame:
     """(a, b), a < b: every candidate pair of different classes."""
 
     def visit(a, b):
-        for i, j, _ in candidates(a, b, coarse, least):
+        for i, j, _ in candidates(a, b, least):
             other = a.more["root"][i] != b.more["root"][j]
             x, y = a.node[i[other]], b.node[j[other]]
             yield batch_of(a=np.minimum(x, y), b=np.maximum(x, y))
 
-    return over_tiles(rows, planes, ["root"], visit, "a long, b long", least, tile_rows)
+    return over_tiles(rows, ["root"], visit, "a long, b long", least, tile_rows)
 
 
 def whole_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -420,19 +448,19 @@ def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataF
     return materialize(small_batches(both.select("a", "b", "left", "right")).mapInArrow(run, "a long, b long"), "links")
 
 
-def near_components(docs: DataFrame, words: int = SET_WORDS, least: tuple[int, int] = LEAST, planes: int = PLANES, coarse: int = COARSE, tile_rows: int = SIMILAR_TILE_ROWS) -> DataFrame:
+def near_components(docs: DataFrame, words: int = SET_WORDS, least: tuple[int, int] = LEAST, tile_rows: int = SIMILAR_TILE_ROWS) -> DataFrame:
     """(doc_id, component_id): the smallest doc_id reachable by links of similarity ``least`` (a fraction) or more."""
-    prints = materialize(set_prints(docs, words, planes), "prints")
-    of = [f"f{k}" for k in range(planes)]
-    nodes = materialize(prints.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), *[F.first(f).alias(f) for f in of]), "nodes")
-    crowd = materialize(crowds(nodes.select("node", "size", *of[:coarse]), coarse, coarse, least, tile_rows), "crowds")
+    prints = materialize(set_prints(docs, words), "prints")
+    alike = prints.where("size > 0").groupBy("node")
+    nodes = materialize(alike.agg(F.first("size").alias("size"), *[F.first(f).alias(f) for f in [*FINGERPRINT, *SKETCH]]), "nodes")
+    crowd = materialize(crowds(nodes.select("node", "size", *FINGERPRINT), least, tile_rows), "crowds")
     active = materialize(nodes.join(crowd, "node").withColumn("root", F.col("node")), "active")
     sets = tried = found = label = None
     for pick in ("crowd", "nearest", "all"):
         rows = active
         if label is not None:
             rows = materialize(active.drop("root").join(label.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "active")
-        pairs = pairs_apart(rows, planes, coarse, least, tile_rows) if pick == "all" else best_partners(rows, planes, coarse, least, tile_rows, pick == "nearest")
+        pairs = pairs_apart(rows, least, tile_rows) if pick == "all" else best_partners(rows, least, tile_rows, pick == "nearest")
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
@@ -448,8 +476,9 @@ def near_components(docs: DataFrame, words: int = SET_WORDS, least: tuple[int, i
         classed = classed.withColumn("root", F.col("node"))
     classed = materialize(classed, "classes")
     labels = materialize(join_hot(classed, classed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id"), "labels")
-    discard(nodes, crowd, active, classed)
-    return join_hot(prints, labels, "node").select("doc_id", "component_id")
+    ids = materialize(prints.select("doc_id", "node"), "ids")
+    discard(prints, nodes, crowd, active, classed)
+    return join_hot(ids, labels, "node").select("doc_id", "component_id")
 
 
 def known(column: str) -> Column:
