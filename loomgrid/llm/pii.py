@@ -7,7 +7,8 @@ text. The permutation depends on the key, the kind and the format alone, so equa
 every document and spelling, different ones stay different, and who has the key can restore them.
 
 Defined cases: null text stays null with nothing found; empty text stays empty; overlapping finds: the first one, and of
-those at one place the first kind of ``KINDS``; where the longest card or IBAN isn't valid, the longest valid beginning of it
+those at one place the first kind of ``KINDS``; a date of slashes is month/day/year unless its first number is above 12;
+dates before 1900 and after 2099 stay; very long texts are searched whole; where the longest card or IBAN isn't valid, the longest valid beginning of it
 that ends before a separator; repeated rows are each rewritten; columns of the input are not needed
 but doc_id and text.
 """
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 from math import isqrt
 
 import pandas as pd
@@ -95,8 +98,11 @@ def card(f: Feistel, text: str, back: bool) -> str | None:
     digits = only_digits(text)
     if not 13 <= len(digits) <= 19 or digits[0] not in "23456" or luhn(digits) % 10 or len(set(digits)) == 1:
         return None
-    inner = digits[0] + f.text(digits[1:-1], [DIGITS] * (len(digits) - 2), f"card {digits[0]}", back)
-    return refill(text, inner + str(-luhn(inner + "0") % 10))
+    while True:
+        inner = digits[0] + f.text(digits[1:-1], [DIGITS] * (len(digits) - 2), f"card {digits[0]}", back)
+        digits = inner + str(-luhn(inner + "0") % 10)
+        if len(set(digits)) > 1:  # on, until it is one that this rule accepts
+            return refill(text, digits)
 
 
 def iban(f: Feistel, text: str, back: bool) -> str | None:
@@ -134,22 +140,39 @@ def address(f: Feistel, text: str, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4)))
 
 
+def day_shape(of: date) -> tuple[bool, int]:
+    """What a spelling of the date shows: months of one digit or two, days of one digit, of two that could be a month, or more."""
+    return of.month > 9, (of.day > 9) + (of.day > 12)
+
+
+@lru_cache(maxsize=None)
+def days_of(shape: tuple[bool, int]) -> list[int]:
+    """The days since ``FIRST_DAY`` of that shape, ascending."""
+    return [i for i in range(DAYS) if day_shape(FIRST_DAY + timedelta(i)) == shape]
+
+
 def day(f: Feistel, text: str, back: bool) -> str | None:
-    """year-month-day, day.month.year, or month/day/year (day/month/year if that alone is a date)."""
+    """year-month-day, day.month.year, month/day/year, or day/month/year where the first number can't be a month.
+
+    Dates are permuted among those of the same shape, so one date has one pseudonym in all spellings, and the pseudonym is
+    spelled and read in the same way.
+    """
     sep = re.search(r"[-./]", text)[0]
-    parts = [int(x) for x in text.split(sep)]
-    orders = [(0, 1, 2)] if len(text.split(sep)[0]) == 4 else [(2, 1, 0)] if sep in ".-" else [(2, 0, 1), (2, 1, 0)]
-    for y, m, d in orders:
-        try:
-            known = date(parts[y], parts[m], parts[d])
-        except ValueError:
-            continue
-        if FIRST_DAY <= known <= LAST_DAY:
-            # Dates that month/day can't spell back would change their reading, so each reading is its own format.
-            new = FIRST_DAY + timedelta(f.permute((known - FIRST_DAY).days, DAYS, "date", back))
-            values = {y: f"{new.year:04d}", m: f"{new.month:02d}", d: f"{new.day:02d}"}
-            return sep.join(values[i] for i in range(3))
-    return None
+    spelled = text.split(sep)
+    parts = [int(x) for x in spelled]
+    y, m, d = (0, 1, 2) if len(spelled[0]) == 4 else (2, 1, 0) if sep == "." or parts[0] > 12 else (2, 0, 1)
+    try:
+        known = date(parts[y], parts[m], parts[d])
+    except ValueError:
+        return None
+    if not FIRST_DAY <= known <= LAST_DAY:
+        return None
+    shape = day_shape(known)
+    among = days_of(shape)
+    at = f.permute(bisect_left(among, (known - FIRST_DAY).days), len(among), f"date {shape}", back)
+    new = FIRST_DAY + timedelta(among[at])
+    values = {y: new.year, m: new.month, d: new.day}
+    return sep.join(str(values[i]).zfill(len(spelled[i])) for i in range(3))
 
 
 def email(f: Feistel, text: str, back: bool) -> str | None:

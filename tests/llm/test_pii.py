@@ -1,4 +1,6 @@
+import random
 from collections import Counter
+from datetime import date, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -107,3 +109,92 @@ def test_secrets_in_capitals_stay_linked():
     new, found = pii.rewrite(f'TOKEN = "{low.upper()}"', F1)
     assert found == [("secret", 9, 40)] and new[9:49] == pii.rewrite(low, F1)[0].upper()
     assert pii.rewrite(new, F1, back=True)[0] == f'TOKEN = "{low.upper()}"'
+
+
+def spellings(of):
+    """Every way to write a date that the rules read back as that date."""
+    for m, d in {(f"{of.month:02d}", f"{of.day:02d}"), (str(of.month), str(of.day)), (f"{of.month:02d}", str(of.day)), (str(of.month), f"{of.day:02d}")}:
+        yield "us", f"{m}/{d}/{of.year}"
+        yield "dots", f"{d}.{m}.{of.year}"
+        if of.day > 12:
+            yield "eu", f"{d}/{m}/{of.year}"
+    yield "iso", of.isoformat()
+
+
+def test_dates_are_permuted_in_every_spelling():
+    days, image = [date(1900, 1, 1) + timedelta(i) for i in range(73_049)], {}
+    assert days[-1] == date(2099, 12, 31)
+    for of in days:
+        new = date.fromisoformat(pii.day(F1, of.isoformat(), False))
+        image[of] = new
+        assert pii.day(F1, new.isoformat(), True) == of.isoformat()
+    assert set(image.values()) == set(days)
+    for of in [*days[::37], date(1900, 1, 1), date(1947, 12, 13), date(2008, 3, 15), date(2000, 12, 12), date(2000, 2, 29)]:
+        for kind, text in spellings(of):
+            new = pii.day(F1, text, False)
+            assert (kind, new) in set(spellings(image[of])) and [len(p) for p in new.replace("/", ".").split(".")] == [len(p) for p in text.replace("/", ".").split(".")]
+            assert pii.day(F1, new, True) == text
+
+
+def test_dates_out_of_range_and_impossible_ones_stay():
+    for text in ("1899-12-31", "2100-01-01", "13/13/2000", "31/04/2000", "30.02.2001", "00/10/2000", "0.1.2000"):
+        assert pii.rewrite(text, F1) == (text, [])
+
+
+def valid_card(rng):
+    """A number whose check digit is found by trying all ten, with the sum written out in full."""
+    head = [rng.choice("3456")] + [rng.choice("0123456789") for _ in range(rng.choice((12, 14, 14, 17)))]
+    for last in "0123456789":
+        digits = [int(c) for c in [*head, last]]
+        doubled = [2 * c for c in digits[-2::-2]]
+        if (sum(digits[-1::-2]) + sum(c // 10 + c % 10 for c in doubled)) % 10 == 0:
+            return "".join(head) + last
+
+
+def value_of(rng, kind):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "card":
+        number = valid_card(rng)
+        return rng.choice((number, "-".join(number[i : i + 4] for i in range(0, len(number), 4)))) if len(number) % 4 == 0 else number
+    if kind == "iban":
+        body = digits(18)
+        return next(t for t in (f"DE{c:02d}{body}" for c in range(2, 99)) if int(t[4:] + "1314" + t[2:4]) % 97 == 1)
+    if kind == "ssn":
+        return f"{rng.choice((1, 123, 665, 667, 899)):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+    if kind == "phone":
+        return rng.choice(("({}) {}-{}", "{}-{}-{}", "+1 ({}) {}-{}", "{} {} {}")).format(digits(3), digits(3), digits(4))
+    if kind == "ipv4":
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "date":
+        return rng.choice(list(spellings(date(1900, 1, 1) + timedelta(rng.randrange(73_049)))))[1]
+    if kind == "email":
+        return f"{rng.choice(('ann', 'J.Doe', 'x9_y'))}{rng.randrange(99)}@{rng.choice(('mail', 'a-b.c'))}.org"
+    return "".join(rng.choice("0123456789abcdef") for _ in range(39)) + "a"
+
+
+def look_alike(rng, kind):
+    value = value_of(rng, kind)
+    if kind == "card":
+        return value[:-1] + str((int(value[-1]) + 1) % 10)
+    if kind == "iban":
+        return value[:2] + f"{(int(value[2:4]) + 1) % 100:02d}" + value[4:]
+    return {"ssn": f"{rng.choice((0, 666, 900)):03d}-12-3456", "phone": "555-01", "ipv4": f"{value}.7", "date": "2023-02-30", "email": "ann@home", "secret": value + "0"}[kind]
+
+
+def test_planted_values_are_found_and_nothing_else():
+    rng = random.Random(8)
+    kinds = [k for k, _, _ in pii.KINDS]
+    for _ in range(1500):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 6)):
+            text += rng.choice(("see ", "note: ", "é, ", "von ", "\n"))
+            kind = rng.choice(kinds)
+            if rng.random() < 0.6:
+                value = value_of(rng, kind)
+                want.append((kind, len(text), len(value)))
+            else:
+                value = look_alike(rng, kind)
+            text += value + rng.choice((" or ", ", ", "; ", ".\n"))
+        new, found = pii.rewrite(text, F1)
+        assert found == want, text
+        assert pii.rewrite(new, F1, back=True)[0] == text
