@@ -2,17 +2,18 @@
 
 Bytes are embedded, filters of several widths slide over them, each filter's largest answer in a window is kept, and a
 softmax over those names the language. Learning takes a bounded sample of labelled rows: for each language at most
-``sample_rows`` documents (those of the smallest hashes of doc_id) and a few windows of each. Every text is
-predicted whole: all its windows of ``WINDOW`` bytes count, in proportion to the bytes that they hold.
-
-Defined cases: null texts and texts without a letter are ``und`` with score 0; null labels aren't learned from;
-without any labelled row every text is ``und``; repeated rows are each predicted; null doc_ids are
-never learned from nor held out; other columns are ignored.
+``sample_rows`` documents (those of the smallest hashes of doc_id), and at most ``most_rows`` of all languages together, and a few
+windows of each. Every text is predicted whole: all its windows of ``WINDOW`` bytes count, in proportion to the bytes that they
+hold.
+
+Defined cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; null labels aren't learned
+from; without any labelled row every text is ``und``; with one language every text with a letter is that; of languages of equal
+score the first by name; very long texts are predicted by all their windows; repeated rows are each predicted; null doc_ids are
+never learned from nor held out; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +29,15 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 SAMPLE_ROWS = 600
+MOST_ROWS = 60_000
 SAMPLE_WINDOWS = 4
 STEPS, BATCH, RATE = 1200, 64, 0.01
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is of Unicode's category L, as ``\\p{L}`` says for Spark."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +81,7 @@ class Network:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if has_letter(t)]
         if some and self.langs:
             data, row, size = windows([texts[i].encode() for i in some])
             logs = self.log_probabilities(data) * size[:, None]
@@ -87,13 +93,42 @@ class Network:
         return names, np.clip(scores, 0, 1)
 
 
+def filter_mask() -> np.ndarray:
+    """Which rows of ``filters`` each filter has."""
+    wide = max(WIDTHS)
+    return np.concatenate([np.repeat(np.arange(wide) < w, EMBED)[:, None].repeat(FILTERS, 1) for w in WIDTHS], 1).astype(np.float32)
+
+
+def gradients(net: Network, data: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean cross entropy of windows, and its gradients by embed, filters, shift, out and bias."""
+    rows, wide = len(data), max(WIDTHS)
+    cols = net.columns(data)
+    seen = (cols.reshape(-1, cols.shape[2]) @ net.filters).reshape(rows, -1, net.filters.shape[1])
+    at = seen.argmax(1)
+    top = np.maximum(np.take_along_axis(seen, at[:, None], 1)[:, 0] + net.shift, 0)
+    z = top @ net.out + net.bias
+    z = z - z.max(1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(1, keepdims=True)
+    loss = -float(np.log(np.maximum(p[np.arange(rows), y], 1e-30)).mean())
+    dz = p / rows
+    dz[np.arange(rows), y] -= 1 / rows
+    dtop = (dz @ net.out.T) * (top > 0)
+    best = cols[np.arange(rows)[:, None], at]  # what each filter answered to: rows x filters x columns
+    dfilters = np.einsum("bf,bfc->cf", dtop, best) * filter_mask()
+    dcols = (dtop[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+    seen_bytes = np.pad(data, ((0, 0), (0, wide - 1)))[np.arange(rows)[:, None, None], at[:, :, None] + np.arange(wide)]
+    dembed = np.zeros_like(net.embed)
+    np.add.at(dembed, seen_bytes.ravel(), dcols)
+    return loss, [dembed, dfilters, dtop.sum(0), top.T @ dz, dz.sum(0)]
+
+
 def train(samples: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -> Network:
     """Adam on the cross entropy of windows; languages are drawn equally often."""
     langs = sorted({lang for lang, _ in samples})
     rng, wide, n = np.random.default_rng(seed), max(WIDTHS), FILTERS * len(WIDTHS)
-    mask = np.concatenate([np.repeat(np.arange(wide) < w, EMBED)[:, None].repeat(FILTERS, 1) for w in WIDTHS], 1).astype(np.float32)
     normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
-    net = Network(langs, normal(0.5, 256, EMBED), normal(0.25, wide * EMBED, n) * mask, np.zeros(n, np.float32), normal(0.1, n, len(langs)), np.zeros(len(langs), np.float32))
+    net = Network(langs, normal(0.5, 256, EMBED), normal(0.25, wide * EMBED, n) * filter_mask(), np.zeros(n, np.float32), normal(0.1, n, len(langs)), np.zeros(len(langs), np.float32))
     if len(langs) < 2:
         return net
     by_lang = [np.concatenate([windows([t])[0] for la, t in samples if la == lang]) for lang in langs]
@@ -102,38 +137,24 @@ def train(samples: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -
     for step in range(1, steps + 1):
         y = rng.integers(len(langs), size=BATCH)
         data = np.stack([by_lang[k][rng.integers(len(by_lang[k]))] for k in y])
-        cols = net.columns(data)
-        seen = cols.reshape(-1, cols.shape[2]) @ net.filters
-        seen = seen.reshape(BATCH, -1, n)
-        at = seen.argmax(1)
-        top = np.maximum(np.take_along_axis(seen, at[:, None], 1)[:, 0] + net.shift, 0)
-        z = top @ net.out + net.bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        dz = (p - np.eye(len(langs), dtype=np.float32)[y]) / BATCH
-        dtop = (dz @ net.out.T) * (top > 0)
-        best = cols[np.arange(BATCH)[:, None], at]  # what each filter answered to: batch x filters x columns
-        dfilters = np.einsum("bf,bfc->cf", dtop, best) * mask
-        dcols = (dtop[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
-        seen_bytes = np.pad(data, ((0, 0), (0, wide - 1)))[np.arange(BATCH)[:, None, None], at[:, :, None] + np.arange(wide)]
-        dembed = np.zeros_like(net.embed)
-        np.add.at(dembed, seen_bytes.ravel(), dcols)
         rate = RATE * (1 - step / (steps + 1))
-        for q, g, (m, v) in zip(params, (dembed, dfilters, dtop.sum(0), top.T @ dz, dz.sum(0)), moments):
+        for q, g, (m, v) in zip(params, gradients(net, data, y)[1], moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return net
 
 
-def learn(docs: DataFrame, where: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> Network:
-    """A network from at most ``sample_rows`` documents of each language among those that ``where`` keeps."""
+def learn(docs: DataFrame, where: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS, most_rows: int = MOST_ROWS) -> Network:
+    """A network from at most ``sample_rows`` documents of each language among those that ``where`` keeps, and ``most_rows`` (or one a
+    language) in all."""
     known = docs.where("lang is not null")
     known = known if where is None else known.where(where)
     hashed = known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
     # A bound on the hash of each language, from its count, keeps about three times the rows wanted; then the smallest. The counts are one
     # row for each language.
     counts = known.groupBy("lang").count()
+    sample_rows = max(1, min(sample_rows, most_rows // max(1, counts.count())))
     near = hashed.join(F.broadcast(counts), "lang").where((F.col("_h").cast("double") / 2.0**64 + 0.5) * F.col("count") <= 3.0 * sample_rows + 100)
     picked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= sample_rows)
     ids = F.broadcast(picked.select("doc_id", "lang"))  # at most sample_rows for each language
@@ -142,7 +163,7 @@ def learn(docs: DataFrame, where: Column | None = None, sample_rows: int = SAMPL
     parts = F.array_distinct(F.array(*[F.substr("text", s, F.lit(chars)) for s in starts]))
     rows = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).select("doc_id", "lang", F.explode(parts).alias("part")).dropDuplicates()
     got = sorted((r.lang, r.doc_id, r.part) for r in rows.collect())
-    return train([(lang, part.encode()) for lang, _, part in got if LETTER.search(part)])
+    return train([(lang, part.encode()) for lang, _, part in got if has_letter(part)])
 
 
 def predict_column(net: Network, text: str = "text") -> Column:

@@ -30,7 +30,7 @@ def test_windows_cover_whole_texts():
     assert (data > 0).sum() == sum(map(len, texts))
 
 
-def test_gradient_steps_match_numeric_differences():
+def test_learning_lowers_the_loss():
     rng = np.random.default_rng(1)
     samples = [(lang, bytes(rng.integers(low, low + 20, 300).tolist())) for _ in range(20) for lang, low in (("a", 60), ("b", 90))]
     before, after = langid.train(samples, steps=0), langid.train(samples, steps=60)
@@ -40,6 +40,70 @@ def test_gradient_steps_match_numeric_differences():
     assert loss(after) < 0.2 * loss(before)
 
 
+def exact(network):
+    """The same network in double precision."""
+    return langid.Network(network.langs, *[getattr(network, n).astype(float) for n in ("embed", "filters", "shift", "out", "bias")])
+
+
+def test_forward_pass_against_plain_loops(network):
+    net, text = exact(network), b"a bad xyz cafe"
+    data = langid.windows([text])[0]
+    padded = data[0].tolist() + [0] * (max(langid.WIDTHS) - 1)
+    top = []
+    for k, width in enumerate(langid.WIDTHS):
+        for f in range(langid.FILTERS):
+            column = k * langid.FILTERS + f
+            best = -np.inf
+            for at in range(langid.WINDOW):
+                answer = 0.0
+                for i in range(width):
+                    for e in range(langid.EMBED):
+                        answer += net.embed[padded[at + i]][e] * net.filters[i * langid.EMBED + e][column]
+                best = max(best, answer)
+            top.append(max(best + net.shift[column], 0.0))
+    z = [sum(t * net.out[i][c] for i, t in enumerate(top)) + net.bias[c] for c in range(2)]
+    want = np.array(z) - np.log(np.exp(np.array(z) - max(z)).sum()) - max(z)
+    assert np.allclose(net.log_probabilities(data)[0], want, atol=1e-9)
+    assert np.allclose(network.log_probabilities(data)[0], want, atol=1e-3)
+
+
+def test_gradients_match_numeric_differences(network):
+    net, rng = exact(network), np.random.default_rng(2)
+    data = np.concatenate([langid.windows([t])[0] for t in (b"bad cafe vu", b"xyz wux", b"fed xa")])
+    truth = np.array([0, 1, 0])
+    _, grads = langid.gradients(net, data, truth)
+    loss = lambda: langid.gradients(net, data, truth)[0]
+    for param, grad in zip((net.embed, net.filters, net.shift, net.out, net.bias), grads):
+        places = np.argwhere(np.abs(grad) > 1e-6) if param is net.embed or param is net.filters else np.argwhere(np.ones_like(param))
+        for at in map(tuple, places[rng.permutation(len(places))[:12]]):
+            old, step = param[at], 1e-6
+            param[at] = old + step
+            up = loss()
+            param[at] = old - step
+            down = loss()
+            param[at] = old
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-5 + 1e-3 * abs(grad[at])
+
+
+@pytest.mark.parametrize("text, letter", [("x", True), ("1 é", True), ("字", True), ("\u01c5", True), ("\u02b0", True), ("² ½ ① Ⅷ", False), ("12 !_", False), ("\u0301", False)])
+def test_letters_are_those_of_unicode(network, spark, text, letter):
+    assert langid.has_letter(text) == letter == (network.predict([text])[0] != ["und"])
+    assert spark.createDataFrame([(text,)], "t string").selectExpr(r"t rlike r'\p{L}' as y").first().y == letter
+
+
+def test_one_network_for_many_languages_is_bounded(spark):
+    rows = [(i, f"text number {i}", f"lang{i % 9}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    original = langid.train
+    langid.train = lambda samples: seen.append(samples) or original(samples, steps=1)
+    try:
+        langid.learn(docs, most_rows=18)
+    finally:
+        langid.train = original
+    assert len({part for _, part in seen[0]}) == 18 and len({lang for lang, _ in seen[0]}) == 9
+
+
 def test_query_on_real_rows(spark):
     from loomgrid.llm.queries import op4_langid
 
