@@ -6,8 +6,9 @@ packed bits, and a bit offset (checkpoint) for every ``checkpoint`` tokens, from
 are committed by Spark's own writer, so a lost executor leaves no half-written block, and any store Spark can write
 to will do.
 
-Defined cases: null text is an empty text (one id, the end id); an empty table gives empty tables; rows that repeat
-a doc_id are all kept, ordered by the crc of their ids; a null doc_id is written as -1; other columns are ignored.
+Defined cases: null text is an empty text (one id, the end id); very long texts are encoded whole; an empty table gives empty
+tables; rows that repeat a doc_id are all kept, ordered by the crc of their ids; null doc_ids come first and come back as null
+(they are written as the smallest long, which therefore is no id); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.shared import chunked, discard, kept, materialize, small_batches
 
 END_ID = 2
+NO_ID = -(1 << 63)
 MAX_BITS = 16
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 128
@@ -63,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Texts that hold the string of an added token (such as one that ends a text) are encoded whole, as the library does it.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind, self.cache_words = np.dtype(kind), cache_words
         self.forget()
 
@@ -131,12 +134,12 @@ class Encoder:
         """The ids of all texts in a row, and how many each text has."""
         if len(self.known) > self.cache_words:
             self.forget()
-        is_plain = [PLAIN.fullmatch(t) is not None for t in texts]
-        if all(is_plain):
+        kinds = [2 if any(s in t for s in self.added) else int(PLAIN.fullmatch(t) is None) for t in texts]
+        if not any(kinds):
             return self.look_up(*self.plain(texts))
-        parts: dict[int, np.ndarray] = {}
-        for kind, cut in ((True, self.plain), (False, self.other)):
-            which = [i for i, p in enumerate(is_plain) if p == kind]
+        parts: dict[int, np.ndarray] = {i: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind) for i, (t, k) in enumerate(zip(texts, kinds)) if k == 2}
+        for kind, cut in enumerate((self.plain, self.other)):
+            which = [i for i, k in enumerate(kinds) if k == kind]
             if which:
                 ids, sizes = self.look_up(*cut([texts[i] for i in which]))
                 parts |= zip(which, np.split(ids, np.cumsum(sizes)[:-1]))
@@ -174,12 +177,17 @@ def width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+def known_id() -> Column:
+    """The doc_id as it is written."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int = END_ID, text: str = "text", key: list | None = None) -> DataFrame:
     """(key.., ids binary, n_tokens, crc, totals): the ids of every whole text with the end id, the crc that of 32-bit ids.
 
     The last row of each partition has only ``totals``: how often each id came up in it.
     """
-    kind, key = width(vocabulary), key or [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")]
+    kind, key = width(vocabulary), key or [known_id()]
     named = small_batches(docs).select(*key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     keys = [f.name for f in named.schema.fields[:-1]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +390,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False, every: i
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    fields = ["doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"]
+    fields = [F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"]
     return small_batches(blocks).mapInArrow(decode, schema).join(base, "shard").select(*fields, *["ids"] * with_ids)
 
 

@@ -15,15 +15,13 @@ PATH, VOCABULARY = public_tokenizers.path("byte_bpe_50k.json"), 50_257
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)  # as the library has it
 
 
 def test_pieces_give_the_ids_of_whole_texts(tokenizer):
     rng, encoder = random.Random(0), tb.Encoder(PATH, "<u4")
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for alphabet in ("ab \n\n\t .,é$1'", "ab1 '\n\t .,\x1c\x85 é漢²!", "it's we'll  \r\n x", "aé😀 б1²_") for _ in range(1500)]
-    texts += ["", " ", "<|endoftext|> a", "a" * 5000, "x" + " " * 300 + "y"]
+    texts += ["", " ", "<|endoftext|> a", "x <|endoftext|>", "é<|endoftext|><|endoftext|>\n b", "<|endoftext |>", "<|endof", "a" * 5000, "x" + " " * 300 + "y"]
     wanted = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     for size in (1, 700, len(texts)):  # and again with pieces that are known
         for i in range(0, 2000 if size == 1 else len(texts), size):
@@ -87,10 +85,10 @@ def test_blocks_come_back(n):
 
 def expected(rows, tokenizer):
     out, at = [], 0
-    coded = sorted((-1 if r.doc_id is None else r.doc_id, tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in rows)
+    coded = sorted((tb.NO_ID if r.doc_id is None else r.doc_id, tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in rows)
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
     for doc, ids in sorted(coded, key=lambda x: (x[0], crc(x[1]))):
-        out.append((doc, at, len(ids), crc(ids)))
+        out.append((None if doc == tb.NO_ID else doc, at, len(ids), crc(ids)))
         at += len(ids)
     return out
 
@@ -99,15 +97,22 @@ def test_files_hold_every_document(spark, tokenizer, documents, no_documents, cl
     want = expected(documents.collect(), tokenizer)
     for docs in (documents, clashing):
         got = tb.token_binary(docs, scratch(spark, "t"), PATH, VOCABULARY).collect()
-        assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+        assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
     assert tb.token_binary(no_documents, scratch(spark, "t"), PATH, VOCABULARY).count() == 0
 
 
+def test_null_ids_are_not_minus_one(spark, tokenizer):
+    docs = spark.createDataFrame([(None, "a"), (-1, "b c <|endoftext|> d"), (None, "e"), (3, None)], "doc_id long, text string")
+    got = tb.token_binary(docs, scratch(spark, "t"), PATH, VOCABULARY).collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == expected(docs.collect(), tokenizer)
+    assert sorted(str(r.doc_id) for r in got) == ["-1", "3", "None", "None"]
+
+
 def test_small_blocks_and_ids(spark, tokenizer, documents):
     path = scratch(spark, "t")
     tb.write_tokens(tb.tokenize(documents, PATH, VOCABULARY), path, VOCABULARY, shards=5, block_tokens=100)
     rows = tb.read_tokens(spark, path, with_ids=True).collect()
-    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows) == expected(documents.collect(), tokenizer)
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows), key=lambda r: r[1]) == expected(documents.collect(), tokenizer)
     texts = {r.doc_id: r.text for r in documents.collect() if r.text and r.doc_id == 3}
     ids = next(r.ids for r in rows if r.doc_id == 3)
     assert tokenizer.decode(np.frombuffer(bytes(ids), "<u4").tolist()[:-1]) == texts[3]
