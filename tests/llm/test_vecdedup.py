@@ -38,8 +38,9 @@ def test_matches_brute_force(spark, vectors, monkeypatch):
     want = brute(ids, vectors.astype(float), 0.95)
     assert sum(n for n, _, _ in want.values()) > 500
     assert run(spark, ids, vectors) == want
-    monkeypatch.setattr(v, "TILE_ROWS", 3)
-    assert run(spark, ids, vectors, grid_dims=3, block_dims=6) == want
+    assert run(spark, ids, vectors, grid_dims=3, block_dims=6, tile_rows=7) == want
+    monkeypatch.setattr(v, "BROADCAST_ROWS", 0)
+    assert run(spark, ids, vectors, grid_dims=1, block_dims=64, tile_rows=50) == want
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.99])
@@ -51,13 +52,13 @@ def test_other_thresholds(spark, vectors, threshold):
 def test_odd_vectors_link_with_nothing(spark):
     one = [1.0] + [0.0] * 7
     nan, inf = float("nan"), float("inf")
-    rows = [(1, one), (2, one), (3, None), (4, [0.0] * 8), (5, [nan] + one[1:]), (6, [inf] + one[1:]), (7, [None] + one[1:]), (8, one[:4]), (9, [2.0] + one[1:]), (9, [2.0] + one[1:]), (10, [1e-30] + one[1:]), (None, [0.0, 1.0] + [0.0] * 6)]
+    rows = [(1, one), (2, one), (3, None), (4, [0.0] * 8), (5, [nan] + one[1:]), (6, [inf] + one[1:]), (7, [None] + one[1:]), (8, one[:4]), (9, [2.0] + one[1:]), (9, [2.0] + one[1:]), (10, [1e-30] + one[1:]), (11, [3.0, 0.0, 0.0, 0.0]), (12, [3.0]), (None, [0.0, 1.0] + [0.0] * 6)]
     df = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA).withColumns({"class_id": F.lit(1), "vector": F.lit(2), "first": F.lit(3), "copies": F.lit(4)})
     out = v.vector_components(df).collect()
     assert len(out) == len(rows)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out}
     assert got[1] == (4, 1, True) and got[2] == (4, 1, False) and got[9] == (4, 1, False) and got[10] == (4, 1, False)
-    assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8)) and got[None] == (0, None, True)
+    assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7)) and got[8] == (1, 8, True) and got[11] == (1, 8, False) and got[None] == (0, None, True)
     assert v.vector_components(df.limit(0)).count() == 0
     doubles = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
     assert {r.vec_id: r.n_links for r in v.vector_components(doubles).collect()} == {i: n for i, (n, _, _) in got.items()}
