@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -82,6 +83,54 @@ def test_every_row_has_one_place(skewed):
     assert [(next(iter(by_slot[k]))[0] or m.NO_SOURCE, next(iter(by_slot[k]))[1]) for k in sorted(by_slot)] == want
 
 
+def test_small_sources_share_one_member(spark):
+    """Thousands of sources: the pool's slots go round, and every source is less than one block off an equal part of them."""
+    counts = {"big": 400_000, "mid": 90_000, **{f"s{i}": 1 + i % 40 for i in range(3000)}}
+    pool, blocks, shares = m.pooled(counts, 4, 0.5)
+    assert set(blocks) == {"big", "mid", m.POOL} or len(blocks) < 50
+    order = []
+    for turn in range(max(pool.blocks.values())):
+        order += sorted((s for s, n in pool.blocks.items() if n > turn), key=pool.place.get)
+    at, seen = {}, dict.fromkeys(pool.blocks, 0)
+    for i, s in enumerate(order):
+        at[s, seen[s]] = i
+        seen[s] += 1
+    assert seen == pool.blocks and len(order) == pool.total
+    for s, n in pool.blocks.items():
+        for b in range(n):
+            turn, first, active = [t for t in pool.turns_of(s) if t[0] <= b][-1]
+            assert at[s, b] == first + (b - turn) * active + pool.place[s]
+
+
+def test_many_sources_are_scheduled_in_linear_time():
+    rng = random.Random(4)
+    counts = {f"s{i}": int(20 * rng.paretovariate(1.1)) for i in range(100_000)}
+    began = time.time()
+    pool, blocks, shares = m.pooled(counts, m.BLOCK_ROWS, 0.5)
+    plan = m.phases(blocks, shares)
+    assert time.time() - began < 10 and sum(shares.values()) < 3000
+    assert sum(blocks.values()) == sum(-(-n // m.BLOCK_ROWS) for n in counts.values()) and len(plan) <= len(blocks)
+
+
+def test_rows_of_pooled_sources_have_one_place(spark):
+    rows = [(i, "big") for i in range(4000)] + [(10_000 + 20 * k + j, f"s{k}") for k in range(700) for j in range(1 + k % 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    out = m.mixed(docs, block_rows=2, power=1.0).collect()
+    counts = {}
+    for _, s in rows:
+        counts[s] = counts.get(s, 0) + 1
+    pool, blocks, shares = m.pooled(counts, 2, 1.0)
+    assert len(pool.blocks) > 100
+    assert len({r.position for r in out}) == len(rows) == len(out)
+    by_slot = {}
+    for r in out:
+        by_slot.setdefault(r.slot, set()).add((r.source, r.block))
+    assert all(len(v) == 1 for v in by_slot.values()) and sorted(by_slot) == list(range(sum(blocks.values())))
+    want = schedule(blocks, shares)
+    got = [next(iter(by_slot[k]))[0] for k in sorted(by_slot)]
+    assert [m.POOL if s in pool.blocks else s for s in got] == [s for s, _ in want]
+
+
 def test_target_shares_hold_until_a_source_runs_out(skewed):
     shares = {"hot": 6, m.NO_SOURCE: 3, "s0": 1, "s1": 1, "s2": 1, "s3": 1, "s4": 1}
     rows = m.mixed(skewed, shares=shares, block_rows=8).collect()
