@@ -40,14 +40,19 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents read from files are taken in the order of the files' names and rows, others by doc_id."""
-    key, order = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id")], None
-    if "_metadata" not in docs.columns:
-        try:
-            docs = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-            key, order = [*key, F.col("file"), F.col("row")], ["file", "row"]
-        except AnalysisException:  # no file metadata: the table isn't read from files
-            pass
+    """Documents read from files are taken in the order in which they were written, others by doc_id.
+
+    The order is that of the numbers in the files' names (part, and file of the part), then that of the rows in a file.
+    """
+    key, order = [tokenbin.known_id()], None
+    try:
+        file = docs.metadataColumn("_metadata")
+        docs = docs.select("doc_id", "text", file["file_name"].alias("file"), file["row_index"].alias("row"))
+        number = lambda pattern: F.expr(f"try_cast(regexp_extract(file, '{pattern}', 1) as long)")
+        order = ["part", "in_part", "file", "row"]
+        key += [number("^part-([0-9]+)").alias("part"), number("-c([0-9]+)[.]").alias("in_part"), F.col("file"), F.col("row")]
+    except AnalysisException:  # no file metadata: the table isn't read from files
+        pass
     return tokenbin.token_binary(docs, scratch(spark, "token-files"), public_tokenizers.path(TOKENIZER), VOCABULARY, key=key, order=order)
 
 
