@@ -158,17 +158,6 @@ def flatten(nested) -> list:
     return [x for item in nested for x in (flatten(item) if isinstance(item, (list, tuple, set)) else [item])]
 
 
-def expanding_list(items, kind: type = list) -> list:
-    """Every prefix of the items, the shortest first: the levels of a rollup."""
-    items = as_list(items)
-    return [kind(items[: k + 1]) for k in range(len(items))]
-
-
-def sliding_window(sequence, window_size: int, step_size: int):
-    """Stretches of the sequence; the last ones may be short."""
-    return (sequence[k : k + window_size] for k in range(0, len(sequence), step_size))
-
-
 def temp(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
@@ -219,9 +208,21 @@ def softmax(logs: list[Column]) -> Column:
     return shares(let(F.array(*logs), lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0))))))
 
 
+MOST_LABELS = 10_000
+
+
 def distinct_values(df: DataFrame, column: str) -> list:
-    """Labels, sorted; a label column has few values."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    """Labels or levels, sorted. More than ``MOST_LABELS`` are an error: such a column is no label, and the driver doesn't hold it."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"{column} has more than {MOST_LABELS} different values")
+    return sorted(r[0] for r in rows)
+
+
+def check_small(df: DataFrame, most_rows: int) -> None:
+    """An error if a table that every row is compared with has more than ``most_rows`` rows."""
+    if df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"more than {most_rows} training rows, with each of which every row is compared: learn from a sample of them")
 
 
 def refuse_stream(df: DataFrame, what: str) -> None:

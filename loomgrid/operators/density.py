@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.base import Classifier, Detector, best_class, softmax, total
+from loomgrid.base import Classifier, Detector, best_class, check_small, let, softmax, total
+from loomgrid.operators.features import quantile
 from loomgrid.operators.linear import Rows
 
 LOG_2PI = math.log(2 * math.pi)
@@ -28,14 +29,22 @@ def digamma(x: np.ndarray) -> np.ndarray:
 class Mixture:
     """A mixture of normals over numeric columns. Each step is one pass that sums responsibilities, means and squares.
 
-    ``bayesian`` adds a Dirichlet prior on the weights and a normal-Wishart prior on the components (variational).
+    ``bayesian`` adds a prior on the weights (a stick-breaking Dirichlet process, or a symmetric Dirichlet distribution) and a
+    normal-Wishart prior on the components (variational). The starting means of several components are sought in a sample of at
+    most ``START_ROWS`` rows; every step after that reads all of them.
     """
 
-    def __init__(self, n_components: int = 1, covariance_type: str = "full", tol: float = 1e-3, reg_covar: float = 1e-6, max_iter: int = 100, random_state: int | None = None, bayesian: bool = False, weight_concentration_prior: float | None = None, mean_precision_prior: float | None = None, degrees_of_freedom_prior: float | None = None) -> None:
+    START_ROWS = 10_000
+
+
+    def __init__(self, n_components: int = 1, covariance_type: str = "full", tol: float = 1e-3, reg_covar: float = 1e-6, max_iter: int = 100, random_state: int | None = None, bayesian: bool = False, weight_concentration_prior_type: str = "dirichlet_process", weight_concentration_prior: float | None = None, mean_precision_prior: float | None = None, degrees_of_freedom_prior: float | None = None) -> None:
         if covariance_type not in ("full", "tied", "diag", "spherical"):
             raise ValueError("covariance_type has to be full, tied, diag or spherical")
         if n_components < 1:
             raise ValueError("n_components has to be at least 1")
+        if weight_concentration_prior_type not in ("dirichlet_process", "dirichlet_distribution"):
+            raise ValueError("weight_concentration_prior_type has to be dirichlet_process or dirichlet_distribution")
+        self.prior_type = weight_concentration_prior_type
         self.n_components, self.covariance_type, self.tol, self.reg_covar, self.max_iter, self.random_state = n_components, covariance_type, tol, reg_covar, max_iter, random_state
         self.bayesian, self.weight_prior, self.mean_prior, self.dof_prior = bayesian, weight_concentration_prior, mean_precision_prior, degrees_of_freedom_prior
 
@@ -52,7 +61,7 @@ class Mixture:
         rng = np.random.default_rng(self.random_state if self.random_state is not None else 0)
         if k > 1:
             wanted = min(1.0, max(2000, 50 * k) / n)
-            sample = np.array(rows.table.sample(wanted, seed=int(rng.integers(1 << 31))).limit(10_000).collect(), float).reshape(-1, d)
+            sample = np.array(rows.table.sample(wanted, seed=int(rng.integers(1 << 31))).limit(self.START_ROWS).collect(), float).reshape(-1, d)
             sample = sample if len(sample) >= k else np.array(rows.table.limit(max(k, 2000)).collect(), float).reshape(-1, d)
             means = self._spread_out(sample, k, rng)
         else:
@@ -110,8 +119,14 @@ class Mixture:
             gap = means - self.prior_mean_
             scatter = self.prior_cov_ + nk[:, None, None] * covariances + (b0 * nk / beta)[:, None, None] * np.einsum("ki,kj->kij", gap, gap)
             self.means_ = (b0 * self.prior_mean_ + nk[:, None] * means) / beta[:, None]
-            covariances, alpha = scatter / nu[:, None, None], a0 + nk
-            self.weights_ = np.exp(digamma(alpha) - digamma(np.array(alpha.sum())))
+            covariances = scatter / nu[:, None, None]
+            if self.prior_type == "dirichlet_process":  # of what the components before left, the share of each
+                taken, left = 1 + nk, a0 + np.append(np.cumsum(nk[::-1])[::-1][1:], 0)
+                both = digamma(taken + left)
+                self.weights_ = np.exp(digamma(taken) - both + np.append(0, np.cumsum(digamma(left) - both)[:-1]))
+            else:
+                alpha = a0 + nk
+                self.weights_ = np.exp(digamma(alpha) - digamma(np.array(alpha.sum())))
             # What the uncertainty of precision and mean adds to the expected log density of each component.
             self.extra_ = 0.5 * (digamma(0.5 * (nu[:, None] - np.arange(d))).sum(1) + d * math.log(2) - d * np.log(nu) - d / beta)
         else:
@@ -165,7 +180,26 @@ class GMMClassifier(Classifier):
 
     def _fit(self, df: DataFrame) -> None:
         self.learn_classes(df)
-        self.gmms_ = {c: Mixture(bayesian=self.bayesian, **self.mixture).fit(df.where(F.col(self.label) == c), self.features) for c in self.classes_}
+        if self.mixture.get("n_components", 1) == 1 and not self.bayesian:
+            self.gmms_ = self._one_each(df)
+        else:
+            self.gmms_ = {c: Mixture(bayesian=self.bayesian, **self.mixture).fit(df.where(F.col(self.label) == c), self.features) for c in self.classes_}
+
+    def _one_each(self, df: DataFrame) -> dict:
+        """One normal for each label, of all labels by one aggregation."""
+        x, d = [F.col(c).cast("double") for c in self.features], len(self.features)
+        asks = [F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]]
+        rows = {r[self.label]: r for r in df.dropna(subset=self.features).groupBy(self.label).agg(*asks).collect()}  # one for each label
+        out = {}
+        for c in self.classes_:
+            if c not in rows:
+                raise ValueError("no rows to learn from")
+            one, r = Mixture(**self.mixture), rows[c]
+            one.features, one.extra_, one.converged_, one.n_iter_ = list(self.features), np.zeros(1), True, 1
+            spread = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], float)
+            one._update(r["n"], np.array([float(r["n"])]), np.array([[r[f"m{i}"] for i in range(d)]]), spread[None])
+            out[c] = one
+        return out
 
     def probabilities(self) -> Column:
         return softmax([self.gmms_[c].log_density() for c in self.classes_])
@@ -206,7 +240,8 @@ class BayesianGaussianMixtureNB(GaussianMixtureNB):
 
 class GMMOutlierDetector(Detector):
     """Rows of low likelihood. ``quantile``: below the 1 - threshold quantile of the training rows; ``stddev``: more than
-    threshold deviations below the mean, the deviation taken from the rows left of the most common likelihood."""
+    threshold deviations below the mean, the deviation taken from the rows left of the most common likelihood, which is sought in a
+    smoothed density of 1001 exact percentiles of all rows."""
 
     bayesian = False
 
@@ -224,7 +259,7 @@ class GMMOutlierDetector(Detector):
         self.gmm_ = Mixture(bayesian=self.bayesian, **self.mixture).fit(df, self.features)
         log = df.dropna(subset=self.features).select(self.gmm_.log_density().alias("l"))
         if self.method == "quantile":
-            self.offset_ = log.agg(F.percentile("l", 1 - self.threshold)).first()[0]
+            self.offset_ = quantile(log, ["l"], [1 - self.threshold])["l"][0]
             return
         n, mean, deviation, marks = log.agg(F.count("l"), F.avg("l"), F.stddev_samp("l"), F.percentile("l", F.array(*[F.lit(k / 1000) for k in range(1001)]))).first()
         marks, width = np.array(marks), (deviation or 1.0) * n**-0.2
@@ -247,8 +282,15 @@ class BayesianGMMOutlierDetector(GMMOutlierDetector):
 
 
 class BayesianKernelDensityClassifier(Classifier):
-    """Kernel density of each label times its share. Each row meets all training rows: quadratic by nature, so the
-    training table should be small; log-sum-exp keeps far rows apart."""
+    """Kernel density of each label times its share. Each row meets all training rows: quadratic by nature, so more than
+    ``most_rows`` training rows are an error, and no more are broadcast. Sums are kept by powers of exp(500), so that far rows neither
+    vanish nor need a pass of their own for the largest. ``metric`` is euclidean, manhattan or chebyshev."""
+
+    METRICS = {
+        "euclidean": lambda gaps: F.sqrt(total([g * g for g in gaps])),
+        "manhattan": lambda gaps: total([F.abs(g) for g in gaps]),
+        "chebyshev": lambda gaps: F.greatest(F.lit(0.0), *[F.abs(g) for g in gaps]),
+    }
 
     KERNELS = {
         "gaussian": lambda d, h: -0.5 * d * d / (h * h),
@@ -259,26 +301,31 @@ class BayesianKernelDensityClassifier(Classifier):
         "cosine": lambda d, h: F.when(d < h, F.log(F.cos(d * (math.pi / 2 / h)))),
     }
 
-    def __init__(self, features, label: str, bandwidth: float = 0.2, kernel: str = "gaussian", prediction: str = "prediction", probability: str = "probability") -> None:
+    def __init__(self, features, label: str, bandwidth: float = 0.2, kernel: str = "gaussian", prediction: str = "prediction", probability: str = "probability", metric: str = "euclidean", most_rows: int = 1_000_000) -> None:
         super().__init__(features, label, prediction, probability)
         if kernel not in self.KERNELS:
             raise ValueError(f"kernel has to be one of {sorted(self.KERNELS)}")
-        self.bandwidth, self.kernel = bandwidth, kernel
+        if metric not in self.METRICS:
+            raise ValueError(f"metric has to be one of {sorted(self.METRICS)}")
+        self.bandwidth, self.kernel, self.metric, self.most_rows = bandwidth, kernel, metric, most_rows
 
     def _fit(self, df: DataFrame) -> None:
         self.learn_classes(df)
         known = df.where(F.col(self.label).isNotNull())
         # Class share times the mean of kernels: the share cancels against the number of rows, so plain sums compare.
         self.train_ = known.select(*[F.col(c).cast("double").alias(f"t{i}") for i, c in enumerate(self.features)], F.col(self.label).alias("ty"))
+        check_small(self.train_, self.most_rows)
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         self.check(df)
         names, point = df.columns, F.struct(*[F.col(c).cast("double").alias(c) for c in self.features])
         distinct = df.select(point.alias("__point")).distinct()
-        gap = F.sqrt(total([F.pow(F.col("__point")[c] - F.col(f"t{i}"), F.lit(2.0)) for i, c in enumerate(self.features)]))
-        logs = distinct.join(self.train_, how="cross").select("__point", "ty", self.KERNELS[self.kernel](gap, F.lit(self.bandwidth)).alias("l")).where("l is not null")
-        top = logs.groupBy("__point", "ty").agg(F.max("l").alias("top"))
-        summed = logs.join(top, ["__point", "ty"]).groupBy("__point", "ty").agg((F.first("top") + F.log(F.sum(F.exp(F.col("l") - F.col("top"))))).alias("l"))
+        gap = self.METRICS[self.metric]([F.col("__point")[c] - F.col(f"t{i}") for i, c in enumerate(self.features)])
+        logs = distinct.crossJoin(F.broadcast(self.train_)).select("__point", "ty", self.KERNELS[self.kernel](gap, F.lit(self.bandwidth)).alias("l")).where("l is not null")
+        power = F.floor(F.col("l") / 500.0)
+        sums = logs.groupBy("__point", "ty", power.alias("k")).agg(F.sum(F.exp(F.col("l") - 500.0 * power)).alias("s"))
+        parts = sums.groupBy("__point", "ty").agg(F.collect_list(F.log("s") + 500.0 * F.col("k")).alias("ls"))  # a few powers
+        summed = parts.select("__point", "ty", let(F.array_max("ls"), lambda top: top + F.log(F.aggregate("ls", F.lit(0.0), lambda a, x: a + F.exp(x - top)))).alias("l"))
         by = summed.groupBy("__point").agg(*[F.max(F.when(F.col("ty") == c, F.col("l"))).alias(f"l{k}") for k, c in enumerate(self.classes_)])
         ls = [F.coalesce(F.col(f"l{k}"), F.lit(-1e300)) for k in range(len(self.classes_))]
         table = by.select("__point", softmax(ls).alias(self.probability))

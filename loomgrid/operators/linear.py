@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.base import Classifier, Regressor, as_list, gram, let, linear, normalised, shares, solve, total
+from loomgrid.base import Classifier, Regressor, as_list, check_small, gram, let, linear, normalised, shares, solve, total
 
 
 class LinearRegression(Regressor):
@@ -55,16 +55,17 @@ class RandomRegressor(Regressor):
 class LowessRegression(Regressor):
     """Weighted mean of the labels of near training rows: weight exp(-d^2 / sigma), and only rows within the
     ``span`` quantile of the distance. Every distinct point meets every training row: quadratic by nature, so
-    the training table should be small; Spark broadcasts it only below its own threshold."""
+    more than ``most_rows`` training rows are an error, and no more are broadcast."""
 
-    def __init__(self, features, label: str, sigma: float = 1.0, span: float | None = None, **names) -> None:
+    def __init__(self, features, label: str, sigma: float = 1.0, span: float | None = None, most_rows: int = 1_000_000, **names) -> None:
         super().__init__(features, label, **names)
-        self.sigma, self.span = sigma, span
+        self.sigma, self.span, self.most_rows = sigma, span, most_rows
 
     def _fit(self, df: DataFrame) -> None:
         if self.span is not None and not 0 < self.span <= 1:
             raise ValueError("span has to be above 0 and at most 1")
         self.train_ = df.select(*[F.col(c).cast("double").alias(f"t{i}") for i, c in enumerate(self.features)], F.col(self.label).cast("double").alias("ty"))
+        check_small(self.train_, self.most_rows)
 
     def expr(self) -> Column:
         raise NotImplementedError("Lowess compares rows with rows: use predict")
@@ -75,7 +76,7 @@ class LowessRegression(Regressor):
         point = F.struct(*[F.col(c).cast("double").alias(c) for c in self.features])
         distinct = df.select(point.alias("__point")).distinct()
         gap = F.sqrt(total([F.pow(F.col("__point")[c] - F.col(f"t{i}"), F.lit(2.0)) for i, c in enumerate(self.features)]))
-        pairs = distinct.join(self.train_, how="cross").select("__point", "ty", gap.alias("d"))
+        pairs = distinct.crossJoin(F.broadcast(self.train_)).select("__point", "ty", gap.alias("d"))
         weight = F.exp(-F.col("d") * F.col("d") / F.lit(self.sigma))
         if self.span is not None:
             near = pairs.groupBy("__point").agg(F.percentile("d", self.span).alias("cut"))
@@ -195,61 +196,106 @@ class Rows:
 class MinimizeRegressor(Regressor):
     """Linear predictions under any row loss, plus alpha * (l1_ratio |w| + (1 - l1_ratio) / 2 w^2) over all parameters.
 
-    ``method`` is accepted for compatibility; there is one solver. ``positive`` keeps coefficients at 0 or above.
+    Newton steps on the loss, whose corner is rounded within a width that shrinks as the steps go on; a subclass says in Spark's
+    and in numpy's terms what the rounded loss is. Learning begins on the driver with at most ``SAMPLE_ROWS`` rows (those of the
+    smallest hashes), so the whole table is passed over a dozen times or so, each one aggregation in the JVM. A table that
+    small is its own sample and is passed over once. ``method`` is accepted for compatibility; there is one solver.
+    ``positive`` keeps coefficients at 0 or above.
     """
 
+    SAMPLE_ROWS = 20_000
+    MOST_STEPS = 16
+    corner = False  # whether the loss has one
+
     def __init__(self, features, label: str, alpha: float = 0.0, l1_ratio: float = 0.0, fit_intercept: bool = True, positive: bool = False, method: str = "SLSQP", **names) -> None:
         super().__init__(features, label, **names)
         if method not in ("SLSQP", "TNC", "L-BFGS-B"):
             raise ValueError("method has to be SLSQP, TNC or L-BFGS-B")
         self.alpha, self.l1_ratio, self.fit_intercept, self.positive, self.method = alpha, l1_ratio, fit_intercept, positive, method
 
-    def working_weight(self, residual: np.ndarray, scale: float) -> np.ndarray:
-        """Weight w and shift: the loss near residual r behaves as w r^2 / 2."""
+    def parts(self, r, width: float, when: Callable) -> tuple:
+        """(loss, slope, curvature, upper bound of the curvature) at residual r; ``when(condition, a, b)`` chooses."""
         raise NotImplementedError
 
-    def pull(self) -> float:
-        """What the loss adds to the normal equations for each row besides the squares (asymmetric linear part)."""
-        return 0.0
-
     def _fit(self, df: DataFrame) -> None:
-        w = F.col(self.weight) if self.weight else F.lit(1.0)
-        rows = Rows(df.dropna(subset=[*self.features, self.label]), [*[F.col(c) for c in self.features], F.col(self.label), w])
-        ones, d = self.fit_intercept, len(self.features) + self.fit_intercept
-        design = lambda m: np.column_stack([np.ones(len(m)), m[:, :-2]]) if ones else m[:, :-2]
-        free, theta = np.ones(d, bool), np.zeros(d)
-        n = rows.sums(lambda m: np.array([m[:, -1].sum(), (m[:, -1] * m[:, -2] ** 2).sum()]))
-        spread = float(np.sqrt(n[1] / n[0])) or 1.0
-        scale = spread
-        for step in range(100):
-            first = step == 0
-
-            def normal(m, theta=theta, scale=scale, first=first):
-                x, y, k = design(m), m[:, -2], m[:, -1]
-                v = k if first else k * self.working_weight(y - x @ theta, scale)
-                xv = x * v[:, None]
-                return np.concatenate([(xv.T @ x).ravel(), xv.T @ y + self.pull() * (0 if first else 1) * (x.T @ k)])
-
-            s = rows.sums(normal) / n[0]
-            a, b = s[: d * d].reshape(d, d), s[d * d :]
-            ridge = self.alpha * (1 - self.l1_ratio) + self.alpha * self.l1_ratio / np.maximum(np.abs(theta), 1e-8) if not first else np.full(d, self.alpha * (1 - self.l1_ratio))
-            new = np.zeros(d)
-            free[:] = True
+        k = (F.col(self.weight) if self.weight else F.lit(1.0)).cast("double")
+        inputs = [F.lit(1.0)] * self.fit_intercept + [F.col(c).cast("double") for c in self.features]
+        y, d = F.col(self.label).cast("double"), len(inputs)
+        rows = df.dropna(subset=[*self.features, self.label])
+        n, mass, square = rows.agg(F.count("*"), F.sum(k), F.sum(k * y * y)).first()
+        if not n:
+            raise ValueError("no rows to learn from")
+        near = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(inputs)], y.alias("y"), k.alias("k"))
+        if n > self.SAMPLE_ROWS:
+            share = F.pmod(F.xxhash64(*near.columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+            near = near.where(share < 0.9 * self.SAMPLE_ROWS / n).limit(self.SAMPLE_ROWS)
+        table = near.toArrow()
+        m = np.column_stack([table[c].to_numpy() for c in table.column_names])
+        x, t, w = m[:, :d], m[:, d], m[:, d + 1]
+        theta = solve((x * w[:, None]).T @ x, (x * w[:, None]).T @ t)
+        spread = float(np.sqrt(np.mean((t - x @ theta) ** 2))) if len(m) else 0.0
+        spread = spread or float(np.sqrt(square / mass)) * 1e-6 or 1.0
+
+        def sampled(theta, width):
+            r = t - x @ theta
+            loss, slope, _, bound = self.parts(r, width, lambda c, a, b: np.where(c, a, b))
+            return (w * loss).sum() / w.sum(), x.T @ (w * slope) / w.sum(), (x * (w * bound * np.ones(len(w)))[:, None]).T @ x / w.sum(), len(w)
+
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+
+        def whole(theta, width):
+            r = y - total([c * float(v) for c, v in zip(inputs, theta)])
+            loss, slope, curve, _ = self.parts(r, width, lambda c, a, b: F.when(c, a).otherwise(b))
+            asks = [F.sum(k * loss), *[F.sum(k * slope * c) for c in inputs], *[F.sum(k * curve * inputs[i] * inputs[j]) for i, j in pairs], F.sum(F.when(F.abs(r) < width, 1).otherwise(0))]
+            got = np.array([v or 0.0 for v in rows.agg(*[a.alias(f"s{i}") for i, a in enumerate(asks)]).first()], float)
+            h = np.zeros((d, d))
+            for (i, j), v in zip(pairs, got[1 + d : -1]):
+                h[i, j] = h[j, i] = v
+            return got[0] / mass, got[1 : d + 1] / mass, h / mass, got[-1]
+
+        if len(m):
+            theta = self._descend(sampled, theta, spread, 1e-9 * spread, 400, 0)
+        if n > self.SAMPLE_ROWS:
+            theta = self._descend(whole, theta, 0.03 * spread, 1e-6 * spread, self.MOST_STEPS, 20 * d)
+        self.coef_, self.intercept_ = (theta[1:], float(theta[0])) if self.fit_intercept else (theta, 0.0)
+
+    def _descend(self, sums: Callable, theta: np.ndarray, width: float, least: float, steps: int, inside: int) -> np.ndarray:
+        """Steps that lower the penalised loss, while its rounded corner gets narrower; it stays as wide as to hold ``inside`` rows."""
+        d, l1, l2 = len(theta), self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio)
+
+        def at(theta, width):
+            loss, slope, h, rows = sums(theta, width)
+            return loss + 0.5 * l2 * theta @ theta + l1 * np.abs(theta).sum(), slope, h, rows
+
+        if self.positive:
+            theta = np.where(np.arange(d) >= int(self.fit_intercept), np.maximum(theta, 0), theta)
+        value, slope, h, rows = at(theta, width)
+        damp = 0.0
+        for _ in range(steps - 1):
+            ridge = np.full(d, l2) + l1 / np.maximum(np.abs(theta), 1e-8)
+            a = h + np.diag(ridge) + damp * np.diag(np.maximum(np.diag(h), 1e-12))
+            goal = a @ theta + slope - ridge * theta
+            free, new = np.ones(d, bool), np.zeros(d)
             while True:
                 new[:] = 0
-                new[free] = solve((a + np.diag(np.broadcast_to(ridge, d)))[np.ix_(free, free)], b[free])
-                below = free & (new < 0) & (np.arange(d) >= int(ones))
+                new[free] = solve(a[np.ix_(free, free)], goal[free])
+                below = free & (new < 0) & (np.arange(d) >= int(self.fit_intercept))
                 if not self.positive or not below.any():
                     break
                 free &= ~below
-            moved = np.abs(new - theta).max() / max(1e-12, np.abs(new).max())
-            theta = new
-            if scale > 1e-7 * spread:
-                scale = max(scale * 0.3, 1e-7 * spread)
-            elif moved < 1e-9:
+            narrower = max(0.3 * width, least) if self.corner and rows >= 4 * inside else width
+            found = at(new, narrower)
+            if found[0] > value + 1e-14 * abs(value):  # too far: shorter steps from where it was
+                damp = max(4 * damp, 1e-2)
+                if damp > 1e6:
+                    break
+                continue
+            gained, moved = value - found[0], np.abs(new - theta).max()
+            theta, damp, (value, slope, h, rows) = new, damp / 10 if damp > 1e-6 else 0.0, found
+            if narrower == width and (gained <= 1e-12 * abs(value) and moved <= 1e-9 * np.abs(theta).max() or gained <= 1e-15 * abs(value)):
                 break
-        rows.close()
-        self.coef_, self.intercept_ = (theta[1:], float(theta[0])) if ones else (theta, 0.0)
+            width = narrower
+        return theta
 
     def expr(self) -> Column:
         return linear(self.features, self.coef_, self.intercept_)
@@ -265,12 +311,15 @@ class ImbalancedLinearRegression(MinimizeRegressor):
         super().__init__(features, label, **options)
         self.overestimation_punishment_factor = overestimation_punishment_factor
 
-    def working_weight(self, residual: np.ndarray, scale: float) -> np.ndarray:
-        return np.where(residual < 0, self.overestimation_punishment_factor, 1.0)
+    def parts(self, r, width, when):
+        factor = when(r < 0, float(self.overestimation_punishment_factor), 1.0)
+        return factor * r * r / 2, factor * r, factor, factor
 
 
 class QuantileRegression(MinimizeRegressor):
-    """Pinball loss: |r| / 2 + (quantile - 1/2) r, whose absolute value is reweighted squares with a shrinking floor."""
+    """Pinball loss: |r| / 2 + (quantile - 1/2) r, its corner rounded within a shrinking width."""
+
+    corner = True
 
     def __init__(self, features, label: str, quantile: float = 0.5, **options) -> None:
         super().__init__(features, label, **options)
@@ -278,11 +327,11 @@ class QuantileRegression(MinimizeRegressor):
             raise ValueError("quantile has to be from 0 to 1")
         self.quantile = quantile
 
-    def working_weight(self, residual: np.ndarray, scale: float) -> np.ndarray:
-        return 0.5 / np.maximum(np.abs(residual), scale)
-
-    def pull(self) -> float:
-        return self.quantile - 0.5
+    def parts(self, r, width, when):
+        size, tilt = when(r < 0, -r, r), self.quantile - 0.5
+        inside = size < width
+        loss = when(inside, r * r / (4 * width) + width / 4, size / 2) + tilt * r
+        return loss, when(inside, r / (2 * width), when(r < 0, -0.5, 0.5)) + tilt, when(inside, 1 / (2 * width), 0.0), 0.5 / when(inside, width, size)
 
 
 class LADRegression(QuantileRegression):

@@ -356,3 +356,108 @@ def test_decay_estimator(spark):
     assert np.allclose(model.predict(df).first().prediction, (w * np.arange(50)).sum() / w.sum())
     with pytest.raises(TypeError):
         meta.DecayEstimator(density.GMMOutlierDetector(["zero"]), "id").fit(df)
+
+
+def pinball(x, y, theta, quantile):
+    r = y - np.c_[np.ones(len(x)), x] @ theta
+    return np.maximum(quantile * r, (quantile - 1) * r).mean()
+
+
+@pytest.mark.parametrize("quantile", [0.1, 0.5, 0.9])
+def test_quantile_of_more_rows_than_the_sample(spark, quantile, monkeypatch):
+    """The passes over the whole table reach the loss of the exact solver, which tries all lines through two rows."""
+    monkeypatch.setattr(linear.MinimizeRegressor, "SAMPLE_ROWS", 300)
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 10, (3000, 1))
+    y = 2 * x[:, 0] + rng.exponential(3, 3000) * (1 + x[:, 0])
+    df = frame(spark, x, y).cache()
+    model = linear.QuantileRegression(["x0"], "y", quantile).fit(df)
+    best = np.array([model.intercept_, *model.coef_])
+    loss = pinball(x, y, best, quantile)
+    near = np.argsort(np.abs(y - np.c_[np.ones(3000), x] @ best))[:60]
+    exact = min(pinball(x, y, np.linalg.solve(np.c_[np.ones(2), x[[i, j], 0]], y[[i, j]]), quantile) for i in near for j in near if i < j and x[i, 0] != x[j, 0])
+    assert loss <= exact * (1 + 2e-5)
+    small = linear.QuantileRegression(["x0"], "y", quantile)
+    small.SAMPLE_ROWS = 10_000
+    theta = small.fit(df)
+    assert pinball(x, y, np.array([theta.intercept_, *theta.coef_]), quantile) <= exact * (1 + 1e-7)
+    df.unpersist()
+
+
+def test_quantile_passes_are_few(spark, monkeypatch):
+    monkeypatch.setattr(linear.MinimizeRegressor, "SAMPLE_ROWS", 300)
+    df = spark.range(20_000).select((F.col("id") % 97).cast("double").alias("x0"), (F.col("id") % 97 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 100).alias("y"))
+    tracker, group = spark.sparkContext.statusTracker(), "few passes"
+    spark.sparkContext.setJobGroup(group, "")
+    linear.LADRegression(["x0"], "y").fit(df)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs <= 44  # an aggregation is two jobs where Spark plans its stages one by one
+
+
+def test_kernel_metrics_and_size_check(spark):
+    rng = np.random.default_rng(3)
+    x, ask = rng.normal(size=(40, 2)), rng.normal(size=(7, 2)) * 3
+    y = (x[:, 0] > 0).astype(int)
+    for metric, gap in (("euclidean", lambda d: np.sqrt((d * d).sum(2))), ("manhattan", lambda d: np.abs(d).sum(2)), ("chebyshev", lambda d: np.abs(d).max(2))):
+        model = density.BayesianKernelDensityClassifier(["x0", "x1"], "y", 0.05, metric=metric).fit(frame(spark, x, y))
+        logs = -0.5 * (gap(ask[:, None] - x[None]) / 0.05) ** 2  # down to exp(-10000): as sums of plain exponentials they vanish
+        top = np.array([[logs[i][y == k].max() + np.log(np.exp(logs[i][y == k] - logs[i][y == k].max()).sum()) for k in (0, 1)] for i in range(7)])
+        want = 1 / (1 + np.exp(np.clip(top[:, 0] - top[:, 1], -700, 700)))
+        got = {round(r.x0, 9): r.probability[1] for r in model.predict_proba(frame(spark, ask)).collect()}
+        assert np.allclose([got[round(a, 9)] for a in ask[:, 0]], want, atol=1e-9)
+    with pytest.raises(ValueError, match="training rows"):
+        density.BayesianKernelDensityClassifier(["x0", "x1"], "y", most_rows=39).fit(frame(spark, x, y))
+    with pytest.raises(ValueError, match="training rows"):
+        linear.LowessRegression("x0", "x1", most_rows=39).fit(frame(spark, x))
+
+
+def test_stick_breaking_weights(spark):
+    """The weights after an update are the geometric means of drawn sticks, or of draws of the symmetric distribution."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(-5, 1, 300), rng.normal(5, 1, 100)])[:, None]
+    one = density.Mixture(2, bayesian=True, random_state=1).fit(frame(spark, x), ["x0"])
+    assert np.allclose(np.sort(one.weights_), [0.25, 0.75], atol=0.03) and np.allclose(np.sort(one.means_[:, 0]), [-5, 5], atol=0.3)
+    m, nk = density.Mixture(3, bayesian=True, weight_concentration_prior=0.5), np.array([5.0, 2.0, 1.0])
+    m.prior_mean_, m.prior_cov_ = np.zeros(1), np.eye(1)
+    m._update(8.0, nk, np.zeros((3, 1)), np.ones((3, 1, 1)))
+    draws = rng.beta(1 + nk, 0.5 + np.array([3.0, 1.0, 0.0]), (400_000, 3))
+    left = np.cumprod(np.c_[np.ones(len(draws)), 1 - draws[:, :2]], 1)
+    assert np.allclose(np.log(m.weights_), np.log(draws * left).mean(0), atol=0.02)
+    flat = density.Mixture(3, bayesian=True, weight_concentration_prior_type="dirichlet_distribution", weight_concentration_prior=0.5)
+    flat.prior_mean_, flat.prior_cov_ = np.zeros(1), np.eye(1)
+    flat._update(8.0, nk, np.zeros((3, 1)), np.ones((3, 1, 1)))
+    assert np.allclose(np.log(flat.weights_), np.log(rng.dirichlet(0.5 + nk, 400_000)).mean(0), atol=0.02)
+    with pytest.raises(ValueError):
+        density.Mixture(weight_concentration_prior_type="other")
+
+
+def test_gmm_of_all_labels_by_one_aggregation(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(200, 2)) @ [[1, 0.4], [0, 2]], rng.integers(0, 3, 200)
+    df = frame(spark, x, y)
+    for kind in ("full", "diag", "spherical"):
+        model = density.GMMClassifier(["x0", "x1"], "y", covariance_type=kind).fit(df)
+        for c in range(3):
+            alone = density.Mixture(covariance_type=kind).fit(df.where(F.col("y") == c), ["x0", "x1"])
+            assert np.allclose(model.gmms_[c].means_, alone.means_) and np.allclose(model.gmms_[c].covariances_, alone.covariances_)
+
+
+def test_ordinal_calibration_uses_other_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 1))
+    y = np.digitize(x[:, 0] + rng.normal(0, 0.7, 200), [-0.6, 0.6])
+    df = frame(spark, x, y)
+    seen = []
+
+    class Spy(linear.LogisticClassifier):
+        def _fit(self, rows):
+            seen.append(rows.count())
+            super()._fit(rows)
+
+    model = meta.OrdinalClassifier(Spy(["x0"], "y"), use_calibration=True, folds=2).fit(df)
+    assert len(seen) == 2 * 3 and [n for n in seen if n == 200] == [200, 200] and sum(n for n in seen if n < 200) == 2 * 200
+    p = np.array([r.probability for r in model.predict_proba(df).orderBy("x0").collect()])
+    assert np.allclose(p.sum(1), 1) and p[0, 0] > 0.8 and p[-1, 2] > 0.8
+    with pytest.raises(ValueError):
+        meta.OrdinalClassifier(linear.LogisticClassifier(["x0"], "y"), folds=1)
