@@ -27,41 +27,95 @@ def add_lags(df: DataFrame, cols, lags, order_by, partition_by=None, drop_na: bo
     return out.dropna() if drop_na else out
 
 
-def quantile(df: DataFrame, columns: list[str], points: list[float], interpolation: str = "linear") -> dict[str, list[float | None]]:
-    """Exact quantiles of the finite values of each column."""
+ONE_PASS_ROWS = 2_000_000
+BUCKETS = 1024
+LAST_ROWS = 4096
+
+
+def values_at(df: DataFrame, usable: Column, ranks: list[int], buckets: int = BUCKETS, last_rows: int = LAST_ROWS) -> dict[int, float]:
+    """The exact values of some ranks (0-based) of a column, without one task ever holding its values.
+
+    Each pass counts the rows of equal buckets of the intervals that hold a wanted rank, and goes on with the bucket of the
+    rank; an interval of one value, or of no more than ``last_rows`` rows, which are then read, ends it.
+    """
+    column = df.select(usable.alias("v")).where(F.col("v").isNotNull())
+    low, high, n = column.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    found: dict[int, float] = {}
+    # Each interval: lowest and highest value, rows below it, rows in it, the ranks wanted of it.
+    todo = [(low, high, 0, n, sorted(set(ranks)))]
+    while todo:
+        small = [t for t in todo if t[0] < t[1] and t[3] <= last_rows]
+        for a, b, before, _, wanted in small:
+            held = sorted(r[0] for r in column.where(F.col("v").between(a, b)).collect())  # at most last_rows
+            found |= {r: held[r - before] for r in wanted}
+        for a, b, _, _, wanted in todo:
+            if a == b:
+                found |= dict.fromkeys(wanted, a)
+        todo = [t for t in todo if t[0] < t[1] and t[3] > last_rows]
+        if not todo:
+            break
+        place = None
+        for k, (a, b, _, _, _) in enumerate(todo):
+            width = (b - a) / buckets or 5e-324
+            at = F.struct(F.lit(k).alias("k"), F.least(F.floor((F.col("v") - a) / F.lit(width)), F.lit(buckets - 1)).alias("at"))
+            inside = F.col("v").between(a, b)
+            place = F.when(inside, at) if place is None else place.when(inside, at)
+        counted = column.select("v", place.alias("p")).where("p is not null").groupBy("p.k", "p.at").agg(F.min("v"), F.max("v"), F.count("*")).orderBy("k", "at").collect()
+        after = []
+        for k, (_, _, before, _, wanted) in enumerate(todo):
+            for _, _, a, b, size in (r for r in counted if r[0] == k):
+                if inner := [r for r in wanted if before <= r < before + size]:
+                    after.append((a, b, before, size, inner))
+                before += size
+        todo = after
+    return found
+
+
+def quantile(df: DataFrame, columns: list[str], points: list[float], interpolation: str = "linear", accuracy: int | None = None) -> dict[str, list[float | None]]:
+    """Quantiles of the finite values of each column: exact, or with ``accuracy`` Spark's approximate ones (relative error of
+    the rank 1 / accuracy; ``interpolation`` then says nothing). Up to ``ONE_PASS_ROWS`` rows one aggregation gives them."""
     modes = ("linear", "lower", "higher", "midpoint", "nearest")
     if interpolation not in modes:
         raise ValueError(f"interpolation has to be one of {modes}")
     usable = {c: F.when(finite(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    if interpolation == "linear":
-        row = df.agg(*[F.percentile(usable[c], F.array(*[F.lit(float(p)) for p in points])).alias(c) for c in columns]).first()
+    if accuracy is not None:
+        row = df.agg(*[F.percentile_approx(usable[c], [float(p) for p in points], accuracy).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(points) for c in columns}
     counts = df.agg(*[F.count(usable[c]).alias(c) for c in columns]).first()
-    row, wanted = None, {}
+    wanted: dict[str, list[tuple[int, int, float]]] = {}
     for c in columns:
-        n = counts[c]
-        for k, p in enumerate(points):
-            at = p * (n - 1) if n else 0
+        wanted[c] = []
+        for p in points:
+            at = p * (counts[c] - 1) if counts[c] else 0.0
             low, high = int(np.floor(at)), int(np.ceil(at))
             near = low if at - low < 0.5 or (at - low == 0.5 and low % 2 == 0) else high
-            wanted[c, k] = {"lower": (low, low), "higher": (high, high), "nearest": (near, near), "midpoint": (low, high)}[interpolation]
-    # The value of a rank r of n is the exact percentile r / (n - 1), which falls on it; rounding can't reach a neighbour.
-    asks = [F.percentile(usable[c], F.array(*[F.lit(r / max(counts[c] - 1, 1)) for r in ranks])).alias(f"{c}_{k}") for (c, k), ranks in wanted.items()]
-    row = df.agg(*asks).first()
-    return {c: [None if row[f"{c}_{k}"] is None else sum(row[f"{c}_{k}"]) / 2 for k in range(len(points))] for c in columns}
+            wanted[c].append({"linear": (low, high, at - low), "lower": (low, low, 0.0), "higher": (high, high, 0.0), "nearest": (near, near, 0.0), "midpoint": (low, high, 0.5)}[interpolation])
+    found = {}
+    for c in columns:
+        ranks = sorted({r for low, high, _ in wanted[c] for r in (low, high)})
+        if not counts[c]:
+            found[c] = {}
+        elif counts[c] > ONE_PASS_ROWS:
+            found[c] = values_at(df, usable[c], ranks)
+        else:
+            # The value of a rank r of n is the exact percentile r / (n - 1), which falls on it; rounding can't reach a neighbour.
+            got = df.agg(F.percentile(usable[c], F.array(*[F.lit(r / max(counts[c] - 1, 1)) for r in ranks]))).first()[0]
+            found[c] = dict(zip(ranks, got))
+    return {c: [found[c][low] + (found[c][high] - found[c][low]) * part if found[c] else None for low, high, part in wanted[c]] for c in columns}
 
 
 class ColumnCapper(Operator):
-    """Clips columns to quantiles. NaN and null stay; infinities become the caps, or null with ``discard_infs``."""
+    """Clips columns to quantiles, exact ones unless ``accuracy`` is given. NaN and null stay; infinities become the caps, or
+    null with ``discard_infs``."""
 
-    def __init__(self, columns, quantile_range=(5.0, 95.0), interpolation: str = "linear", discard_infs: bool = False) -> None:
-        self.features, self.quantile_range, self.interpolation, self.discard_infs = as_list(columns), quantile_range, interpolation, discard_infs
+    def __init__(self, columns, quantile_range=(5.0, 95.0), interpolation: str = "linear", discard_infs: bool = False, accuracy: int | None = None) -> None:
+        self.features, self.quantile_range, self.interpolation, self.discard_infs, self.accuracy = as_list(columns), quantile_range, interpolation, discard_infs, accuracy
 
     def _fit(self, df: DataFrame) -> None:
         low, high = self.quantile_range if len(self.quantile_range) == 2 else (1, 0)
         if not 0 <= low <= high <= 100:
             raise ValueError("quantile_range has to be two ascending numbers from 0 to 100")
-        self.quantiles_ = quantile(df, self.features, [low / 100, high / 100], self.interpolation)
+        self.quantiles_ = quantile(df, self.features, [low / 100, high / 100], self.interpolation, self.accuracy)
         if empty := [c for c, q in self.quantiles_.items() if q[0] is None]:
             raise ValueError(f"columns {empty} hold no finite value")
 
@@ -102,14 +156,14 @@ class RepeatingBasisFunction(Operator):
 class MonotonicSplineTransformer(Operator):
     """I-splines: column_k is the sum of the last k + 1 B-splines, rising from 0 to 1. Values beyond the knots act as the ends."""
 
-    def __init__(self, columns, n_knots: int = 3, degree: int = 3, knots: str = "uniform") -> None:
-        self.features, self.n_knots, self.degree, self.knots = as_list(columns), n_knots, degree, knots
+    def __init__(self, columns, n_knots: int = 3, degree: int = 3, knots: str = "uniform", accuracy: int | None = None) -> None:
+        self.features, self.n_knots, self.degree, self.knots, self.accuracy = as_list(columns), n_knots, degree, knots, accuracy
 
     def _fit(self, df: DataFrame) -> None:
         if self.knots not in ("uniform", "quantile"):
             raise ValueError("knots has to be uniform or quantile")
         points = [0.0, 1.0] if self.knots == "uniform" else [k / (self.n_knots - 1) for k in range(self.n_knots)]
-        found = quantile(df, self.features, points)
+        found = quantile(df, self.features, points, accuracy=self.accuracy if self.knots == "quantile" else None)
         self.knots_ = {c: np.linspace(q[0], q[-1], self.n_knots) if self.knots == "uniform" else np.array(q) for c, q in found.items()}
 
     def _basis(self, c: str) -> list[Column]:
@@ -157,8 +211,8 @@ class IntervalEncoder(Operator):
 
     METHODS = ("average", "normal", "increasing", "decreasing")
 
-    def __init__(self, columns, label: str, n_chunks: int = 10, span: float = 1, method: str = "normal") -> None:
-        self.features, self.label, self.n_chunks, self.span, self.method = as_list(columns), label, n_chunks, span, method
+    def __init__(self, columns, label: str, n_chunks: int = 10, span: float = 1, method: str = "normal", accuracy: int | None = None) -> None:
+        self.features, self.label, self.n_chunks, self.span, self.method, self.accuracy = as_list(columns), label, n_chunks, span, method, accuracy
 
     def _fit(self, df: DataFrame) -> None:
         if self.method not in self.METHODS:
@@ -169,7 +223,7 @@ class IntervalEncoder(Operator):
             raise ValueError("n_chunks has to be positive")
         points = np.linspace(0, 1, self.n_chunks)
         self.knots_, self.heights_ = {}, {}
-        for c, q in quantile(df, self.features, list(points)).items():
+        for c, q in quantile(df, self.features, list(points), accuracy=self.accuracy).items():
             knots = np.array(q, float)
             x, y = F.col(c).cast("double"), F.col(self.label).cast("double")
             if self.method in ("average", "normal"):

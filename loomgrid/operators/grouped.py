@@ -7,7 +7,9 @@ where the state is small. ``PandasEstimator`` runs any Python model with one gro
 
 from __future__ import annotations
 
+import copy
 import pickle
+import weakref
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.base import Operator, as_list, best_class, distinct_values, finite, let, softmax, temp, total
+from loomgrid.base import Classifier, Operator, as_list, best_class, distinct_values, finite, let, softmax, temp, total
 from loomgrid.functions.shrinkage import weights
 
 # ---------------------------------------------------------------- inner estimators
@@ -41,14 +43,19 @@ class MeanEstimator:
 
 
 class QuantileEstimator(MeanEstimator):
-    """An exact quantile of the label; the median by default."""
+    """A quantile of the label, the median by default: exact, which holds the distinct values of a group in one task, or with
+    ``accuracy`` Spark's approximate one, which doesn't."""
 
-    def __init__(self, label: str, quantile: float = 0.5) -> None:
+    def __init__(self, label: str, quantile: float = 0.5, accuracy: int | None = None) -> None:
         super().__init__(label)
-        self.quantile = quantile
+        self.quantile, self.accuracy = quantile, accuracy
 
     def params(self) -> Column:
-        return F.struct(F.percentile(F.col(self.label).cast("double"), self.quantile).alias("mean"))
+        return F.struct(quantile_of(F.col(self.label).cast("double"), self.quantile, self.accuracy).alias("mean"))
+
+
+def quantile_of(value: Column, point: float, accuracy: int | None) -> Column:
+    return F.percentile(value, point) if accuracy is None else F.percentile_approx(value, point, accuracy)
 
 
 def _solve(sums: Column) -> Column:
@@ -142,12 +149,16 @@ class GaussianClassifier(FrequencyClassifier):
 
 
 class PandasEstimator:
-    """Any Python model: ``fit(frame) -> model`` and ``predict(model, frame) -> values``; a group has to fit one task."""
+    """Any Python model: ``fit(frame) -> model`` and ``predict(model, frame) -> values``.
+
+    A model learns in one task from at most about ``most_rows`` rows of its group, those of the smallest hashes: so neither the global
+    model nor that of a hot group ever brings its whole group to one place. Predictions are made for all rows.
+    """
 
     classifier = False
 
-    def __init__(self, features, label: str, fit: Callable, predict: Callable) -> None:
-        self.features, self.label, self.fit, self.apply = as_list(features), label, fit, predict
+    def __init__(self, features, label: str, fit: Callable, predict: Callable, most_rows: int = 500_000) -> None:
+        self.features, self.label, self.fit, self.apply, self.most_rows = as_list(features), label, fit, predict, most_rows
 
     def prepare(self, df: DataFrame) -> PandasEstimator:
         return self
@@ -157,9 +168,21 @@ class PandasEstimator:
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             out = frame[keys].head(1).reset_index(drop=True) if keys else pd.DataFrame(index=[0])
-            return out.assign(n=len(frame), **{column: [{"model": pickle.dumps(fit(frame))}]})
-
-        return df.groupBy(*keys).applyInPandas(run, schema)
+            n = int(frame.pop(total).iloc[0])
+            return out.assign(n=n, **{column: [{"model": pickle.dumps(fit(frame))}]})
+
+        # How many rows each group has says which hashes are kept; only groups of more rows than a model learns from are broadcast.
+        total = temp("rows")
+        counts = df.groupBy(*keys).agg(F.count("*").alias(total))
+        named = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], total)
+        share = (F.xxhash64(*[F.col(c) for c in df.columns]).cast("double") / 2.0**64 + 0.5) * F.col(total) < self.most_rows
+        if keys:
+            on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(named[f"__k_{k}"]) for k in keys])
+            rows = df.join(named, on).drop(*[f"__k_{k}" for k in keys])
+        else:
+            rows = df.crossJoin(F.broadcast(named))  # one row
+        kept = rows.where((F.col(total) <= self.most_rows) | share)
+        return kept.groupBy(*keys).applyInPandas(run, schema)
 
     def predicted(self, p: Column) -> Column:
         apply, names = self.apply, self.features
@@ -175,7 +198,7 @@ class PandasEstimator:
         return run(p["model"], F.struct(*self.features))
 
 
-def fit_levels(df: DataFrame, estimator, levels: list[list[str]], column: str) -> list[DataFrame]:
+def fit_levels(df: DataFrame, estimator, levels: list[list[str]], column: str, owner=None) -> list[DataFrame]:
     """For each list of keys, which are prefixes of one another, a table (keys.., n, column)."""
     if hasattr(estimator, "state"):
         return [estimator.state(df, keys, column) for keys in levels]
@@ -187,7 +210,8 @@ def fit_levels(df: DataFrame, estimator, levels: list[list[str]], column: str) -
     states = states.where(F.col("__gid").isin([(1 << (len(deepest) - len(keys))) - 1 for keys in levels]))
     if hasattr(estimator, "finish"):
         states = estimator.finish(states, column)
-    states = states.cache()  # one row for each group; every level and prediction reads it
+    states = states.cache()  # one row for each group; every level and prediction reads it, until no model holds it
+    weakref.finalize(owner or estimator, states.unpersist)
     return [states.where(F.col("__gid") == (1 << (len(deepest) - len(keys))) - 1).select(*keys, "n", column) for keys in levels]
 
 
@@ -210,16 +234,71 @@ def attach(df: DataFrame, state: DataFrame, keys: list[str], column: str, n: str
     return df.join(named, on, "left").drop(*[f"__k_{k}" for k in keys])
 
 
+# ---------------------------------------------------------------- any operator, group by group
+
+
+def with_groups(out: DataFrame, rows: DataFrame, groups: list[str]) -> DataFrame:
+    """The transformed rows, where group columns that the operator dropped are an error rather than guessed."""
+    if lost := [g for g in groups if g not in out.columns]:
+        raise ValueError(f"the operator drops the group column(s) {lost}: apply it to other columns")
+    return out
+
+
+class EachGroup:
+    """One fitted copy of an operator for each group, and one of all rows for groups not seen. Rows of a group are a filter of
+    the table, and the result the union of them: meant for few groups, at most ``most_groups``."""
+
+    def __init__(self, operator: Operator, groups: list[str], use_global_model: bool, most_groups: int) -> None:
+        self.operator, self.groups, self.use_global_model, self.most_groups = operator, groups, use_global_model, most_groups
+
+    def _is(self, values: list) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.lit(v)) for g, v in zip(self.groups, values)])
+
+    def fit(self, df: DataFrame) -> EachGroup:
+        self.whole = self.operator.fit(df) if self.use_global_model or not self.groups else None
+        found = df.select(*self.groups).distinct().limit(self.most_groups + 1).collect() if self.groups else []
+        if len(found) > self.most_groups:
+            raise ValueError(f"more than {self.most_groups} groups: raise most_groups, or use an estimator that learns all groups at once")
+        self.models = [(list(r), self.operator.fit(df.where(self._is(list(r))))) for r in sorted(found, key=str)]
+        return self
+
+    def apply(self, df: DataFrame, use: Callable[[Operator, DataFrame], DataFrame]) -> DataFrame:
+        if not self.groups:
+            return use(self.whole, df)
+        known = reduce(lambda a, b: a | b, [self._is(v) for v, _ in self.models], F.lit(False))
+        rest = df.where(~known)
+        if self.whole is None:
+            message = F.concat(F.lit("no model was fitted for group: "), F.to_json(F.struct(*self.groups)))
+            rest = rest.where(F.raise_error(message).cast("boolean"))
+        out = use(self.whole or self.models[0][1], rest)
+        for values, model in self.models:
+            out = out.unionByName(use(model, df.where(self._is(values))))
+        return out
+
+
 # ---------------------------------------------------------------- grouped and hierarchical
 
 
 class GroupedPredictor(Operator):
     """A model for each value of ``groups``, with a global one for groups not seen. With ``shrinkage`` (regressors) the
-    predictions of all prefixes of the groups are blended, and a new group is an error."""
+    predictions of all prefixes of the groups are blended, and a new group is an error.
 
-    def __init__(self, estimator, groups, shrinkage: str | Callable | None = None, use_global_model: bool = True, prediction: str = "prediction", probability: str = "probability", **shrinkage_options) -> None:
+    The inner estimators of this module learn all groups at once, however many there are. Any other regressor or classifier of
+    this library, MLlib's among them, is fitted once for each of at most ``most_groups`` groups (no shrinkage).
+    """
+
+    def __init__(self, estimator, groups, shrinkage: str | Callable | None = None, use_global_model: bool = True, prediction: str = "prediction", probability: str = "probability", most_groups: int = 64, **shrinkage_options) -> None:
         self.estimator, self.groups, self.shrinkage, self.use_global_model = estimator, as_list(groups), shrinkage, use_global_model
-        self.prediction, self.probability, self.options = prediction, probability, shrinkage_options
+        self.prediction, self.probability, self.most_groups, self.options = prediction, probability, most_groups, shrinkage_options
+        if isinstance(estimator, Operator):
+            self.estimator = copy.copy(estimator)
+            self.estimator.prediction = prediction
+            if isinstance(estimator, Classifier):
+                self.estimator.probability = probability
+
+    @property
+    def classifies(self) -> bool:
+        return isinstance(self.estimator, Classifier) or getattr(self.estimator, "classifier", False)
 
     def uses(self) -> list[str]:
         return [*self.groups, *self.estimator.features]
@@ -230,13 +309,20 @@ class GroupedPredictor(Operator):
         return [self.groups[:k] for k in range(len(self.groups) + 1 - (not self.use_global_model))] if self.use_global_model else [self.groups[:k] for k in range(1, len(self.groups) + 1)]
 
     def _fit(self, df: DataFrame) -> None:
-        if self.shrinkage is not None and self.estimator.classifier:
+        if self.shrinkage is not None and self.classifies:
             raise ValueError("shrinkage is only for regressors")
+        if isinstance(self.estimator, Operator):
+            if self.shrinkage is not None:
+                raise ValueError("shrinkage needs an estimator that learns all groups at once")
+            check_groups(df, self.groups)
+            self.each_ = EachGroup(self.estimator, self.groups, self.use_global_model, self.most_groups).fit(df)
+            self.classes_ = sorted({c for _, m in self.each_.models for c in m.classes_}) if self.classifies else None
+            return
         if self.shrinkage is not None and len(self._levels()) < 2:
             raise ValueError("shrinkage needs more than one level of groups")
         check_groups(df, self.groups)
         self.estimator_, self.levels_ = self.estimator.prepare(df), self._levels()
-        self.states_ = fit_levels(df, self.estimator_, self.levels_, "params")
+        self.states_ = fit_levels(df, self.estimator_, self.levels_, "params", self)
         self.classes_ = getattr(self.estimator_, "classes", None)
 
     def _joined(self, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
@@ -255,8 +341,19 @@ class GroupedPredictor(Operator):
         blend = total([w * v for w, v in zip(weights([F.col(n) for n in ns], self.shrinkage, **self.options), of)])
         return F.when(F.col(ns[-1]).isNotNull(), blend).otherwise(unseen.cast(kind))
 
+    def _aligned(self, model: Operator, rows: DataFrame) -> DataFrame:
+        """A model's probabilities in the order of all classes; those that its group lacks have 0."""
+        out = model.predict_proba(rows)
+        places = [model.classes_.index(c) + 1 if c in model.classes_ else 0 for c in self.classes_]
+        return out.withColumn(self.probability, F.array(*[F.element_at(self.probability, k).cast("double") if k else F.lit(0.0) for k in places]))
+
     def predict(self, df: DataFrame) -> DataFrame:
         self.check(df)
+        if isinstance(self.estimator, Operator):
+            if not self.classifies:
+                return self.each_.apply(df, lambda model, rows: model.predict(rows))
+            out = self.each_.apply(df, self._aligned)
+            return out.withColumn(self.prediction, best_class(F.col(self.probability), self.classes_))
         out, ps, ns = self._joined(df)
         if self.estimator_.classifier:
             out = out.withColumn(self.probability, self._value(ps, ns))
@@ -266,21 +363,27 @@ class GroupedPredictor(Operator):
     _transform = predict
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
-        if not self.estimator_.classifier:
+        if not self.classifies:
             raise AttributeError("the estimator gives no probabilities")
         return self.predict(df).drop(self.prediction)
 
+    def decision_function(self, df: DataFrame, decision: str = "decision") -> DataFrame:
+        """Log odds of the second of two classes, or the logarithms of all classes' probabilities; never infinite."""
+        logs = F.transform(self.probability, lambda p: F.log(F.greatest(p, F.lit(1e-300))))
+        value = F.element_at(logs, 2) - F.element_at(logs, 1) if len(self.classes_ or []) == 2 else logs
+        return self.predict_proba(df).withColumn(decision, value).drop(self.probability)
+
 
 class GroupedRegressor(GroupedPredictor):
     def _fit(self, df: DataFrame) -> None:
-        if self.estimator.classifier:
+        if self.classifies:
             raise ValueError("GroupedRegressor needs a regressor")
         super()._fit(df)
 
 
 class GroupedClassifier(GroupedPredictor):
     def _fit(self, df: DataFrame) -> None:
-        if not self.estimator.classifier:
+        if not self.classifies:
             raise ValueError("GroupedClassifier needs a classifier")
         super()._fit(df)
 
@@ -296,10 +399,12 @@ class HierarchicalPredictor(GroupedPredictor):
     def _fit(self, df: DataFrame) -> None:
         if self.fallback_method not in ("parent", "raise"):
             raise ValueError("fallback_method has to be parent or raise")
+        if isinstance(self.estimator, Operator):
+            raise ValueError("a hierarchy needs an estimator that learns all groups at once")
         check_groups(df, self.groups)
         self.estimator_ = self.estimator.prepare(df)
         self.levels_ = [self.groups[:k] for k in range(len(self.groups) + 1)]
-        self.states_ = fit_levels(df, self.estimator_, self.levels_, "params")
+        self.states_ = fit_levels(df, self.estimator_, self.levels_, "params", self)
         self.classes_ = getattr(self.estimator_, "classes", None)
 
     def _value(self, ps: list[str], ns: list[str]) -> Column:
@@ -321,14 +426,14 @@ class HierarchicalPredictor(GroupedPredictor):
 
 class HierarchicalRegressor(HierarchicalPredictor):
     def _fit(self, df: DataFrame) -> None:
-        if self.estimator.classifier:
+        if self.classifies:
             raise ValueError("HierarchicalRegressor needs a regressor")
         super()._fit(df)
 
 
 class HierarchicalClassifier(HierarchicalPredictor):
     def _fit(self, df: DataFrame) -> None:
-        if not self.estimator.classifier:
+        if not self.classifies:
             raise ValueError("HierarchicalClassifier needs a classifier")
         super()._fit(df)
 
@@ -338,12 +443,12 @@ class HierarchicalClassifier(HierarchicalPredictor):
 
 class GroupScaler:
     """``standard``: (x - mean) / population deviation; ``minmax``: to 0..1; ``robust``: median and quartiles. A constant
-    column is only shifted."""
+    column is only shifted. Medians and quartiles are exact unless ``accuracy`` is given."""
 
-    def __init__(self, columns, method: str = "standard") -> None:
+    def __init__(self, columns, method: str = "standard", accuracy: int | None = None) -> None:
         if method not in ("standard", "minmax", "robust"):
             raise ValueError("method has to be standard, minmax or robust")
-        self.columns, self.method = as_list(columns), method
+        self.columns, self.method, self.accuracy = as_list(columns), method, accuracy
 
     def params(self) -> Column:
         def one(c: str) -> Column:
@@ -351,7 +456,7 @@ class GroupScaler:
             low, scale = {
                 "standard": lambda: (F.avg(x), F.stddev_pop(x)),
                 "minmax": lambda: (F.min(x), F.max(x) - F.min(x)),
-                "robust": lambda: (F.percentile(x, 0.5), F.percentile(x, 0.75) - F.percentile(x, 0.25)),
+                "robust": lambda: (quantile_of(x, 0.5, self.accuracy), quantile_of(x, 0.75, self.accuracy) - quantile_of(x, 0.25, self.accuracy)),
             }[self.method]()
             return F.struct(low.alias("low"), F.when(scale > 0, scale).otherwise(1.0).alias("scale")).alias(c)
 
@@ -359,21 +464,31 @@ class GroupScaler:
 
 
 class GroupedTransformer(Operator):
-    """Scales columns within groups; rows of new groups use the global state or fail. Group columns are dropped unless
-    ``keep_groups``."""
+    """Transforms rows within groups; rows of new groups use the global state or fail. Group columns are dropped unless
+    ``keep_groups``.
+
+    A ``GroupScaler`` learns all groups by one aggregation and is applied by a join, so there may be any number of them. Any other
+    operator is fitted once for each group, of which there may be ``most_groups``.
+    """
 
-    def __init__(self, transformer: GroupScaler, groups=None, use_global_model: bool = True, keep_groups: bool = False) -> None:
-        self.transformer, self.groups, self.use_global_model, self.keep_groups = transformer, as_list(groups), use_global_model, keep_groups
+    def __init__(self, transformer, groups=None, use_global_model: bool = True, keep_groups: bool = False, most_groups: int = 64) -> None:
+        self.transformer, self.groups, self.use_global_model, self.keep_groups, self.most_groups = transformer, as_list(groups), use_global_model, keep_groups, most_groups
 
     def uses(self) -> list[str]:
-        return [*self.groups, *self.transformer.columns]
+        return [*self.groups, *(self.transformer.uses() if isinstance(self.transformer, Operator) else self.transformer.columns)]
 
     def _fit(self, df: DataFrame) -> None:
         check_groups(df, self.groups)
         self.levels_ = [[], self.groups] if self.groups and self.use_global_model else [self.groups]
-        self.states_ = fit_levels(df, self.transformer, self.levels_, "params")
+        if isinstance(self.transformer, Operator):
+            self.each_ = EachGroup(self.transformer, self.groups, self.use_global_model, self.most_groups).fit(df)
+        else:
+            self.states_ = fit_levels(df, self.transformer, self.levels_, "params", self)
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        if isinstance(self.transformer, Operator):
+            out = self.each_.apply(df, lambda model, rows: with_groups(model.transform(rows), rows, self.groups))
+            return out if self.keep_groups else out.drop(*self.groups)
         ps, ns = [temp("p") for _ in self.levels_], [temp("n") for _ in self.levels_]
         out = df
         for keys, state, p, n in zip(self.levels_, self.states_, ps, ns):

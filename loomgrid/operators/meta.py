@@ -253,11 +253,14 @@ def platt(df: DataFrame, score: Column, target: Column) -> tuple[float, float]:
 
 class OrdinalClassifier(Classifier):
     """Ordered labels: one binary model for each border; probabilities are differences and may be slightly negative.
-    ``use_calibration`` fits a sigmoid to each model's log odds."""
+    ``use_calibration`` fits a sigmoid to each model's log odds of rows that it didn't learn from: ``folds`` models, each without
+    one part of the rows (by a hash of features and label), score that part."""
 
-    def __init__(self, estimator: Classifier, use_calibration: bool = False) -> None:
+    def __init__(self, estimator: Classifier, use_calibration: bool = False, folds: int = 5) -> None:
         super().__init__(estimator.features, estimator.label, estimator.prediction, estimator.probability, estimator.weight)
-        self.estimator, self.use_calibration = estimator, use_calibration
+        if folds < 2:
+            raise ValueError("folds has to be at least 2")
+        self.estimator, self.use_calibration, self.folds = estimator, use_calibration, folds
 
     def _fit(self, df: DataFrame) -> None:
         self.learn_classes(df)
@@ -271,7 +274,11 @@ class OrdinalClassifier(Classifier):
             self.estimators_.append(one.fit(rows))
             if self.use_calibration:
                 p = F.greatest(F.least(F.element_at("__p", 2), F.lit(1 - 1e-9)), F.lit(1e-9))
-                self.sigmoids_.append(platt(self.estimators_[-1].predict_proba(rows), F.log(p / (1 - p)), F.col("__up_to")))
+                fold, scored = F.pmod(F.xxhash64(*self.features, self.label), F.lit(self.folds)), None
+                for k in range(self.folds):
+                    part = one.fit(rows.where(fold != k)).predict_proba(rows.where(fold == k))
+                    scored = part if scored is None else scored.union(part)
+                self.sigmoids_.append(platt(scored, F.log(p / (1 - p)), F.col("__up_to")))
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         self.check(df)

@@ -11,7 +11,9 @@ from loomgrid.base import Detector, centred, total
 
 
 class PCAOutlierDetection(Detector):
-    """Outliers are rows whose absolute reconstruction error (over the row's sum if ``relative``) is above the threshold."""
+    """Outliers are rows whose absolute reconstruction error (over the row's sum if ``relative``) is above the threshold.
+
+    ``whiten`` scales what lies between projection and reconstruction, which undoes it: it is accepted and changes nothing."""
 
     def __init__(self, features, n_components: int | float | None = None, threshold: float | None = None, variant: str = "relative", whiten: bool = False, **names) -> None:
         super().__init__(features, **names)

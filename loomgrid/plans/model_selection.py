@@ -101,6 +101,8 @@ class KlusterFoldValidation(ClusterFoldValidation):
 class GroupTimeSeriesSplit:
     """Sorted groups are cut into n_splits + 1 runs of nearly equal rows; fold i trains on run i and tests on run i + 1."""
 
+    MOST_GROUPS = 5000
+
     def __init__(self, group_col: str, n_splits: int) -> None:
         if n_splits < 1:
             raise ValueError("n_splits has to be at least 1")
@@ -137,7 +139,10 @@ class GroupTimeSeriesSplit:
 
     def blocks(self, df: DataFrame) -> list[tuple]:
         """(first group, last group, rows, groups) of each run."""
-        counts = sorted((r[0], r[1]) for r in df.groupBy(self.group_col).count().collect() if r[0] is not None)
+        found = df.where(F.col(self.group_col).isNotNull()).groupBy(self.group_col).count().limit(self.MOST_GROUPS + 1).collect()
+        if len(found) > self.MOST_GROUPS:
+            raise ValueError(f"more than {self.MOST_GROUPS} groups: the search over all cuts is for fewer, such as days or weeks")
+        counts = sorted((r[0], r[1]) for r in found)
         cuts = [0, *self.cuts([n for _, n in counts], self.n_splits + 1), len(counts)]
         return [(counts[a][0], counts[b - 1][0], sum(n for _, n in counts[a:b]), b - a) for a, b in zip(cuts, cuts[1:])]
 

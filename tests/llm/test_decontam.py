@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrid.llm import decontam as d
 
@@ -27,10 +28,21 @@ def test_matcher_misses_nothing():
     rng = random.Random(2)
     words = ["the", "of", "in", "x", "y", "z"]
     for _ in range(800):
-        items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 14)))) for i in range(4)]
+        items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))) for i in range(4)]
         text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))
-        want = {(i, distance(t.split(), text.split())[0]) for i, t in items if len(t.split()) >= 5 and distance(t.split(), text.split())[0] <= len(t.split()) // 5}
+        want = {(i, distance(t.split(), text.split())[0]) for i, t in items if distance(t.split(), text.split())[0] <= len(t.split()) // 5}
         assert {(i, e) for i, e, _, _ in d.Matcher(items).find(text)} == want
+        long = {i for i, t in items if len(t.split()) >= 5}
+        assert {(i, e) for i, e, _, _ in d.Matcher(items, min_words=5).find(text)} == {(i, e) for i, e in want if i in long}
+
+
+def test_scripts_without_spaces_are_matched_by_characters():
+    han, thai = "今天天气很好我们去公园散步吧", "สวัสดีชาวโลกวันนี้อากาศดี"
+    assert d.words_of("東京 Tower99 カ_x") == ["東", "京", "tower99", "カ", "_x"]
+    found = lambda item, text: [(i, e) for i, e, _, _ in d.Matcher([(1, item)]).find(text)]
+    assert found(han, f"前言{han}后记") == [(1, 0)] and found(han, f"前言{han[:5]}X{han[6:]}后记") == [(1, 1)] and found(han, "今天天气不好") == []
+    assert found(thai, f"abc{thai}") == [(1, 0)]
+    assert found("two words", "here are two words") == [(1, 0)] and found("two words", "two other words") == []
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +70,11 @@ def test_leaks_and_clean_documents(spark, prose, benchmark, documents):
 def test_empty_tables_and_clashing_names(spark, benchmark, documents, no_documents, clashing):
     assert d.leaks(no_documents, benchmark).count() == 0
     assert d.leaks(documents, benchmark.limit(0)).count() == 0
-    kept = d.decontaminate(clashing, benchmark.withColumnRenamed("item_id", "item_id"))
+    names = "doc_id edits item_words last_word lang row".split()
+    named = benchmark.withColumns({n: F.lit("extra") for n in names})
+    both = clashing.withColumns({n: F.lit("extra") for n in ("item_id", "edits", "item_words", "last_word")})
+    one = benchmark.limit(0).union(documents.where("doc_id = 4").select("doc_id", "text")).withColumn("edits", F.lit(7))
+    assert [(r.doc_id, r.item_id, r.edits) for r in d.leaks(both, one).collect()] == [(4, 4, 0)]
+    kept = d.decontaminate(clashing, named)
     assert kept.columns == clashing.columns and kept.count() == clashing.count()
     assert d.decontaminate(documents, benchmark.limit(0)).count() == documents.count()

@@ -129,3 +129,75 @@ def test_grouped_transformer(spark):
     strict = g.GroupedTransformer(g.GroupScaler("x"), "g", use_global_model=False).fit(df)
     with pytest.raises(PySparkException, match="no model was fitted"):
         strict.transform(spark.createDataFrame([("zz", 6.0)], "g string, x double")).collect()
+
+
+@pytest.fixture(scope="module")
+def three(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"g{i % 3}", float(x), float((i % 3 + 1) * x + 5), int(x > 0.2 * (i % 3))) for i, x in enumerate(rng.normal(size=150))]
+    return spark.createDataFrame(rows, "g string, x double, y double, c long")
+
+
+def test_any_transformer_within_groups(three):
+    from loomgrid.operators.features import ColumnCapper
+
+    model = g.GroupedTransformer(ColumnCapper("x", (10, 90)), "g", keep_groups=True).fit(three)
+    rows = three.toPandas()
+    want = rows.groupby("g").x.transform(lambda s: s.clip(s.quantile(0.1), s.quantile(0.9)))
+    got = model.transform(three).toPandas()
+    assert np.allclose(np.sort(got.x), np.sort(want)) and len(got) == 150 and set(got.columns) == {"g", "x", "y", "c"}
+    new = three.limit(3).withColumn("g", F.lit("new")).withColumn("x", F.lit(99.0))
+    assert {r.x for r in model.transform(new).collect()} == {rows.x.quantile(0.9)}
+    assert "g" not in g.GroupedTransformer(ColumnCapper("x"), "g").fit_transform(three).columns
+    strict = g.GroupedTransformer(ColumnCapper("x"), "g", use_global_model=False).fit(three)
+    assert strict.transform(three).count() == 150
+    with pytest.raises(PySparkException, match="no model was fitted"):
+        strict.transform(new).collect()
+    with pytest.raises(ValueError, match="more than 2 groups"):
+        g.GroupedTransformer(ColumnCapper("x"), "g", most_groups=2).fit(three)
+
+
+def test_any_model_for_each_group(three):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from loomgrid.operators import linear, meta
+
+    rows = three.toPandas()
+    line = g.GroupedRegressor(linear.LinearRegression("x", "y"), "g").fit(three).predict(three).toPandas()
+    assert np.allclose(line.prediction, line.y) and len(line) == 150
+    tree = g.GroupedPredictor(meta.MLlibRegressor(DecisionTreeRegressor(maxDepth=2, seed=1), "x", "y"), "g").fit(three)
+    assert tree.predict(three).count() == 150
+    odds = g.GroupedClassifier(linear.LogisticClassifier("x", "c"), "g").fit(three)
+    out = odds.predict(three).toPandas()
+    assert (out.prediction == out.c).mean() > 0.9 and np.allclose(np.stack(out.probability).sum(1), 1)
+    said = odds.decision_function(three).toPandas()
+    merged = out.merge(said, on=["g", "x", "y", "c"])
+    assert ((merged.decision > 0) == (merged.prediction == 1)).all()
+    shares = g.GroupedClassifier(g.FrequencyClassifier("c"), "g").fit(three).decision_function(three).toPandas()
+    by = rows.groupby("g").c.mean()
+    assert np.allclose(shares.decision, np.log(shares.g.map(by) / (1 - shares.g.map(by))))
+    for bad in (lambda: g.GroupedPredictor(linear.LinearRegression("x", "y"), "g", "equal").fit(three), lambda: g.HierarchicalPredictor(linear.LinearRegression("x", "y"), "g").fit(three)):
+        with pytest.raises(ValueError, match="learns all groups at once"):
+            bad()
+
+
+def test_python_models_learn_from_bounded_groups(three):
+    sizes = g.PandasEstimator("x", "y", lambda f: len(f), lambda m, f: [m] * len(f), most_rows=20)
+    out = g.GroupedPredictor(sizes, "g").fit(three)
+    seen = {r.prediction for r in out.predict(three).collect()} | {r.prediction for r in out.predict(three.withColumn("g", F.lit("new"))).collect()}
+    assert all(5 <= n <= 45 for n in seen)
+    whole = g.PandasEstimator("x", "y", lambda f: len(f), lambda m, f: [m] * len(f))
+    assert {r.prediction for r in g.GroupedPredictor(whole, "g").fit(three).predict(three).collect()} == {50}
+
+
+def test_states_leave_the_cache_with_their_model(spark, three):
+    import gc
+
+    held = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = held()
+    model = g.GroupedRegressor(g.MeanEstimator("y"), "g").fit(three)
+    model.predict(three).count()
+    assert held() > before
+    del model
+    gc.collect()
+    assert held() == before

@@ -233,3 +233,30 @@ def test_train_only(spark):
     assert values(adder.transform(other, training=True), "x") != values(other, "x")
     remover = select.OutlierRemover(RegressionOutlierDetector(["x", "y"], "y")).fit(df)
     assert remover.transform(df).count() == 19 and remover.transform(other).count() == 20
+
+
+@pytest.mark.parametrize("interpolation", ["linear", "lower", "higher", "midpoint", "nearest"])
+def test_quantiles_of_large_tables_are_the_same(spark, interpolation, monkeypatch):
+    from loomgrid.operators import features
+
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.normal(size=700), rng.lognormal(3, 2, 300), np.full(400, 0.25), [1e12, -1e12]])
+    df = spark.createDataFrame([(float(v), float(k % 5)) for k, v in enumerate(values)] + [(None, float("nan")), (float("inf"), None)], "a double, b double")
+    points = [0.0, 0.013, 0.25, 0.5, 0.77, 0.999, 1.0]
+    small = features.quantile(df, ["a", "b"], points, interpolation)
+    assert np.allclose(small["a"], np.quantile(values, points, method=interpolation))
+    monkeypatch.setattr(features, "ONE_PASS_ROWS", 10)
+    assert features.quantile(df, ["a", "b"], points, interpolation) == small
+    ranks = list(range(0, len(values), 37))
+    found = features.values_at(df, features.F.when(features.finite(features.F.col("a")), features.F.col("a")), ranks, buckets=4, last_rows=3)
+    assert [found[r] for r in ranks] == np.sort(values)[ranks].tolist()
+    near = features.quantile(df, ["a"], [0.5], accuracy=10_000)["a"][0]
+    assert abs((values <= near).mean() - 0.5) < 0.2
+    assert features.quantile(df.where("a is null"), ["a"], [0.5])["a"] == [None]
+
+
+def test_labels_of_too_many_values_are_an_error(spark):
+    from loomgrid import base
+
+    with pytest.raises(ValueError, match="different values"):
+        base.distinct_values(spark.range(base.MOST_LABELS + 1), "id")

@@ -185,8 +185,6 @@ def test_helpers_and_invariants(spark, numbers):
     from loomgrid.operators import density
 
     assert base.flatten([1, [2, (3, [4])]]) == [1, 2, 3, 4]
-    assert base.expanding_list(["a", "b"]) == [["a"], ["a", "b"]] and base.expanding_list("a", tuple) == [("a",)]
-    assert list(base.sliding_window([1, 2, 3, 4], 2, 1)) == [[1, 2], [2, 3], [3, 4], [4]]
     assert isinstance(linear.LogisticClassifier("a", "y"), base.ProbabilisticClassifier) and not isinstance(linear.LinearRegression("a", "y"), base.ProbabilisticClassifier)
     assert isinstance(density.GMMOutlierDetector("a"), base.OutlierModel) and isinstance(ClusterFoldValidation(["a"]), base.Clusterer)
     testing.check_shape_remains_same(features.ColumnCapper("a"), numbers)
@@ -194,3 +192,43 @@ def test_helpers_and_invariants(spark, numbers):
     testing.check_input_is_kept(grouped.GroupedRegressor(grouped.MeanEstimator("y"), "b"), numbers)
     with pytest.raises(AssertionError):
         testing.check_shape_remains_same(select.OutlierRemover(density.GMMOutlierDetector("a", 0.5)), numbers)
+
+
+def test_lazy_log_counts_while_the_result_is_read(spark):
+    import time
+
+    from loomgrid.plans.pipeline import log_step
+
+    lines = []
+
+    @log_step(time_taken=False, lazy=True, print_fn=lines.append)
+    def odd(df):
+        return df.where("id % 2 = 1")
+
+    out = odd(spark.range(1001))
+    assert lines == ["[odd(df=df)] n_col=1"]
+    assert len(out.collect()) == 500
+    for _ in range(100):
+        if len(lines) == 2:
+            break
+        time.sleep(0.05)
+    assert lines[1:] == ["[odd] n_obs=500"]
+
+
+def test_memory_is_released_after_fitting(spark):
+    from loomgrid.operators import features
+    from loomgrid.plans.pipeline import DebugPipeline
+
+    held = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = held()
+    df = spark.range(50).selectExpr("cast(id as double) as a")
+    DebugPipeline([("one", features.ColumnCapper("a")), ("two", features.ColumnCapper("a", (10, 90)))], memory=True).fit(df)
+    assert held() == before
+
+
+def test_too_many_time_groups_are_an_error(spark, monkeypatch):
+    from loomgrid.plans.model_selection import GroupTimeSeriesSplit
+
+    monkeypatch.setattr(GroupTimeSeriesSplit, "MOST_GROUPS", 10)
+    with pytest.raises(ValueError, match="more than 10 groups"):
+        GroupTimeSeriesSplit("id", 2).blocks(spark.range(20))
