@@ -1,6 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared as words (lower-cased runs of word characters). An item of n words has an error budget of
+Texts are compared as words (lower-cased runs of word characters; in scripts that write no spaces, such as Han, kana, Thai or Khmer,
+each character is one). An item of n words has an error budget of
 k = floor(error_rate * n) inserted, deleted or changed words. It is split into k + 1 pieces; wherever a document holds
 the item within k errors, at least one piece stands there unchanged. Exact piece hits come from one Aho-Corasick
 pass over each whole document, and Myers' bit-parallel distance verifies the windows around them, so a hit alone
@@ -9,9 +10,10 @@ never counts and no match within the budget is missed.
 The items go to the executors in blocks of at most ``block_chars`` characters, one pass for each block, so what is
 sent has a fixed bound and a large benchmark is still matched whole.
 
-Defined cases: null and empty texts match nothing; items of fewer than ``min_words`` words say too little to tell a
-leak and match nothing; repeated items are each reported; repeated documents are each reported; empty tables give an
-empty result; other columns are ignored.
+Defined cases: null and empty texts and texts without a word match nothing; items of fewer than 5 words have no error budget
+and match exactly; a caller who thinks that short items say too little raises ``min_words``, below which they match nothing;
+very long texts are searched whole; of equally good places in a text the first is reported; repeated items are each
+reported; repeated documents are each reported; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from loomgrid.llm.shared import small_batches
 
 ERROR_RATE = 0.2
-MIN_WORDS = 5
+MIN_WORDS = 1
 BLOCK_CHARS = 4_000_000
-WORD = re.compile(r"\w+")
+#: Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 
 
 def words_of(text: str | None) -> list[str]:

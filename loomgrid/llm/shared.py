@@ -12,6 +12,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base and spark.conf.get(MASTER_KEY).split("[")[0] != "local":
         raise ValueError(f"set {DIR_KEY} to a folder that the driver and all executors share")
     base = base or kept("scratch", lambda: tempfile.mkdtemp(prefix="loomgrid-"))
-    return f"{base.rstrip('/')}/loomgrid/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/loomgrid/{name}-{uuid.uuid4().hex}"
+    kept("made", list).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
@@ -38,13 +41,30 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that no lazy result reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
         for d in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/loomgrid/" in f}:
-            path = jvm.org.apache.hadoop.fs.Path(d)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, d)
+
+
+@contextmanager
+def swept(spark: SparkSession, keep: list[str]) -> Iterator[None]:
+    """Delete all scratch tables that are made inside but those below the paths of ``keep``, which may be added to meanwhile."""
+    made = kept("made", list)
+    before = len(made)
+    try:
+        yield
+    finally:
+        for path in made[before:]:
+            if path not in keep:
+                delete(spark, path)
+        del made[before:]
 
 
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20

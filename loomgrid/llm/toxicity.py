@@ -5,8 +5,8 @@ lower-cased text. Learning takes a bounded sample of labelled rows (``sample_row
 so the same at every run); per-coordinate rates and the L1 term leave a few thousand weights, whose number is bounded
 by the hash space. Every text is scored whole.
 
-Defined cases: null, empty and word-less texts score as the bias alone; labels other than 0 and 1 are ignored, of
-several labels of a document the largest counts; without any labelled row every score is 0; with one class the bias
+Defined cases: null, empty and word-less texts score as the bias alone; very long texts count whole; labels other than 0 and 1 are ignored, of
+several labels of a document the largest counts, and of several texts of one doc_id the first in order is learned from; without any labelled row every score is 0; with one class the bias
 alone decides; repeated rows are each scored; null doc_ids are never learned from nor held out; other columns are ignored.
 """
 
