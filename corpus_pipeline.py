@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm import decontam, mixing, simhash, tokenbin, toxicity
 from loomgrid.llm.queries import TOKENIZER, VOCABULARY, table
-from loomgrid.llm.shared import scratch
+from loomgrid.llm.shared import delete, scratch, swept
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            path = scratch(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """All stages; a stage's scratch tables and its predecessor's rows are deleted once its own rows are written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"stage-{name}")
+        with swept(spark, [path]):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
