@@ -50,7 +50,7 @@ def test_damaged_bytes_are_located(spark, pages, tmp_path):
     warc.write_warc(recorded, path)
     content = bytearray(next(r.content for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).collect() if "warc_file=0" in r.path))
     place = {r.page_id: r for r in good.values() if r.page_id not in (10, 60)}
-    content[place[42].warc_offset + place[42].warc_length - 6] ^= 1  # a payload byte
+    content[place[43].warc_offset + place[43].warc_length - 6] ^= 1  # a payload byte
     content[place[77].warc_offset : place[77].warc_offset + place[77].warc_length] = bytes(place[77].warc_length)  # lost
     content[place[90].warc_offset + 3] ^= 1  # the beginning of a record: no record any more
     content += b"WARC/1.1\r\nWARC-Page-ID: 999\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
@@ -60,8 +60,8 @@ def test_damaged_bytes_are_located(spark, pages, tmp_path):
     other = warc.read_manifest(spark, str(tmp_path / "other"))
     want = warc.manifest(recorded).where("warc_file = 0")
     out = {r.page_id: r for r in warc.audit(want, other).collect()}
-    assert {i: r.status for i, r in out.items()} == {42: "corrupt", 77: "missing", 90: "missing", 999: "extra"}
-    assert all((out[i].warc_offset, out[i].warc_length) == (place[i].warc_offset, place[i].warc_length) for i in (42, 77, 90))
+    assert {i: r.status for i, r in out.items()} == {43: "corrupt", 77: "missing", 90: "missing", 999: "extra"}
+    assert all((out[i].warc_offset, out[i].warc_length) == (place[i].warc_offset, place[i].warc_length) for i in (43, 77, 90))
     assert out[999].warc_offset == len(content) - out[999].warc_length
 
 
