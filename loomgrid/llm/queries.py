@@ -61,8 +61,8 @@ WITH p AS (SELECT coalesce(page_id, -1) AS page_id, coalesce(url, '') AS url, co
   SELECT page_id, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS part, page_id >> 12 AS block, row_number() OVER (ORDER BY page_id) AS i,
     CAST(strlen(head || CAST(page_id AS VARCHAR) || url || CAST(strlen(html) AS VARCHAR) || html) + 36 + 22 AS BIGINT) AS n,
     CAST(strlen(head || CAST(-page_id - 2 AS VARCHAR) || url || CAST(strlen(html) AS VARCHAR) || html) + 36 + 22 AS BIGINT) AS again FROM p
-), at AS (SELECT *, sum(n) OVER (PARTITION BY block ORDER BY page_id, i) - n AS pos FROM sized
-), cut AS (SELECT *, pos // 33554432 AS piece, pos - min(pos) OVER (PARTITION BY block, pos // 33554432) AS off FROM at
+), positions AS (SELECT *, sum(n) OVER (PARTITION BY block ORDER BY page_id, i) - n AS pos FROM sized
+), cut AS (SELECT *, pos // 33554432 AS piece, pos - min(pos) OVER (PARTITION BY block, pos // 33554432) AS off FROM positions
 ), placed AS (SELECT *, CAST(block * 65536 + piece AS BIGINT) AS warc_file, max(off + n) OVER (PARTITION BY block, piece) AS ends FROM cut)
 SELECT page_id, CASE part WHEN '00' THEN 'corrupt' ELSE 'missing' END AS status, warc_file, CAST(off AS BIGINT) AS warc_offset, n AS warc_length FROM placed WHERE part IN ('00', '01')
 UNION ALL SELECT -page_id - 2, 'extra', warc_file, CAST(ends + sum(again) OVER (PARTITION BY warc_file ORDER BY page_id, i) - again AS BIGINT), again FROM placed WHERE part = '02'
