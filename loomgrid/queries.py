@@ -477,6 +477,26 @@ def subjective(spark, sf_dir):
     return out.select("doc_id", F.round(F.element_at("probability", 2), 6).alias("p"))
 
 
+BAYES_SQL = SHARES_SQL + """, c AS (SELECT quality AS k, pred, count(*)::DOUBLE AS n FROM q GROUP BY 1, 2), l AS (SELECT k, pred, n / sum(n) OVER (PARTITION BY k) AS l FROM c),
+j AS (SELECT pred, coalesce(max(CASE WHEN k = 0 THEN l END), 0) * 0.8 AS a, coalesce(max(CASE WHEN k = 1 THEN l END), 0) * 0.2 AS b FROM l GROUP BY 1) SELECT doc_id, round({}, 6) AS p FROM q JOIN j USING (pred)"""
+
+
+def with_evidence(spark, sf_dir, evidence):
+    df = flags(spark, sf_dir)
+    out = meta.SubjectiveClassifier(ByGroup(["long"], "quality"), {0: 0.8, 1: 0.2}, evidence).fit(df).predict_proba(df)
+    return out.select("doc_id", F.round(F.element_at("probability", 2), 6).alias("p"))
+
+
+@query(BAYES_SQL.format("p1 * b / (p1 * b + (1 - p1) * a)"))
+def subjective_both(spark, sf_dir):
+    return with_evidence(spark, sf_dir, "both")
+
+
+@query(BAYES_SQL.format("b / (a + b)"))
+def subjective_confusion(spark, sf_dir):
+    return with_evidence(spark, sf_dir, "confusion_matrix")
+
+
 @query()
 def ordinal(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").withColumn("band", F.least(F.floor(F.col("l_extendedprice") / 20000), F.lit(2)).cast("int"))
