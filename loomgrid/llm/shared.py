@@ -26,7 +26,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names. Where none is named, one process (``local``) has a folder of its own; on
     a cluster that is an error, since a folder of one machine would lose rows."""
     base = spark.conf.get(DIR_KEY, None)
-    if not base and spark.conf.get(MASTER_KEY).split("[")[0] != "local":
+    if not base and spark.conf.get(MASTER_KEY, "local").split("[")[0] != "local":
         raise ValueError(f"set {DIR_KEY} to a folder that the driver and all executors share")
     base = base or kept("scratch", lambda: tempfile.mkdtemp(prefix="loomgrid-"))
     path = f"{base.rstrip('/')}/loomgrid/{name}-{uuid.uuid4().hex}"
