@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.base import Classifier, Regressor, as_list, check_small, gram, let, linear, normalised, shares, solve, total
+from loomgrid.base import GRAM_EXPRESSIONS, Classifier, Regressor, as_list, check_small, gram, let, linear, normalised, shares, solve, total
 
 
 class LinearRegression(Regressor):
@@ -388,8 +388,13 @@ class DeadZoneRegressor(Regressor):
 
 
 class LogisticClassifier(Classifier):
-    """Binary logistic regression; penalty l1 (sum) or l2 (norm, not squared) of the coefficients over C, or none."""
+    """Binary logistic regression; penalty l1 (sum) or l2 (norm, not squared) of the coefficients over C, or none.
 
+    Learning begins on the driver with at most ``SAMPLE_ROWS`` rows; from there Newton steps read the whole table, a few times in
+    all, each one aggregation in the JVM (at most ``max_iter`` steps). Rows with a null or NaN feature are left out.
+    """
+
+    SAMPLE_ROWS = 20_000
     constraint_rows: Callable | None = None
 
     def __init__(self, features, label: str, C: float = 1.0, penalty: str | None = None, fit_intercept: bool = True, max_iter: int = 100, **names) -> None:
@@ -412,45 +417,127 @@ class LogisticClassifier(Classifier):
         self.inputs_ = self._inputs()
         y = F.when(F.col(self.label) == self.classes_[1], 1.0).otherwise(0.0)
         c, bound = self._constraints(df, [F.col(k).cast("double") for k in self.inputs_])
-        rows = Rows(df.where(F.col(self.label).isNotNull()), [*[F.col(k) for k in self.inputs_], y])
         d = len(self.inputs_) + 1
-        n = rows.sums(lambda m: np.array([len(m)]))[0]
-        dual, rho = np.zeros(len(c)), 10.0 * n
+        rows = Rows(df.where(F.col(self.label).isNotNull()).dropna(subset=self.inputs_), [*[F.col(k) for k in self.inputs_], y])
+        n = rows.table.count()
+        if not n:
+            rows.close()
+            raise ValueError("no rows to learn from")
+        near = rows.table if n <= self.SAMPLE_ROWS else rows.table.sample(0.9 * self.SAMPLE_ROWS / n, seed=0).limit(self.SAMPLE_ROWS)
+        m = np.array(near.collect(), float).reshape(-1, d)
+
+        def part(m, theta):
+            x, t = np.column_stack([np.ones(len(m)), m[:, :-1]]), m[:, -1]
+            z = x @ theta
+            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            return np.concatenate([[(np.logaddexp(0, z) - t * z).sum()], x.T @ (p - t), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+        def whole(theta):
+            if d > GRAM_EXPRESSIONS:
+                s = rows.sums(lambda m: part(m, theta))
+                return s[0] / n, s[1 : d + 1] / n, s[d + 1 :].reshape(d, d) / n
+            x, t = [F.lit(1.0), *[F.col(f"c{i}") for i in range(d - 1)]], F.col(f"c{d - 1}")
+            at = rows.table.withColumn("z", total([v * float(w) for v, w in zip(x, theta)]))
+            at = at.withColumn("e", F.exp(-F.abs("z"))).withColumn("p", F.when(F.col("z") >= 0, 1 / (1 + F.col("e"))).otherwise(F.col("e") / (1 + F.col("e"))))
+            curve = F.col("p") * (1 - F.col("p"))
+            pairs = [(i, j) for i in range(d) for j in range(i, d)]
+            asks = [F.sum(F.greatest(F.col("z"), F.lit(0.0)) + F.log1p("e") - t * F.col("z")), *[F.sum((F.col("p") - t) * v) for v in x], *[F.sum(curve * x[i] * x[j]) for i, j in pairs]]
+            got, h = np.array(at.agg(*[a.alias(f"s{i}") for i, a in enumerate(asks)]).first(), float) / n, np.zeros((d, d))
+            for (i, j), v in zip(pairs, got[1 + d :]):
+                h[i, j] = h[j, i] = v
+            return got[0], got[1 : d + 1], h
 
-        def value(theta):
-            def part(m):
-                x, t = np.column_stack([np.ones(len(m)), m[:, :-1]]), m[:, -1]
-                z = x @ theta
-                return np.append((np.logaddexp(0, z) - t * z).sum(), x.T @ (1 / (1 + np.exp(-np.clip(z, -500, 500))) - t))
+        def sampled(theta):
+            s = part(m, theta) / len(m)
+            return s[0], s[1 : d + 1], s[d + 1 :].reshape(d, d)
 
-            s = rows.sums(part)
-            f, g = s[0], s[1:].copy()
-            w = theta[1:]
-            if self.penalty == "l1":
-                root = np.sqrt(w * w + 1e-10)
-                f, g[1:] = f + root.sum() / self.C, g[1:] + w / root / self.C
-            elif self.penalty == "l2":
-                root = np.sqrt(w @ w + 1e-10)
-                f, g[1:] = f + root / self.C, g[1:] + w / root / self.C
-            for row, u in zip(c, dual):
-                v = row @ theta
-                over = max(0.0, v - bound + u / rho) if v >= 0 else min(0.0, v + bound + u / rho)
-                f, g = f + rho / 2 * over**2, g + rho * over * row
-            if not self.fit_intercept:
-                g[0] = 0
-            return f / n, g / n
-
-        theta = np.zeros(d)
-        for _ in range(6 if len(c) else 1):
-            theta = bfgs(value, theta, self.max_iter, 1e-7)
-            v = c @ theta
-            if (np.abs(v) <= bound + 1e-6).all():
-                break
-            dual = np.where(v >= 0, np.maximum(0, dual + rho * (v - bound)), np.minimum(0, dual + rho * (v + bound)))
-            rho *= 3
+        theta, small = np.zeros(d), n <= self.SAMPLE_ROWS
+        if len(m):
+            theta = self._descend(sampled, theta, n, c, bound, 1e-12 if small else 1e-5)
+        if not small:
+            theta = self._descend(whole, theta, n, c, bound, 1e-12)
         rows.close()
         self.intercept_, self.coef_ = float(theta[0]), theta[1:]
 
+    def _penalty(self, theta: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+        """Its share for each row, and the slope of that; corners are rounded."""
+        w, slope = theta[1:], np.zeros(len(theta))
+        if self.penalty == "l1":
+            root = np.sqrt(w * w + 1e-10)
+            slope[1:] = w / root / self.C / n
+            return root.sum() / self.C / n, slope
+        if self.penalty == "l2":
+            root = np.sqrt(w @ w + 1e-10)
+            slope[1:] = w / root / self.C / n
+            return root / self.C / n, slope
+        return 0.0, slope
+
+    def _descend(self, sums: Callable, theta: np.ndarray, n: int, c: np.ndarray, bound: float, tol: float) -> np.ndarray:
+        """Newton steps to the least of loss and penalty within the constraints, until a step can't gain more than ``tol``."""
+        value, slope, h = sums(theta)
+        if value + self._penalty(theta, n)[0] > np.log(2) + self._penalty(np.zeros(len(theta)), n)[0]:  # a start worse than none
+            theta = np.zeros(len(theta))
+            value, slope, h = sums(theta)
+        for _ in range(self.max_iter):
+            goal = self._nearest(theta, slope, h, n, c, bound)
+            step, now = goal - theta, value + self._penalty(theta, n)[0]
+            gain = slope @ step + self._penalty(goal, n)[0] - self._penalty(theta, n)[0]
+            if gain >= -tol:
+                return goal if np.abs(step @ h @ step) <= 4 * tol else theta
+            t = 1.0
+            while True:
+                new = theta + t * step
+                found = sums(new)
+                after = found[0] + self._penalty(new, n)[0]
+                if after <= now + 1e-4 * t * gain or t < 1e-6:
+                    break
+                t /= 2
+            if after > now:
+                break
+            theta, (value, slope, h) = new, found
+            if now - after <= 1e-14 * max(1.0, abs(now)) or (not self.penalty and not len(c) and np.abs(slope[0 if self.fit_intercept else 1 :]).max(initial=0) < 1e-9):
+                break
+        return theta
+
+    def _nearest(self, theta: np.ndarray, slope: np.ndarray, h: np.ndarray, n: int, c: np.ndarray, bound: float) -> np.ndarray:
+        """Where the quadratic model of the loss around ``theta``, with penalty and constraints, is least: no pass over the table."""
+        free = np.arange(0 if self.fit_intercept else 1, len(theta))
+        size = np.sqrt(np.maximum(np.diag(h)[free], 1e-300))
+        h = h[np.ix_(free, free)]
+        if not self.penalty and not len(c):
+            out = theta.copy()
+            out[free] -= solve(h / np.outer(size, size), slope[free] / size) / size
+            return out
+        # In coordinates in which the model is a sphere: correlated columns or columns of other units don't slow the search.
+        values, vectors = np.linalg.eigh(h / np.outer(size, size))
+        back = vectors / np.sqrt(np.maximum(values, 1e-10)) / size[:, None]
+        dual, rho = np.zeros(len(c)), 10.0
+
+        def at(u):
+            out = theta.copy()
+            out[free] += back @ u
+            return out
+
+        def model(u):
+            x = at(u)
+            step = x[free] - theta[free]
+            f, g = self._penalty(x, n)
+            f, g = f + slope[free] @ step + 0.5 * step @ h @ step, g[free] + slope[free] + h @ step
+            for row, v, k in zip(c, c @ x, dual):
+                over = max(0.0, v - bound + k / rho) if v >= 0 else min(0.0, v + bound + k / rho)
+                f, g = f + rho / 2 * over**2, g + rho * over * row[free]
+            return f, back.T @ g
+
+        u = np.zeros(len(free))
+        for _ in range(40 if len(c) else 1):
+            u = bfgs(model, u, 500, 1e-10)
+            v = c @ at(u)
+            if (np.abs(v) <= bound + 1e-7).all():
+                break
+            dual = np.where(v >= 0, np.maximum(0, dual + rho * (v - bound)), np.minimum(0, dual + rho * (v + bound)))
+            rho = min(3 * rho, 1e4)
+        return at(u)
+
     def decision(self) -> Column:
         return linear(self.inputs_, self.coef_, self.intercept_)
 
