@@ -1,8 +1,8 @@
 """One model for each group, for every prefix of the groups, or per-group scaling, as state tables and joins.
 
 An inner estimator says how to learn its parameters as aggregates (``params``) and how to predict from them
-(``predicted``), so all groups are fitted by one grouped aggregation and applied by a left join that Spark broadcasts
-where the state is small. ``PandasEstimator`` runs any Python model with one group at a time instead.
+(``predicted``), so all groups are fitted by one grouped aggregation and applied by a left join whose state is broadcast
+up to ``SMALL_STATE`` bytes. ``PandasEstimator`` runs any Python model with one group at a time instead.
 """
 
 from __future__ import annotations
@@ -168,20 +168,22 @@ class PandasEstimator:
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             out = frame[keys].head(1).reset_index(drop=True) if keys else pd.DataFrame(index=[0])
-            n = int(frame.pop(total).iloc[0])
+            n = frame.pop(total).iloc[0]
+            n = len(frame) if pd.isna(n) else int(n)
             return out.assign(n=n, **{column: [{"model": pickle.dumps(fit(frame))}]})
 
-        # How many rows each group has says which hashes are kept; only groups of more rows than a model learns from are broadcast.
+        # How many rows each group has says which hashes are kept; only groups of more rows than a model learns from are broadcast, so
+        # that the rest of them goes before rows are brought together.
         total = temp("rows")
         counts = df.groupBy(*keys).agg(F.count("*").alias(total))
-        named = counts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], total)
+        named = counts.where(F.col(total) > self.most_rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys], total)
         share = (F.xxhash64(*[F.col(c) for c in df.columns]).cast("double") / 2.0**64 + 0.5) * F.col(total) < self.most_rows
         if keys:
             on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(named[f"__k_{k}"]) for k in keys])
-            rows = df.join(named, on).drop(*[f"__k_{k}" for k in keys])
+            rows = df.join(F.broadcast(named), on, "left").drop(*[f"__k_{k}" for k in keys])
         else:
-            rows = df.crossJoin(F.broadcast(named))  # one row
-        kept = rows.where((F.col(total) <= self.most_rows) | share)
+            rows = df.join(F.broadcast(named), F.lit(True), "left")  # one row at most
+        kept = rows.where(F.col(total).isNull() | share)
         return kept.groupBy(*keys).applyInPandas(run, schema)
 
     def predicted(self, p: Column) -> Column:
@@ -201,7 +203,10 @@ class PandasEstimator:
 def fit_levels(df: DataFrame, estimator, levels: list[list[str]], column: str, owner=None) -> list[DataFrame]:
     """For each list of keys, which are prefixes of one another, a table (keys.., n, column)."""
     if hasattr(estimator, "state"):
-        return [estimator.state(df, keys, column) for keys in levels]
+        kept = [estimator.state(df, keys, column).cache() for keys in levels]
+        for state in kept:
+            weakref.finalize(owner or estimator, state.unpersist)
+        return [sized(state, F.octet_length(F.col(column)["model"])) for state in kept]
     deepest = max(levels, key=len)
     if not deepest:
         states = df.agg(F.count("*").alias("n"), estimator.params().alias(column)).withColumn("__gid", F.lit(0))
@@ -212,9 +217,20 @@ def fit_levels(df: DataFrame, estimator, levels: list[list[str]], column: str, o
         states = estimator.finish(states, column)
     states = states.cache()  # one row for each group; every level and prediction reads it, until no model holds it
     weakref.finalize(owner or estimator, states.unpersist)
+    states = sized(states, F.octet_length(F.to_json(F.struct(column))))
     return [states.where(F.col("__gid") == (1 << (len(deepest) - len(keys))) - 1).select(*keys, "n", column) for keys in levels]
 
 
+SMALL_STATE = 8 << 20
+
+
+def sized(states: DataFrame, size: Column) -> DataFrame:
+    """Computes cached states; those of at most ``SMALL_STATE`` bytes are marked for broadcast. Spark's own estimate of a state is that
+    of the table it was learned from, and a join by shuffle would bring all rows of a group to one task."""
+    n, held = states.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(states) if 64 * n + (held or 0) <= SMALL_STATE else states
+
+
 def check_groups(df: DataFrame, groups: list[str]) -> None:
     if missing := [g for g in groups if g not in df.columns]:
         raise ValueError(f"group column(s) {missing} are not in the DataFrame")

@@ -201,3 +201,33 @@ def test_states_leave_the_cache_with_their_model(spark, three):
     del model
     gc.collect()
     assert held() == before
+
+
+def joined_by_shuffle(spark, make) -> bool:
+    """Whether a prediction brings its rows together by group, where Spark itself broadcasts nothing."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = make()._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    return plan.count("BroadcastHashJoin") == 0 or "SortMergeJoin" in plan
+
+
+def two_groups(spark):
+    return spark.range(200).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).cast("double").alias("x"), (3 * (F.col("id") % 7) + F.col("id") % 2).cast("double").alias("y"))
+
+
+def test_small_states_of_regressors_are_broadcast(spark):
+    df = two_groups(spark)
+    inners = [g.LinearEstimator("x", "y"), g.MeanEstimator("y"), g.PandasEstimator("x", "y", lambda f: float(f["y"].mean()), lambda m, f: [m] * len(f))]
+    for inner in inners:
+        assert not joined_by_shuffle(spark, lambda: g.GroupedRegressor(inner, "g").fit(df).predict(df))  # noqa: B023
+
+
+def test_pandas_models_of_hot_groups_know_their_rows(spark):
+    df = spark.range(3_000).select(F.when(F.col("id") < 2_900, "hot").otherwise("cold").alias("g"), F.col("id").cast("double").alias("y"))
+    for keys in (["g"], []):
+        inner = g.PandasEstimator([], "y", lambda f: float(len(f)), lambda m, f: [m] * len(f), most_rows=500)
+        found = {r["g"] if keys else None: (r["n"], len(r["params"]["model"])) for r in inner.state(df, keys, "params").collect()}
+        assert {k: n for k, (n, _) in found.items()} == ({"hot": 2_900, "cold": 100} if keys else {None: 3_000})
