@@ -231,3 +231,8 @@ def test_pandas_models_of_hot_groups_know_their_rows(spark):
         inner = g.PandasEstimator([], "y", lambda f: float(len(f)), lambda m, f: [m] * len(f), most_rows=500)
         found = {r["g"] if keys else None: (r["n"], len(r["params"]["model"])) for r in inner.state(df, keys, "params").collect()}
         assert {k: n for k, (n, _) in found.items()} == ({"hot": 2_900, "cold": 100} if keys else {None: 3_000})
+
+
+def test_small_states_of_scalers_are_broadcast(spark):
+    df = two_groups(spark)
+    assert not joined_by_shuffle(spark, lambda: g.GroupedTransformer(g.GroupScaler("x"), "g").fit_transform(df))
