@@ -236,3 +236,8 @@ def test_pandas_models_of_hot_groups_know_their_rows(spark):
 def test_small_states_of_scalers_are_broadcast(spark):
     df = two_groups(spark)
     assert not joined_by_shuffle(spark, lambda: g.GroupedTransformer(g.GroupScaler("x"), "g").fit_transform(df))
+
+
+def test_small_states_of_quantiles_are_broadcast(spark):
+    df = two_groups(spark)
+    assert not joined_by_shuffle(spark, lambda: g.GroupedRegressor(g.QuantileEstimator("y"), "g").fit(df).predict(df))
