@@ -261,8 +261,8 @@ class GMMOutlierDetector(Detector):
         if self.method == "quantile":
             self.offset_ = quantile(log, ["l"], [1 - self.threshold])["l"][0]
             return
-        n, mean, deviation, marks = log.agg(F.count("l"), F.avg("l"), F.stddev_samp("l"), F.percentile("l", F.array(*[F.lit(k / 1000) for k in range(1001)]))).first()
-        marks, width = np.array(marks), (deviation or 1.0) * n**-0.2
+        n, mean, deviation = log.agg(F.count("l"), F.avg("l"), F.stddev_samp("l")).first()
+        marks, width = np.array(quantile(log, ["l"], [k / 1000 for k in range(1001)])["l"]), (deviation or 1.0) * n**-0.2
         grid = np.linspace(marks[0], marks[-1], 2001)
         density = np.exp(-0.5 * ((grid[:, None] - marks) / width) ** 2).sum(1)
         mode = float(grid[density.argmax()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +72,37 @@ def values_at(df: DataFrame, usable: Column, ranks: list[int], buckets: int = BU
     return found
 
 
+MANY_RANKS = 64
+
+
+def many_values_at(df: DataFrame, usable: Column, ranks: list[int]) -> dict[int, float]:
+    """The same for many ranks: the distinct values are counted and dealt out in ranges, and each range finds its own ranks."""
+    column = df.select(usable.alias("v")).where(F.col("v").isNotNull())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = column.groupBy("v").agg(F.count("*").alias("n")).repartitionByRange(parts, "v").sortWithinPartitions("v")
+    counted = counted.withColumn("part", F.spark_partition_id()).cache()
+    starts, before = {}, 0
+    for part, _, n in counted.groupBy("part").agg(F.min("v"), F.sum("n")).orderBy(F.min("v")).collect():  # one row for each range
+        starts[part], before = before, before + n
+    wanted = np.array(sorted(set(ranks)))
+
+    def find(batches):
+        at = None
+        for batch in batches:
+            v, n, part = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(v):
+                continue
+            at = starts[int(part[0])] if at is None else at
+            ends = at + np.cumsum(n)
+            inside = wanted[(wanted >= at) & (wanted < ends[-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(inside, pa.int64()), pa.array(v[np.searchsorted(ends, inside, side="right")], pa.float64())], names=["r", "v"])
+            at = int(ends[-1])
+
+    found = dict(counted.mapInArrow(find, "r long, v double").collect())
+    counted.unpersist()
+    return found
+
+
 def quantile(df: DataFrame, columns: list[str], points: list[float], interpolation: str = "linear", accuracy: int | None = None) -> dict[str, list[float | None]]:
     """Quantiles of the finite values of each column: exact, or with ``accuracy`` Spark's approximate ones (relative error of
     the rank 1 / accuracy; ``interpolation`` then says nothing). Up to ``ONE_PASS_ROWS`` rows one aggregation gives them."""
@@ -95,6 +127,8 @@ def quantile(df: DataFrame, columns: list[str], points: list[float], interpolati
         ranks = sorted({r for low, high, _ in wanted[c] for r in (low, high)})
         if not counts[c]:
             found[c] = {}
+        elif len(ranks) > MANY_RANKS:  # one aggregation would look through all values for each of them
+            found[c] = many_values_at(df, usable[c], ranks)
         elif counts[c] > ONE_PASS_ROWS:
             found[c] = values_at(df, usable[c], ranks)
         else:

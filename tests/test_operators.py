@@ -260,3 +260,17 @@ def test_labels_of_too_many_values_are_an_error(spark):
 
     with pytest.raises(ValueError, match="different values"):
         base.distinct_values(spark.range(base.MOST_LABELS + 1), "id")
+
+
+def test_quantiles_of_many_ranks(spark):
+    """Ranges of distinct values find their own ranks; no task holds all values."""
+    from loomgrid.operators.features import many_values_at, quantile
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(0, 30, 5_000), 1)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),), (float("inf"),)], "v double")
+    points = [k / 1000 for k in range(1001)]
+    assert np.allclose(quantile(df, ["v"], points)["v"], np.quantile(v, points), rtol=0, atol=1e-12)
+    assert many_values_at(df.where("v = v and v < 1e9"), F.col("v"), [0, 4_999]) == {0: v.min(), 4_999: v.max()}
+    same = spark.range(300).select(F.lit(2.5).alias("v"))
+    assert set(quantile(same, ["v"], points)["v"]) == {2.5}
