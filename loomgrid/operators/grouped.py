@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.base import Classifier, Operator, as_list, best_class, distinct_values, finite, let, softmax, temp, total
 from loomgrid.functions.shrinkage import weights
+from loomgrid.operators.features import values_at
 
 # ---------------------------------------------------------------- inner estimators
 
@@ -43,8 +44,8 @@ class MeanEstimator:
 
 
 class QuantileEstimator(MeanEstimator):
-    """A quantile of the label, the median by default: exact, which holds the distinct values of a group in one task, or with
-    ``accuracy`` Spark's approximate one, which doesn't."""
+    """A quantile of the label, the median by default: exact, or with ``accuracy`` Spark's approximate one. One aggregation gives
+    the exact ones of groups up to about ``HELD_VALUES`` distinct values; those of larger groups are narrowed group by group."""
 
     def __init__(self, label: str, quantile: float = 0.5, accuracy: int | None = None) -> None:
         super().__init__(label)
@@ -53,6 +54,38 @@ class QuantileEstimator(MeanEstimator):
     def params(self) -> Column:
         return F.struct(quantile_of(F.col(self.label).cast("double"), self.quantile, self.accuracy).alias("mean"))
 
+    def large(self, df: DataFrame, levels: list[list[str]]) -> list[list[tuple[Column, float]]]:
+        """For each level, which rows are of a group with more than ``HELD_VALUES`` distinct values, and its quantile."""
+        if self.accuracy is not None:
+            return [[] for _ in levels]
+        v, deepest = F.col(self.label).cast("double"), max(levels, key=len)
+        inf = float("inf")
+        kinds = [v == -inf, (v > -inf) & (v < inf), v == inf, F.isnan(v)]  # in ascending order
+        counts = [F.count(F.when(kind, 1)).alias(f"__n{i}") for i, kind in enumerate(kinds)]
+        values = F.approx_count_distinct(v).alias("__values")
+        gid = F.grouping_id() if deepest else F.max(F.lit(0))
+        table = df.rollup(*deepest) if deepest else df.groupBy()
+        rows = table.agg(gid.alias("__gid"), values, *counts).where(F.col("__values") > HELD_VALUES).collect()
+        out = []
+        for keys in levels:
+            own = [r for r in rows if r["__gid"] == (1 << (len(deepest) - len(keys))) - 1]
+            of = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys], F.lit(True)) for r in own]
+            out.append([(rows_of, self._narrowed(df.where(rows_of), F.when(kinds[1], v), [r[f"__n{i}"] for i in range(4)])) for rows_of, r in zip(of, own)])
+        return out
+
+    def _narrowed(self, df: DataFrame, finite_value: Column, sizes: list[int]) -> float:
+        at = self.quantile * (sum(sizes) - 1)
+        low, high = int(np.floor(at)), int(np.ceil(at))
+        first, last = sizes[0], sizes[0] + sizes[1]
+        inner = [r - first for r in (low, high) if first <= r < last]
+        found = values_at(df, finite_value, inner) if inner else {}
+        value = lambda r: -np.inf if r < first else found[r - first] if r < last else np.inf if r < last + sizes[2] else np.nan
+        a, b = value(low), value(high)
+        return float(a if a == b else (high - at) * a + (at - low) * b)
+
+
+HELD_VALUES = 1_000_000
+
 
 def quantile_of(value: Column, point: float, accuracy: int | None) -> Column:
     return F.percentile(value, point) if accuracy is None else F.percentile_approx(value, point, accuracy)
@@ -207,6 +240,8 @@ def fit_levels(df: DataFrame, estimator, levels: list[list[str]], column: str, o
         for state in kept:
             weakref.finalize(owner or estimator, state.unpersist)
         return [sized(state, F.octet_length(F.col(column)["model"])) for state in kept]
+    if any(large := estimator.large(df, levels) if hasattr(estimator, "large") else []):
+        return [large_quantiles(df, estimator, keys, column, found, owner) for keys, found in zip(levels, large)]
     deepest = max(levels, key=len)
     if not deepest:
         states = df.agg(F.count("*").alias("n"), estimator.params().alias(column)).withColumn("__gid", F.lit(0))
@@ -221,6 +256,17 @@ def fit_levels(df: DataFrame, estimator, levels: list[list[str]], column: str, o
     return [states.where(F.col("__gid") == (1 << (len(deepest) - len(keys))) - 1).select(*keys, "n", column) for keys in levels]
 
 
+def large_quantiles(df: DataFrame, estimator: QuantileEstimator, keys: list[str], column: str, found: list, owner=None) -> DataFrame:
+    """A level's table where the quantiles of large groups are known; their values aren't aggregated."""
+    known = reduce(lambda a, b: a | b, [rows for rows, _ in found], F.lit(False))
+    label = F.when(~known, F.col(estimator.label).cast("double"))
+    rest = df.groupBy(*keys).agg(F.count("*").alias("n"), F.struct(quantile_of(label, estimator.quantile, None).alias("mean")).alias(column))
+    mean = reduce(lambda other, one: F.when(one[0], F.lit(one[1])).otherwise(other), found, F.col(column)["mean"])
+    state = rest.withColumn(column, F.struct(mean.alias("mean"))).cache()
+    weakref.finalize(owner or estimator, state.unpersist)
+    return sized(state, F.octet_length(F.to_json(F.struct(column))))
+
+
 SMALL_STATE = 8 << 20
 
 

@@ -241,3 +241,21 @@ def test_small_states_of_scalers_are_broadcast(spark):
 def test_small_states_of_quantiles_are_broadcast(spark):
     df = two_groups(spark)
     assert not joined_by_shuffle(spark, lambda: g.GroupedRegressor(g.QuantileEstimator("y"), "g").fit(df).predict(df))
+
+
+@pytest.mark.parametrize("quantile", [0.5, 0.3, 1.0])
+def test_quantiles_of_groups_with_many_values_are_narrowed(spark, quantile, monkeypatch):
+    values = np.random.default_rng(0).normal(size=3_000) * 1e3
+    rows = [("hot" if i % 3 else "odd" if i % 2 else "few", float(v) if i % 3 else float(i % 7)) for i, v in enumerate(values)] + [("hot", None), ("hot", -np.inf), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, y double")
+    made = lambda: {r["g"]: r["prediction"] for r in g.GroupedRegressor(g.QuantileEstimator("y", quantile), "g").fit(df).predict(df.select("g").distinct().union(spark.createDataFrame([("new",)], "g string"))).collect()}
+    expected = made()
+    hot = sorted(v for k, v in rows if k == "hot" and v is not None)
+    assert expected["hot"] == pytest.approx(np.percentile(hot, 100 * quantile), rel=1e-9)
+    monkeypatch.setattr(g, "HELD_VALUES", 500)
+    held, whole = [], g.quantile_of
+    monkeypatch.setattr(g, "quantile_of", lambda value, point, accuracy: held.append(value) or whole(value, point, accuracy))
+    got = made()
+    assert got.keys() == expected.keys() == {"hot", "odd", "few", "empty", "new"}
+    assert all(got[k] == pytest.approx(expected[k], rel=1e-12) if expected[k] is not None else got[k] is None for k in got)
+    assert held and all("CASE WHEN" in str(value) for value in held)  # no aggregation takes a large group's values
